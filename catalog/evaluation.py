@@ -40,10 +40,13 @@ def _e2(v):
     return E.with_absolute_error(v.forecast_scored(), obs="flux").select("site_id", "datetime", "abs_err")
 
 
-_TAYLOR = """1.0::DOUBLE AS sd_meas, stddev_samp({m}) / stddev_samp({r}) AS sd, corr({r}, {m}) AS r,
-           stddev_samp({r} - {m}) / stddev_samp({r}) AS centered_rms,
-           stddev_samp({m}) / stddev_samp({r}) * corr({r}, {m}) AS x_coord,
-           stddev_samp({m}) / stddev_samp({r}) * sqrt(greatest(1 - pow(corr({r}, {m}), 2), 0)) AS y_coord"""
+# DuckDB's corr is NaN where it is undefined.
+_R = "NULLIF(corr({r}, {m}), 'NaN'::DOUBLE)"
+_TAYLOR = """1.0::DOUBLE AS sd_meas, stddev_samp({m}) / NULLIF(stddev_samp({r}), 0) AS sd, """ + _R + """ AS r,
+           stddev_samp({r} - {m}) / NULLIF(stddev_samp({r}), 0) AS centered_rms,
+           stddev_samp({m}) / NULLIF(stddev_samp({r}), 0) * """ + _R + """ AS x_coord,
+           CASE WHEN """ + _R + """ IS NOT NULL THEN
+             stddev_samp({m}) / NULLIF(stddev_samp({r}), 0) * sqrt(greatest(1 - pow(""" + _R + """, 2), 0)) END AS y_coord"""
 
 
 @query("e3_taylor_forecast", f"""
@@ -66,7 +69,8 @@ def _side(v, odd, name):
 @query("e4_taylor_sensor", f"""
     WITH {_PAIRED}
     SELECT site_id, '2024-01' AS month, variable AS name, {_TAYLOR.format(m="sensor", r="weather")}
-    FROM s JOIN w USING (site_id, day, variable) GROUP BY site_id, variable""")
+    FROM (SELECT site_id, variable, CASE WHEN weather IS NOT NULL THEN sensor END AS sensor, weather
+          FROM s LEFT JOIN w USING (site_id, day, variable)) GROUP BY site_id, variable""")
 def _e4(v):
     return E.sensor_model_taylor(_side(v, 0, "sensor"), _side(v, 1, "weather"), "2024-01")
 
@@ -95,12 +99,12 @@ def _e7(v):
     WITH m AS (SELECT site_id, count(*) AS n, regr_sxx(q0500, flux) AS sxx, regr_syy(q0500, flux) AS syy,
                       regr_sxy(q0500, flux) AS sxy
                FROM forecast_scored WHERE q0500 IS NOT NULL AND flux IS NOT NULL GROUP BY site_id),
-    f AS (SELECT *, sxy / sxx AS slope, syy - sxy / sxx * sxy AS ssr FROM m WHERE n > 2),
+    f AS (SELECT *, sxy / sxx AS slope, syy - sxy / sxx * sxy AS ssr FROM m WHERE n > 2 AND sxx > 0),
     l AS (SELECT *, -n / 2.0::DOUBLE * (ln(2 * pi()) + ln(ssr / n) + 1) AS loglik, 1 - ssr / syy AS r_squared FROM f)
-    SELECT site_id, r_squared, 1 - (1 - r_squared) * (n - 1) / (n - 2) AS adj_r_squared, sqrt(ssr / (n - 2)) AS sigma,
-           (syy - ssr) / (ssr / (n - 2)) AS statistic, 1.0::DOUBLE AS df, loglik, 6 - 2 * loglik AS aic,
+    SELECT g.site_id, r_squared, 1 - (1 - r_squared) * (n - 1) / (n - 2) AS adj_r_squared, sqrt(ssr / (n - 2)) AS sigma,
+           (syy - ssr) / (ssr / (n - 2)) AS statistic, CASE WHEN n IS NOT NULL THEN 1.0::DOUBLE END AS df, loglik, 6 - 2 * loglik AS aic,
            3 * ln(n) - 2 * loglik AS bic, ssr AS deviance, n - 2 AS df_residual, n AS nobs, slope
-    FROM l""")
+    FROM (SELECT DISTINCT site_id FROM forecast_scored) g LEFT JOIN l USING (site_id)""")
 def _e8(v):
     return regression_diagnostics(v.forecast_scored(), ["site_id"]).drop("p_value")
 
@@ -180,7 +184,7 @@ def _e10_reliability(v):
 
 _HINDCAST = """
     f AS (SELECT site_id, my - b * mx AS a, b FROM (
-            SELECT site_id, avg(flux) AS my, avg("TSOIL") AS mx, regr_slope(flux, "TSOIL") AS b
+            SELECT site_id, avg(flux) AS my, avg("TSOIL") AS mx, NULLIF(regr_slope(flux, "TSOIL"), 'NaN'::DOUBLE) AS b
             FROM targets_day JOIN drivers_day USING (site_id, datetime)
             WHERE flux IS NOT NULL AND "TSOIL" IS NOT NULL AND datetime < DATE '2024-01-15' GROUP BY site_id)),
     m AS (SELECT site_id, day AS datetime, a + b * "TSOIL" AS x FROM ens_wide JOIN f USING (site_id)),
@@ -219,12 +223,9 @@ def _e11_coverage(v):
 
 @query("e12_driver_agreement", f"""
     WITH {_PAIRED}
-    SELECT site_id, variable, avg(weather - sensor) AS bias, count(*) AS n,
-           stddev_samp(sensor) / stddev_samp(weather) AS sd, corr(weather, sensor) AS r,
-           stddev_samp(weather - sensor) / stddev_samp(weather) AS centered_rms,
-           stddev_samp(sensor) / stddev_samp(weather) * corr(weather, sensor) AS x_coord,
-           stddev_samp(sensor) / stddev_samp(weather) * sqrt(greatest(1 - pow(corr(weather, sensor), 2), 0)) AS y_coord
-    FROM s JOIN w USING (site_id, day, variable) GROUP BY site_id, variable""")
+    SELECT * EXCLUDE (sd_meas) FROM (
+      SELECT site_id, variable, avg(weather - sensor) AS bias, count(*) AS n, {_TAYLOR.format(m="sensor", r="weather")}
+      FROM s JOIN w USING (site_id, day, variable) GROUP BY site_id, variable)""")
 def _e12(v):
     return E.driver_agreement(_side(v, 0, "sensor").join(_side(v, 1, "weather"), ["site_id", "day", "variable"]))
 

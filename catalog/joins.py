@@ -19,7 +19,8 @@ def _j1(v):
 
 
 @query("j2_ensemble_with_coefficients", """
-    WITH c AS (SELECT site_id, regr_intercept(flux, "TSOIL") AS intercept, regr_slope(flux, "TSOIL") AS slope
+    WITH c AS (SELECT site_id, NULLIF(regr_intercept(flux, "TSOIL"), 'NaN'::DOUBLE) AS intercept,
+                      NULLIF(regr_slope(flux, "TSOIL"), 'NaN'::DOUBLE) AS slope
                FROM targets_day JOIN drivers_day USING (site_id, datetime)
                WHERE flux IS NOT NULL AND "TSOIL" IS NOT NULL GROUP BY site_id)
     SELECT site_id, day, ensemble, "TSOIL", intercept, slope FROM ens_wide JOIN c USING (site_id)""")

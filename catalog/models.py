@@ -101,8 +101,10 @@ def _m3(v):
 
 @query("m4_q10_law", f"""
     WITH f AS ({_LINE.format(g="site_id", x="t10", y="ln_flux", more=3, t='''(SELECT site_id, ln(flux) AS ln_flux, ("TSOIL" - 10) / 10 AS t10
-        FROM targets_day JOIN drivers_day USING (site_id, datetime) WHERE flux > 0 AND "TSOIL" IS NOT NULL)''')})
-    SELECT site_id, 'kR' AS term, exp(intercept) AS value FROM f UNION ALL SELECT site_id, 'Q10', exp(slope) FROM f""")
+        FROM targets_day JOIN drivers_day USING (site_id, datetime) WHERE flux > 0 AND "TSOIL" IS NOT NULL)''')}),
+    g AS (SELECT DISTINCT site_id FROM targets_day JOIN drivers_day USING (site_id, datetime))
+    SELECT g.site_id, 'kR' AS term, exp(intercept) AS value FROM g LEFT JOIN f USING (site_id)
+    UNION ALL SELECT g.site_id, 'Q10', exp(slope) FROM g LEFT JOIN f USING (site_id)""")
 def _m4(v):
     return G.fit_q10(_joined(v).select("site_id", "flux", "TSOIL"), ["site_id"])
 
@@ -178,7 +180,7 @@ def _m9(v):
 
 
 @query("m10_deterministic_prediction", """
-    WITH c AS (SELECT site_id, regr_intercept(flux, "TSOIL") AS a, regr_slope(flux, "TSOIL") AS b
+    WITH c AS (SELECT site_id, NULLIF(regr_intercept(flux, "TSOIL"), 'NaN'::DOUBLE) AS a, NULLIF(regr_slope(flux, "TSOIL"), 'NaN'::DOUBLE) AS b
                FROM targets_day JOIN drivers_day USING (site_id, datetime) GROUP BY site_id)
     SELECT e.ensemble AS parameter, CAST(e.datetime AS DATE) AS datetime, e.family, e.site_id, e.reference_datetime,
            c.a + c.b * e."TSOIL" AS prediction, 'flux' AS variable

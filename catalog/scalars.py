@@ -135,7 +135,8 @@ def _c15(v):
 
 @query("c16_taylor_coordinates", """
     SELECT site_id, sd * r AS x_coord, sd * sqrt(greatest(1 - r * r, 0)) AS y_coord
-    FROM (SELECT site_id, stddev_samp(q0500) / stddev_samp(flux) AS sd, corr(flux, q0500) AS r FROM forecast_scored
+    FROM (SELECT site_id, stddev_samp(q0500) / NULLIF(stddev_samp(flux), 0) AS sd,
+                 NULLIF(corr(flux, q0500), 'NaN'::DOUBLE) AS r FROM forecast_scored
           WHERE q0500 IS NOT NULL GROUP BY site_id)""")
 def _c16(v):
     stats = v.forecast_scored().where(F.col("q0500").isNotNull()).groupBy("site_id").agg(

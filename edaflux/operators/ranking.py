@@ -75,7 +75,7 @@ def quantiles_of_ranks(value: str, probabilities: Mapping[str, float]) -> list[C
         low = F.max(F.when(holds(F.floor(position)), F.col(value)))
         high = F.max(F.when(holds(F.ceil(position)), F.col(value)))
         fraction = F.max(position - F.floor(position))
-        out.append((low + (high - low) * fraction).alias(name))
+        out.append(((F.lit(1.0) - fraction) * low + fraction * high).alias(name))
     return out
 
 
