@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edaflux.functions.scalars import sentinel_to_null
-from edaflux.operators.reshape import widen
 from edaflux.schemas import ENV_VARS
 from edaflux.session import ensure_utc
 
@@ -71,10 +70,9 @@ class Views:
     @cached_property
     def ens_wide(self) -> DataFrame:
         """One row per site, day and member; the average of each variable."""
-        means = self.ens_long.withColumn("prediction", sentinel_to_null("prediction")).groupBy(
-            "site_id", "day", "ensemble", "variable"
-        ).agg(F.avg("prediction").alias("prediction"))
-        wide = widen(means, ["site_id", "day", "ensemble"], ENV_VARS)
+        clean = self.ens_long.withColumn("prediction", sentinel_to_null("prediction"))
+        means = [F.avg(F.when(F.col("variable") == n, F.col("prediction"))).alias(n) for n in ENV_VARS]
+        wide = clean.groupBy("site_id", "day", "ensemble").agg(*means)
         return wide.select(
             "site_id", "day", "ensemble", F.col("day").cast("timestamp").alias("datetime"),
             F.lit(RUN_DATE).cast("date").alias("reference_datetime"), F.lit("ensemble").alias("family"),

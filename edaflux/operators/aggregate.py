@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from edaflux.functions.dates import day_of
 from edaflux.functions.scalars import half_hour_carbon
 from edaflux.operators.gapfill import fill_gaps
-from edaflux.operators.ranking import null_safe_join, quantiles
-from edaflux.schemas import ENV_VARS, QUANTILES
+from edaflux.operators.ranking import ensemble_summary, quantiles
+from edaflux.schemas import ENV_VARS
 
 
 def group_means(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -56,14 +56,6 @@ def daily_flux(half_hours: DataFrame, site: str = "site_id", ts: str = "startDat
     )
 
 
-def ensemble_summary(
-    df: DataFrame, keys: Sequence[str], value: str = "value", probabilities: Mapping[str, float] = QUANTILES
-) -> DataFrame:
-    """Mean, sd and exact quantiles per group, nulls left out; an all-null group keeps a null row."""
-    moments = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
-    return null_safe_join(moments, quantiles(df, keys, value, probabilities), list(keys), "left")
-
-
 def column_quantiles(
     df: DataFrame, keys: Sequence[str], columns: Sequence[str], probabilities: Mapping[str, float] | None = None
 ) -> DataFrame:
@@ -80,6 +72,12 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct()
 
 
+__all__ = [
+    "column_quantiles", "daily_drivers", "daily_flux", "distinct_values", "earliest", "ensemble_summary", "group_counts",
+    "group_means", "inverse_variance", "latest", "weighted_mean",
+]
+
+
 def earliest(df: DataFrame, ts: str = "datetime") -> Column:
     """The table's first time as a scalar subquery."""
     return df.agg(F.min(ts)).scalar()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from edaflux.functions.noise import keyed_gaussian
 from edaflux.operators.evaluate import observations_in_span, with_intervals
+from edaflux.operators.joins import lookup
 from edaflux.operators.ranking import null_safe_join
 
 MEMBER_KEYS = ("site_id", "reference_datetime", "parameter", "datetime")
@@ -17,11 +18,10 @@ MEMBER_KEYS = ("site_id", "reference_datetime", "parameter", "datetime")
 def attach_ensemble_moments(members: DataFrame, keys: Sequence[str], value: str = "prediction") -> DataFrame:
     """Every member with its group's mean and variance.
 
-    The moments are aggregated first (map-side) and joined back, so a hot group is split by AQE instead of being
-    gathered by a window.
+    The moments are aggregated first (map-side) and looked up again, so no window gathers a hot group in one task.
     """
     moments = members.groupBy(*keys).agg(F.avg(value).alias("ens_mean"), F.var_samp(value).alias("ens_var"))
-    return null_safe_join(members, moments, list(keys))
+    return lookup(members, moments, keys)
 
 
 def kalman_update(
@@ -36,9 +36,8 @@ def kalman_update(
     keys = list(keys)
     observed = observations.groupBy(*keys).agg(F.avg(obs).alias("_y"))
     moments = members.groupBy(*keys).agg(F.var_samp(value).alias("_var"))
-    # Variance and observation travel together: one join moves the members, not two.
-    table = null_safe_join(moments, observed, keys, "left")
-    joined = null_safe_join(members, table, keys)
+    # Variance and observation travel together: the members are joined once, not twice.
+    joined = lookup(members, null_safe_join(moments, observed, keys, "left"), keys)
     gain = F.try_divide(F.col("_var"), F.col("_var") + F.lit(float(ic_sd) ** 2))
     target = F.col("_y")
     if perturb:

@@ -19,9 +19,9 @@ def sample_crps(
     members: DataFrame, keys: Sequence[str], value: str, observations: DataFrame, obs: str = "flux"
 ) -> DataFrame:
     """CRPS of an ensemble against one observation per group: mean distance to it minus half the mean spread."""
-    ranks = value_ranks(members, keys, value)
-    paired = null_safe_join(ranks, observations.select(*keys, obs), list(keys))
-    return paired.groupBy(*keys).agg(_crps(value, obs).alias("crps"))
+    return null_safe_join(
+        value_ranks(members, keys, value), observations.select(*keys, obs), list(keys)
+    ).groupBy(*keys).agg(_crps(value, obs).alias("crps"))
 
 
 def _crps(value: str, obs: str) -> Column:

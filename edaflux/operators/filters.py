@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from edaflux.functions.scalars import is_finite
+from edaflux.session import broadcast_if_small
 
 # Fixed values.
 CONTROL_MEMBER = "gec00"
@@ -23,9 +24,9 @@ def members_of(df: DataFrame, column: str, values: Iterable) -> DataFrame:
 
 
 def known_sites(df: DataFrame, sites: DataFrame, column: str = "site_id", site_column: str = "site_id") -> DataFrame:
-    """Keep rows of sites present in a site table. A semi join: broadcast only if its statistics say it is small."""
+    """Keep rows of sites present in a site table, without moving the rows while a count shows the table is small."""
     wanted = sites.select(F.col(site_column).alias(column))
-    return df.join(wanted, column, "left_semi")
+    return df.join(broadcast_if_small(wanted), column, "left_semi")
 
 
 def first_day(df: DataFrame) -> DataFrame:

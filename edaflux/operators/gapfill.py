@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edaflux.operators.ranking import null_safe_join
+from edaflux.operators.ranking import group_key
 
 
 def _known(column: str) -> Column:
@@ -28,9 +28,8 @@ def fill_gaps(
     Distance is counted in rows, so rows for missing times must be present with nulls. ``ts`` must be unique within
     a series. ``chunk`` is the ``date_trunc`` unit the series is cut by.
     """
-    keys = list(keys)
-    part = [*keys, "_chunk"]
-    cut = df.withColumn("_chunk", F.date_trunc(chunk, F.col(ts)))
+    part = ["_k", "_chunk"]
+    cut = df.withColumns({"_k": group_key(keys), "_chunk": F.date_trunc(chunk, F.col(ts))})
     forward = Window.partitionBy(*part).orderBy(ts)
     numbered = cut.withColumn("_at", F.row_number().over(forward).cast("long"))
 
@@ -39,7 +38,7 @@ def fill_gaps(
         *[F.min(_known(c)).alias(f"_first_{c}") for c in columns],
         *[F.max(_known(c)).alias(f"_last_{c}") for c in columns],
     )
-    chunks = Window.partitionBy(*keys).orderBy("_chunk")
+    chunks = Window.partitionBy("_k").orderBy("_chunk")
     before = chunks.rowsBetween(Window.unboundedPreceding, -1)
     edges = edges.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
     for c in columns:
@@ -48,14 +47,14 @@ def fill_gaps(
             shifted = F.struct((known["at"] + F.col("_offset")).alias("at"), known["v"].alias("v"))
             edges = edges.withColumn(f"_{end}_{c}", F.when(known.isNotNull(), shifted))
     # Looking ahead is looking back along the reversed order: a growing frame, not a shrinking one.
-    after = Window.partitionBy(*keys).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("_k").orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
     carried = edges.select(
         *part, "_offset",
         *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_carry_{c}") for c in columns],
         *[F.last(f"_first_{c}", ignorenulls=True).over(after).alias(f"_ahead_{c}") for c in columns],
     )
 
-    placed = null_safe_join(numbered, carried, part).withColumn("_at", F.col("_at") + F.col("_offset"))
+    placed = numbered.join(carried, part).withColumn("_at", F.col("_at") + F.col("_offset"))
     back = Window.partitionBy(*part).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     fore = Window.partitionBy(*part).orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, 0)
     found = placed.select(

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edaflux.operators.ranking import null_safe_join
 from edaflux.session import BROADCAST_MAX_ROWS, broadcast_if_small, settle
 
 
@@ -22,7 +23,17 @@ def attach_coefficients(
 
     The table is settled and counted first; past ``max_rows`` it is joined by key with AQE splitting hot sites.
     """
-    return rows.join(broadcast_if_small(settle(coefficients), max_rows), list(keys), "inner")
+    return lookup(rows, coefficients, keys, "inner", max_rows)
+
+
+def lookup(
+    rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner", max_rows: int = BROADCAST_MAX_ROWS
+) -> DataFrame:
+    """Join many rows to a derived table of one row per key, on keys where null matches null.
+
+    A derived table has no statistics the optimizer could trust, so it is settled (computed once) and counted here.
+    """
+    return null_safe_join(rows, broadcast_if_small(settle(table), max_rows), list(keys), how)
 
 
 def full_pair(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -35,7 +46,8 @@ def left_pair(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def with_site_metadata(values: DataFrame, sites: DataFrame) -> DataFrame:
-    """Site metadata names its key differently."""
+    """Metadata next to a table of one row per site; metadata names its key differently."""
+    values = broadcast_if_small(values)
     return sites.join(values, sites["field_site_id"] == values["site_id"], "inner").drop(values["site_id"])
 
 

@@ -25,9 +25,15 @@ def magnitude_bucket(value: Column) -> Column:
     return F.when(value > 0, scaled).when(value < 0, -scaled).otherwise(F.lit(0)).cast("long")
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe key equality, so groups with a null key survive the joins below."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def group_key(keys: Sequence[str]) -> Column:
+    """The group's keys as one struct. Structs match field by field with null equal to null, so groups with a null key
+    are kept, and aggregates, windows and joins on it share one partitioning where null-safe joins on the separate
+    columns would shuffle again."""
+    return F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))
+
+
+def _unpacked(keys: Sequence[str]) -> list[Column]:
+    return [F.col("_k")[k].alias(k) for k in keys]
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -37,32 +43,36 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Distinct values with ``copies``, ``below`` (members strictly smaller) and ``size`` (members in the group).
-
-    Nulls are left out.
-    """
-    keys = list(keys)
+def keyed_ranks(keyed: DataFrame, value: str) -> DataFrame:
+    """``value_ranks`` for a table whose group is the struct ``_k``."""
     counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_value"))
+        keyed.where(F.col(value).isNotNull())
+        .groupBy("_k", F.col(value).alias("_value"))
         .agg(F.count(F.lit(1)).alias("copies"))
         .withColumn("_bucket", magnitude_bucket(F.col("_value")))
     )
-    totals = counts.groupBy(*keys, "_bucket").agg(F.sum("copies").alias("_in_bucket"))
-    ordered = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    totals = counts.groupBy("_k", "_bucket").agg(F.sum("copies").alias("_in_bucket"))
+    ordered = Window.partitionBy("_k").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     starts = totals.select(
-        *keys, "_bucket",
-        (F.sum("_in_bucket").over(ordered) - F.col("_in_bucket")).alias("_start"),
-        F.sum("_in_bucket").over(Window.partitionBy(*keys)).alias("size"),
+        "_k", "_bucket", (F.sum("_in_bucket").over(ordered) - F.col("_in_bucket")).alias("_start"),
+        F.sum("_in_bucket").over(Window.partitionBy("_k")).alias("size"),
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
-    return null_safe_join(counts, starts, [*keys, "_bucket"]).select(
-        *keys, F.col("_value").alias(value), "copies",
+    inside = Window.partitionBy("_k", "_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
+    return counts.join(starts, ["_k", "_bucket"]).select(
+        "_k", F.col("_value").alias(value), "copies",
         (F.col("_start") + F.sum("copies").over(inside) - F.col("copies")).alias("below"), "size",
     )
 
 
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Distinct values with ``copies``, ``below`` (members strictly smaller) and ``size`` (members in the group).
+
+    Nulls are left out.
+    """
+    ranks = keyed_ranks(df.select(group_key(keys).alias("_k"), value), value)
+    return ranks.select(*_unpacked(keys), value, "copies", "below", "size")
+
+
 def quantiles_of_ranks(value: str, probabilities: Mapping[str, float]) -> list[Column]:
     """Type-7 quantile aggregates over the rows of ``value_ranks``."""
     out = []
@@ -83,7 +93,19 @@ def quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float] = QUANTILES
 ) -> DataFrame:
     """Exact type-7 quantiles per group; groups without a value do not appear."""
-    return value_ranks(df, keys, value).groupBy(*keys).agg(*quantiles_of_ranks(value, probabilities))
+    ranks = keyed_ranks(df.select(group_key(keys).alias("_k"), value), value)
+    out = ranks.groupBy("_k").agg(*quantiles_of_ranks(value, probabilities))
+    return out.select(*_unpacked(keys), *probabilities)
+
+
+def ensemble_summary(
+    df: DataFrame, keys: Sequence[str], value: str = "value", probabilities: Mapping[str, float] = QUANTILES
+) -> DataFrame:
+    """Mean, sd and exact quantiles per group, nulls left out; an all-null group keeps a null row."""
+    keyed = df.select(group_key(keys).alias("_k"), value)
+    moments = keyed.groupBy("_k").agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    ordered = keyed_ranks(keyed, value).groupBy("_k").agg(*quantiles_of_ranks(value, probabilities))
+    return moments.join(ordered, "_k", "left").select(*_unpacked(keys), "mean", "sd", *probabilities)
 
 
 def spread_of_ranks(value: str) -> Column:
@@ -94,7 +116,8 @@ def spread_of_ranks(value: str) -> Column:
 
 def pairwise_spread(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Mean absolute difference over all ordered pairs of members, without forming a pair."""
-    ranks = value_ranks(df, keys, value)
-    return ranks.groupBy(*keys).agg(
+    ranks = keyed_ranks(df.select(group_key(keys).alias("_k"), value), value)
+    out = ranks.groupBy("_k").agg(
         F.max("size").alias("members"), (F.lit(2.0) * spread_of_ranks(value)).alias("mean_abs_difference")
     )
+    return out.select(*_unpacked(keys), "members", "mean_abs_difference")

@@ -65,10 +65,11 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(settled: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast if a count of the already settled table proves it small, else leave it alone.
+def broadcast_if_small(table: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Hint a broadcast if a count proves the table small, else leave it alone.
 
-    Without the hint Spark runs a sort-merge join, and AQE splits hot keys of the larger side.
+    The count stops at the bound. Without the hint Spark runs a sort-merge join, and AQE splits hot keys of the
+    larger side. Settle a table first if computing it twice would cost more than storing it.
     """
-    fits = settled.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(settled) if fits else settled
+    fits = table.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(table) if fits else table

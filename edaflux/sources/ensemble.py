@@ -13,6 +13,7 @@ from edaflux.operators.aggregate import daily_drivers
 from edaflux.operators.filters import control_member, known_sites, members_of
 from edaflux.operators.reshape import widen
 from edaflux.schemas import ENSEMBLE_LONG, ENV_VARS
+from edaflux.session import broadcast_if_small, settle
 
 WIDE_KEYS = ("reference_datetime", "site_id", "ensemble", "family", "horizon", "datetime")
 
@@ -69,7 +70,8 @@ def month_of_drivers(long: DataFrame, first: str, last: str, sites: DataFrame |
 def previous_run(long: DataFrame, origins: DataFrame, met_vars: Sequence[str]) -> DataFrame:
     """For every (site_id, origin, duration): the run of the day before, from the origin to the end of its span.
 
-    Runs are matched by an equality on (site, reference date), so one pass serves all origins.
+    Runs are matched by an equality on (site, reference date), so one pass serves all origins. The ensemble stays
+    where it is while a count shows the list of origins is small.
     """
     wanted = origins.select(
         "site_id", "origin", "duration", F.date_sub("origin", 1).alias("reference_datetime"),
@@ -77,7 +79,7 @@ def previous_run(long: DataFrame, origins: DataFrame, met_vars: Sequence[str]) -
         .otherwise(F.date_add("origin", EVALUATION_DAYS["P1W"])).alias("_until"),
     ).distinct()
     rows = members_of(long, "variable", met_vars).withColumn("prediction", sentinel_to_null("prediction"))
-    matched = rows.join(wanted, ["site_id", "reference_datetime"])
+    matched = rows.join(broadcast_if_small(settle(wanted)), ["site_id", "reference_datetime"])
     spanned = matched.where(
         (F.col("datetime") >= F.col("origin").cast("timestamp"))
         & (F.col("datetime") <= F.col("_until").cast("timestamp"))
