@@ -11,7 +11,7 @@ from edaflux.functions.dates import interval_id, week_start
 from edaflux.functions.scalars import taylor_x, taylor_y, within
 from edaflux.operators.aggregate import earliest, ensemble_summary, latest
 from edaflux.operators.filters import complete_cases
-from edaflux.operators.ranking import null_safe_join, quantiles_of_ranks, spread_of_ranks, value_ranks
+from edaflux.operators.ranking import group_key, keyed_ranks, moments_of_ranks, quantiles_of_ranks, spread_of_ranks, unpacked
 from edaflux.schemas import QUANTILES
 
 
@@ -19,13 +19,11 @@ def sample_crps(
     members: DataFrame, keys: Sequence[str], value: str, observations: DataFrame, obs: str = "flux"
 ) -> DataFrame:
     """CRPS of an ensemble against one observation per group: mean distance to it minus half the mean spread."""
-    return null_safe_join(
-        value_ranks(members, keys, value), observations.select(*keys, obs), list(keys)
-    ).groupBy(*keys).agg(_crps(value, obs).alias("crps"))
+    return score_ensemble(members, keys, value, observations, obs).select(*keys, "crps").where(F.col("crps").isNotNull())
 
 
 def _crps(value: str, obs: str) -> Column:
-    distance = F.sum(F.col("copies") * F.abs(F.col(value) - F.col(obs))) / F.max("size")
+    distance = F.try_divide(F.sum(F.col("copies") * F.abs(F.col(value) - F.col(obs))), F.max("size").cast("double"))
     return distance - spread_of_ranks(value)
 
 
@@ -38,11 +36,12 @@ def score_ensemble(
     Members are ranked once, for the quantiles and the CRPS together.
     """
     keys, shared = list(keys), list(observation_keys or keys)
-    observed = observations.select(*shared, obs)
-    moments = members.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
-    ranked = value_ranks(members, keys, value).join(observed, shared)
-    ordered = ranked.groupBy(*keys).agg(*quantiles_of_ranks(value, QUANTILES), _crps(value, obs).alias("crps"))
-    return null_safe_join(moments.join(observed, shared), ordered, keys, "left")
+    keyed = members.select(group_key(keys).alias("_k"), value)
+    observed = observations.select(group_key(shared).alias("_s"), obs)
+    out = keyed_ranks(keyed, value, observed, shared).groupBy("_k").agg(
+        *moments_of_ranks(value), F.max(obs).alias(obs), *quantiles_of_ranks(value, QUANTILES), _crps(value, obs).alias("crps")
+    )
+    return out.select(*unpacked(keys), "mean", "sd", obs, *QUANTILES, "crps")
 
 
 def taylor_statistics(df: DataFrame, keys: Sequence[str], reference: str, model: str) -> DataFrame:

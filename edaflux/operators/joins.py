@@ -47,7 +47,7 @@ def left_pair(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFra
 
 def with_site_metadata(values: DataFrame, sites: DataFrame) -> DataFrame:
     """Metadata next to a table of one row per site; metadata names its key differently."""
-    values = broadcast_if_small(values)
+    values = broadcast_if_small(settle(values))
     return sites.join(values, sites["field_site_id"] == values["site_id"], "inner").drop(values["site_id"])
 
 

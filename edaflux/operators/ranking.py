@@ -3,7 +3,8 @@
 A group may hold a third of all rows, so no group is ever sorted or buffered by one task. Rows first collapse to
 (group, distinct value, copies) with map-side combine. Each value falls into a magnitude bucket, a function of the
 value alone that never decreases with it; bucket totals are prefix-summed per group (a short table), and values are
-ordered only within their bucket. Bucket start plus position inside the bucket is the exact rank.
+ordered only within their bucket. Bucket start plus position inside the bucket is the exact rank. Mean, sd, quantiles
+and CRPS all come from these rows, so the members are read and shuffled once for all of them.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ BUCKETS_PER_OCTAVE = 4096
 def magnitude_bucket(value: Column) -> Column:
     """A non-decreasing integer function of a double: sign times scaled binary logarithm."""
     scaled = F.floor(F.log2(F.abs(value)) * BUCKETS_PER_OCTAVE) + F.lit(1 << 30)
-    return F.when(value > 0, scaled).when(value < 0, -scaled).otherwise(F.lit(0)).cast("long")
+    bucket = F.when(value > 0, scaled).when(value < 0, -scaled).otherwise(F.lit(0))
+    # Visibly never null: a null check inferred for one use of it would keep the two uses from sharing a shuffle.
+    return F.coalesce(bucket.cast("long"), F.lit(0).cast("long"))
 
 
 def group_key(keys: Sequence[str]) -> Column:
@@ -32,7 +35,8 @@ def group_key(keys: Sequence[str]) -> Column:
     return F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))
 
 
-def _unpacked(keys: Sequence[str]) -> list[Column]:
+def unpacked(keys: Sequence[str]) -> list[Column]:
+    """The separate key columns again."""
     return [F.col("_k")[k].alias(k) for k in keys]
 
 
@@ -43,34 +47,43 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def keyed_ranks(keyed: DataFrame, value: str) -> DataFrame:
-    """``value_ranks`` for a table whose group is the struct ``_k``."""
-    counts = (
-        keyed.where(F.col(value).isNotNull())
-        .groupBy("_k", F.col(value).alias("_value"))
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .withColumn("_bucket", magnitude_bucket(F.col("_value")))
+def keyed_ranks(
+    keyed: DataFrame, value: str, observed: DataFrame | None = None, shared: Sequence[str] = ()
+) -> DataFrame:
+    """Distinct values of each group ``_k`` with ``copies``, ``below``, and the group's ``size`` and ``mean``.
+
+    A group with nulls also has one row of a null value with no copies, so groups of nulls alone stay visible.
+    ``observed`` (struct ``_s`` of the ``shared`` keys, and an observation) is attached per group and keeps only
+    observed groups; it meets the short bucket table, never the members.
+    """
+    counts = keyed.groupBy("_k", F.col(value).alias("_value")).agg(F.count(value).alias("copies")).withColumn(
+        "_bucket", magnitude_bucket(F.col("_value"))
+    )
+    totals = counts.groupBy("_k", "_bucket").agg(
+        F.sum("copies").alias("_in_bucket"), F.sum(F.col("copies") * F.col("_value")).alias("_bucket_sum")
     )
-    totals = counts.groupBy("_k", "_bucket").agg(F.sum("copies").alias("_in_bucket"))
-    ordered = Window.partitionBy("_k").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    group = Window.partitionBy("_k")
+    ordered = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     starts = totals.select(
         "_k", "_bucket", (F.sum("_in_bucket").over(ordered) - F.col("_in_bucket")).alias("_start"),
-        F.sum("_in_bucket").over(Window.partitionBy("_k")).alias("size"),
+        F.sum("_in_bucket").over(group).alias("size"),
+        F.try_divide(F.sum("_bucket_sum").over(group), F.sum("_in_bucket").over(group)).alias("mean"),
     )
+    extra: list[str] = []
+    if observed is not None:
+        extra = [c for c in observed.columns if c != "_s"]
+        starts = starts.withColumn("_s", F.struct(*[F.col("_k")[c].alias(c) for c in shared])).join(observed, "_s").drop("_s")
     inside = Window.partitionBy("_k", "_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
     return counts.join(starts, ["_k", "_bucket"]).select(
         "_k", F.col("_value").alias(value), "copies",
-        (F.col("_start") + F.sum("copies").over(inside) - F.col("copies")).alias("below"), "size",
+        (F.col("_start") + F.sum("copies").over(inside) - F.col("copies")).alias("below"), "size", "mean", *extra,
     )
 
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Distinct values with ``copies``, ``below`` (members strictly smaller) and ``size`` (members in the group).
-
-    Nulls are left out.
-    """
-    ranks = keyed_ranks(df.select(group_key(keys).alias("_k"), value), value)
-    return ranks.select(*_unpacked(keys), value, "copies", "below", "size")
+    """Distinct values with ``copies``, ``below`` (members strictly smaller) and ``size`` (members in the group)."""
+    ranks = keyed_ranks(df.select(group_key(keys).alias("_k"), value), value).where(F.col("copies") > 0)
+    return ranks.select(*unpacked(keys), value, "copies", "below", "size")
 
 
 def quantiles_of_ranks(value: str, probabilities: Mapping[str, float]) -> list[Column]:
@@ -93,9 +106,17 @@ def quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float] = QUANTILES
 ) -> DataFrame:
     """Exact type-7 quantiles per group; groups without a value do not appear."""
-    ranks = keyed_ranks(df.select(group_key(keys).alias("_k"), value), value)
-    out = ranks.groupBy("_k").agg(*quantiles_of_ranks(value, probabilities))
-    return out.select(*_unpacked(keys), *probabilities)
+    keyed = df.where(F.col(value).isNotNull()).select(group_key(keys).alias("_k"), value)
+    out = keyed_ranks(keyed, value).groupBy("_k").agg(*quantiles_of_ranks(value, probabilities))
+    return out.select(*unpacked(keys), *probabilities)
+
+
+def moments_of_ranks(value: str) -> list[Column]:
+    """Mean and sd aggregates over the rows of ``keyed_ranks``; deviations are taken from the exact group mean."""
+    deviation = F.col(value) - F.col("mean")
+    squares = F.sum(F.col("copies") * deviation * deviation)
+    more = F.when(F.max("size") > 1, (F.max("size") - 1).cast("double"))
+    return [F.max("mean").alias("mean"), F.sqrt(squares / more).alias("sd")]
 
 
 def ensemble_summary(
@@ -103,21 +124,20 @@ def ensemble_summary(
 ) -> DataFrame:
     """Mean, sd and exact quantiles per group, nulls left out; an all-null group keeps a null row."""
     keyed = df.select(group_key(keys).alias("_k"), value)
-    moments = keyed.groupBy("_k").agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
-    ordered = keyed_ranks(keyed, value).groupBy("_k").agg(*quantiles_of_ranks(value, probabilities))
-    return moments.join(ordered, "_k", "left").select(*_unpacked(keys), "mean", "sd", *probabilities)
+    out = keyed_ranks(keyed, value).groupBy("_k").agg(*moments_of_ranks(value), *quantiles_of_ranks(value, probabilities))
+    return out.select(*unpacked(keys), "mean", "sd", *probabilities)
 
 
 def spread_of_ranks(value: str) -> Column:
     """Half the mean absolute difference of all ordered pairs, from ranks alone."""
     weight = F.col("copies") * (2 * F.col("below") + F.col("copies") - F.col("size"))
-    return F.sum(F.col(value) * weight) / (F.max("size").cast("double") * F.max("size"))
+    return F.try_divide(F.sum(F.col(value) * weight), F.max("size").cast("double") * F.max("size"))
 
 
 def pairwise_spread(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Mean absolute difference over all ordered pairs of members, without forming a pair."""
-    ranks = keyed_ranks(df.select(group_key(keys).alias("_k"), value), value)
-    out = ranks.groupBy("_k").agg(
+    keyed = df.where(F.col(value).isNotNull()).select(group_key(keys).alias("_k"), value)
+    out = keyed_ranks(keyed, value).groupBy("_k").agg(
         F.max("size").alias("members"), (F.lit(2.0) * spread_of_ranks(value)).alias("mean_abs_difference")
     )
-    return out.select(*_unpacked(keys), "members", "mean_abs_difference")
+    return out.select(*unpacked(keys), "members", "mean_abs_difference")
