@@ -250,11 +250,9 @@ def _m13_null(v):
 
 def _training(v):
     """Observed days of January 2024 as three training periods: that month, the month and the year a run of 1 January uses."""
-    def moved(df, days):
-        return df.withColumn("datetime", F.date_sub("datetime", days)) if days else df
-
     def periods(df):
-        return df.unionByName(moved(df, _DAYS_TO_TRAINING_MONTH)).unionByName(moved(df, _DAYS_TO_YEAR_BEFORE))
+        shift = F.explode(F.array(F.lit(0), F.lit(_DAYS_TO_TRAINING_MONTH), F.lit(_DAYS_TO_YEAR_BEFORE)))
+        return df.select("*", shift.alias("_days")).withColumn("datetime", F.date_sub("datetime", F.col("_days"))).drop("_days")
 
     return periods(v.targets_day), periods(v.drivers_day)
 

@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 SERIES_MAX_DF = 200
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _series(t: Column, df: Column) -> Column:
     """P(|T| <= t) for small integer df."""
     theta = F.atan(t / F.sqrt(df))
@@ -38,35 +43,47 @@ def _series(t: Column, df: Column) -> Column:
 def erfc(x: Column) -> Column:
     """Complementary error function for x >= 0: trapezoidal sum with pole correction, power series near zero."""
     h = 0.5
-    tail = F.lit(0.0)
-    for n in range(1, 14):
-        tail = tail + F.lit(math.exp(-((n * h) ** 2))) / (F.lit((n * h) ** 2) + x * x)
-    body = F.lit(h / math.pi) * x * F.exp(-x * x) * (F.lit(1.0) / (x * x) + F.lit(2.0) * tail)
-    pole = F.when(x < math.pi / h, F.lit(2.0) / (F.exp(F.lit(2.0 * math.pi / h) * x) - F.lit(1.0))).otherwise(0.0)
-    near = F.lit(0.0)
-    for n in range(8):
-        near = near + F.lit((-1) ** n / (math.factorial(n) * (2 * n + 1))) * F.pow(x, F.lit(2.0 * n + 1))
-    return F.when(x < 0.1, F.lit(1.0) - F.lit(2.0 / math.sqrt(math.pi)) * near).otherwise(body - pole)
+
+    def far(v: Column) -> Column:
+        squares = [F.lit((n * h) ** 2) for n in range(1, 14)]
+        tail = F.lit(0.0)
+        for n, square in enumerate(squares, start=1):
+            tail = tail + F.lit(math.exp(-((n * h) ** 2))) / (square + v * v)
+        body = F.lit(h / math.pi) * v * F.exp(-v * v) * (F.lit(1.0) / (v * v) + F.lit(2.0) * tail)
+        return body - F.when(v < math.pi / h, F.lit(2.0) / F.expm1(F.lit(2.0 * math.pi / h) * v)).otherwise(0.0)
+
+    def near(v: Column) -> Column:
+        total = F.lit(0.0)
+        for n in range(8):
+            total = total + F.lit((-1) ** n / (math.factorial(n) * (2 * n + 1))) * F.pow(v, F.lit(2.0 * n + 1))
+        return F.lit(1.0) - F.lit(2.0 / math.sqrt(math.pi)) * total
+
+    return _let(x, lambda v: F.when(v < 0.1, near(v)).otherwise(far(v)))
 
 
 def _expansion(t: Column, df: Column) -> Column:
     """Two-sided tail for large df."""
     a = df - F.lit(0.5)
     b = F.lit(48.0) * a * a
-    z = F.sqrt(a * F.log1p(t * t / df))
-    z3, z5, z7 = F.pow(z, F.lit(3.0)), F.pow(z, F.lit(5.0)), F.pow(z, F.lit(7.0))
-    correction = (z3 + 3 * z) / b - (4 * z7 + 33 * z5 + 240 * z3 + 855 * z) / (
-        10 * b * (b + F.lit(0.8) * F.pow(z, F.lit(4.0)) + 100)
-    )
-    return erfc((z + correction) / F.lit(math.sqrt(2.0)))
+
+    def corrected(z: Column) -> Column:
+        z2 = z * z
+        more = z2 * (z2 * (4 * z2 + 33) + 240) + 855
+        return z + z * (z2 + 3) / b - z * more / (10 * b * (b + F.lit(0.8) * z2 * z2 + 100))
+
+    normal = _let(F.sqrt(a * F.log1p(t * t / df)), corrected)
+    return erfc(normal / F.lit(math.sqrt(2.0)))
 
 
 def t_two_sided(t: Column, df: Column) -> Column:
     """P(|T| > |t|) for an integer number of degrees of freedom; null where either is null or df < 1."""
-    size = F.abs(t)
     v = df.cast("double")
-    p = F.when(v <= SERIES_MAX_DF, F.lit(1.0) - _series(size, v)).otherwise(_expansion(size, v))
-    return F.when((v >= 1) & t.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)))
+
+    def tail(size: Column) -> Column:
+        p = F.when(v <= SERIES_MAX_DF, F.lit(1.0) - _series(size, v)).otherwise(_expansion(size, v))
+        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))
+
+    return F.when((v >= 1) & t.isNotNull(), _let(F.abs(t), tail))
 
 
 def f_one_upper(f: Column, df: Column) -> Column:

@@ -24,12 +24,14 @@ RELATIVE_STEP = 1e-6
 
 def fit_formula(
     df: DataFrame, keys: Sequence[str], response: str, formula: str, parameters: Sequence[str],
-    start: Mapping[str, float] | None = None, max_iterations: int = 50, tolerance: float = 1e-8,
+    start: Mapping[str, float] | None = None, max_iterations: int = 50, tolerance: float = 1e-5,
 ) -> DataFrame:
     """Fit ``response ~ formula`` per group; ``formula`` is a SQL expression over columns and parameter names.
 
-    Parameters without a start value begin at 1. Returns keys, one column per parameter, ssr, n, iterations and
-    status; a group that does not converge, or whose formula yields no number, has null parameters and says so.
+    Parameters without a start value begin at 1. A group has converged once the part of its residuals the parameters
+    could still explain is at most ``tolerance`` times the rest. Returns keys, one column per parameter, ssr, n,
+    iterations and status; a group that does not converge, or whose formula yields no number, has null parameters and
+    says so.
     """
     keys, names = list(keys), list(parameters)
     begin = {p: float((start or {}).get(p, 1.0)) for p in names}
@@ -45,19 +47,20 @@ def fit_formula(
         if active.isEmpty():
             break
         stepped = _steps(data, active.select(*keys, *names), keys, response, formula, names)
-        best = _best_lengths(data, stepped, keys, response, formula, names)
-        moved = active.drop("ssr").join(best, keys, "left")
-        small = F.col("_move") <= tolerance
+        done = F.col("_gain") <= F.lit(tolerance**2) * (F.col("_ssr0") - F.col("_gain"))
+        best = _best_lengths(data, stepped.where(~done), keys, response, formula, names)
+        table = stepped.select(*keys, "_ssr0", "_gain", *[f"_d_{p}" for p in names])
+        moved = active.drop("ssr").join(table, keys).join(best, keys, "left")
         status = (
             F.when(F.col("_ssr0").isNull(), "undefined")
-            .when(F.col("_move").isNull(), "singular")
-            .when(F.col("_ssr").isNull() & ~small, "no descent")
-            .when(small, "converged")
+            .when((F.col("_ssr0") == 0) | done, "converged")
+            .when(F.col("_gain").isNull(), "singular")
+            .when(F.col("_ssr").isNull(), "no descent")
             .otherwise("running")
         )
-        take = F.col("_ssr").isNotNull()
+        length = F.coalesce("_length", F.lit(0.0))
         moved = moved.select(
-            *keys, "n", *[F.when(take, F.col(p) + F.col("_length") * F.col(f"_d_{p}")).otherwise(F.col(p)).alias(p) for p in names],
+            *keys, "n", *[(F.col(p) + length * F.coalesce(f"_d_{p}", F.lit(0.0))).alias(p) for p in names],
             F.coalesce("_ssr", "_ssr0").alias("ssr"), (F.col("iterations") + 1).alias("iterations"), status.alias("status"),
         )
         state = settle(state.where(F.col("status") != "running").unionByName(moved))
@@ -81,7 +84,7 @@ def _finite(expression: str):
 
 
 def _steps(data, params, keys, response, formula, names) -> DataFrame:
-    """Each group's Gauss-Newton step from J'J and J'r, with the squared error where it stands."""
+    """Each group's Gauss-Newton step from J'J and J'r, its squared error, and how much of that the step explains."""
     joined = data.join(broadcast_if_small(params), keys)
     joined = joined.withColumns({f"_h_{p}": F.greatest(F.abs(F.col(p)), F.lit(1.0)) * RELATIVE_STEP for p in names})
     slopes = {}
@@ -98,12 +101,12 @@ def _steps(data, params, keys, response, formula, names) -> DataFrame:
         F.when(whole, F.array(*[F.sum(F.col(f"_j_{p}") * F.col("_r")) for p in names])).alias("jr"),
         F.when(whole, F.sum(F.col("_r") * F.col("_r"))).alias("_ssr0"),
     )
-    k = len(names)
+    k, columns = len(names), [*[f"_d_{p}" for p in names], "_gain"]
     index = [(i, j) for i in range(k) for j in range(i, k)]
 
     def solve(batches):
         for pdf in batches:
-            steps = np.full((len(pdf), k), np.nan)
+            steps = np.full((len(pdf), k + 1), np.nan)
             for row, (jj, jr) in enumerate(zip(pdf["jj"], pdf["jr"], strict=True)):
                 if jj is None:
                     continue
@@ -112,15 +115,16 @@ def _steps(data, params, keys, response, formula, names) -> DataFrame:
                     a[i, j] = a[j, i] = v
                 scale = np.sqrt(np.diag(a))
                 if np.all(scale > 0) and np.linalg.det(a / np.outer(scale, scale)) > 1e-14:
-                    steps[row] = np.linalg.solve(a / np.outer(scale, scale), np.asarray(jr) / scale) / scale
+                    step = np.linalg.solve(a / np.outer(scale, scale), np.asarray(jr) / scale) / scale
+                    steps[row] = [*step, max(float(step @ np.asarray(jr)), 0.0)]
             out = pdf[[*keys, "_ssr0"]].copy()
-            for i, p in enumerate(names):
-                out[f"_d_{p}"] = pd.Series(steps[:, i], index=pdf.index).astype("object").where(~np.isnan(steps[:, i]), None)
+            for i, name in enumerate(columns):
+                out[name] = pd.Series(steps[:, i], index=pdf.index).astype("object").where(~np.isnan(steps[:, i]), None)
             yield out
 
     schema = T.StructType([
         *[sums.schema[c] for c in keys], T.StructField("_ssr0", T.DoubleType()),
-        *[T.StructField(f"_d_{p}", T.DoubleType()) for p in names],
+        *[T.StructField(c, T.DoubleType()) for c in columns],
     ])
     return settle(params.join(sums.mapInPandas(solve, schema), keys))
 
@@ -138,10 +142,5 @@ def _best_lengths(data, stepped, keys, response, formula, names) -> DataFrame:
     ladder = F.array(*[
         F.struct(F.lit(length).alias("length"), F.col("_errors")[i].alias("ssr")) for i, length in enumerate(lengths)
     ])
-    better = F.get(F.filter(ladder, lambda s: s["ssr"] < F.col("_ssr0")), F.lit(0))
-    size = F.greatest(*[F.abs(F.col(f"_d_{p}")) / F.greatest(F.abs(F.col(p)), F.lit(1e-3)) for p in names], F.lit(0.0))
-    known = F.col(f"_d_{names[0]}").isNotNull()
-    return stepped.join(tried, keys).select(
-        *keys, "_ssr0", *[f"_d_{p}" for p in names],
-        better["length"].alias("_length"), better["ssr"].alias("_ssr"), F.when(known, size).alias("_move"),
-    )
+    better = F.get(F.filter(ladder, lambda s: s["ssr"] <= F.col("_ssr0")), F.lit(0))
+    return stepped.join(tried, keys).select(*keys, better["length"].alias("_length"), better["ssr"].alias("_ssr"))
