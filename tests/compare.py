@@ -34,7 +34,7 @@ def sort_key(row):
     return tuple(("~", f"{v:.6g}") if isinstance(v, float) else (str(type(v)), str(v)) for v in row)
 
 
-def differences(spark_rows, sql_rows, tolerance: float = 1e-9) -> list[str]:
+def differences(spark_rows, sql_rows, tolerance: float = 1e-9, absolute: float = 1e-9) -> list[str]:
     """Descriptions of the first mismatches; both sides are lists of tuples with columns in the same order."""
     if len(spark_rows) != len(sql_rows):
         return [f"rows {len(spark_rows)} != {len(sql_rows)}"]
@@ -46,7 +46,7 @@ def differences(spark_rows, sql_rows, tolerance: float = 1e-9) -> list[str]:
         for u, w in zip(x, y, strict=True):
             both = isinstance(u, (int, float)) and isinstance(w, (int, float)) and not isinstance(u, bool)
             if both and (isinstance(u, float) or isinstance(w, float)):
-                same = math.isclose(u, w, rel_tol=tolerance, abs_tol=1e-9)
+                same = math.isclose(u, w, rel_tol=tolerance, abs_tol=absolute)
             else:
                 same = u == w and type(u) is type(w)
             if not same:
@@ -57,7 +57,7 @@ def differences(spark_rows, sql_rows, tolerance: float = 1e-9) -> list[str]:
     return out
 
 
-def check(spark, con, sf_dir: str, name: str, build, sql: str | None, tolerance: float = 1e-9):
+def check(spark, con, sf_dir: str, name: str, build, sql: str | None, tolerance: float = 1e-9, absolute: float = 1e-9):
     began = time.time()
     df = build(spark, sf_dir)
     names = sorted(df.columns)
@@ -72,7 +72,7 @@ def check(spark, con, sf_dir: str, name: str, build, sql: str | None, tolerance:
     pick = [order.index(n) for n in names]
     want = [tuple(r[i] for i in pick) for r in cur.fetchall()]
     kinds = {n: (str(df.schema[n].dataType.simpleString()), str(cur.description[order.index(n)][1])) for n in names}
-    return len(rows), took, differences(rows, want, tolerance), kinds
+    return len(rows), took, differences(rows, want, tolerance, absolute), kinds
 
 
 def main() -> int:
