@@ -40,10 +40,12 @@ def test_date_range_reaches_the_scan(spark, sf_dir):
 def test_coefficients_are_broadcast_only_up_to_the_bound(spark):
     rows = spark.range(1000).select((F.col("id") % 50).cast("string").alias("site_id"), "id")
     table = spark.range(50).select(F.col("id").cast("string").alias("site_id"), F.lit(1.0).alias("slope"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     small, large = attach_coefficients(rows, table, max_rows=50), attach_coefficients(rows, table, max_rows=49)
     assert "BroadcastHashJoin" in plan(small)
     assert "SortMergeJoin" in plan(large)
     assert small.count() == large.count() == 1000
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_site_filter_is_a_semi_join(spark, sf_dir):

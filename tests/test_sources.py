@@ -100,7 +100,8 @@ def test_ensemble_is_pruned_by_reference_date(spark, tmp_path):
     long = ensemble.read_ensemble(spark, out)
     got = ensemble.gefs_soil_forecasts(long, "2024-01-02", ["AAAA"], ["TSOIL", "SOILW"])
     plan = got._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(reference_datetime" in plan and "PushedFilters: [In(variable" in plan
+    assert "PartitionFilters: [isnotnull(reference_datetime" in plan
+    assert "In(variable, [SOILW,TSOIL])" in plan and "EqualTo(site_id,AAAA)" in plan
     assert sorted((r.ensemble, r.horizon, r.TSOIL) for r in got.collect()) == [
         ("gec00", 0.0, 280.0), ("gec00", 10800.0, None), ("gec01", 0.0, 280.0), ("gec01", 10800.0, None)
     ]
