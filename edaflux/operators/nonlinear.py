@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 from edaflux.session import broadcast_if_small, settle
 
 STEP_HALVINGS = 10
+# Residuals below this share of the response (as sums of squares) are rounding: the curve passes through the data.
+EXACT_FIT = 1e-20
 RELATIVE_STEP = 1e-6
 
 
@@ -47,13 +49,14 @@ def fit_formula(
         if active.isEmpty():
             break
         stepped = _steps(data, active.select(*keys, *names), keys, response, formula, names)
-        done = F.col("_gain") <= F.lit(tolerance**2) * (F.col("_ssr0") - F.col("_gain"))
+        exact = F.col("_ssr0") <= F.lit(EXACT_FIT) * F.col("_yy")
+        done = exact | (F.col("_gain") <= F.lit(tolerance**2) * (F.col("_ssr0") - F.col("_gain")))
         best = _best_lengths(data, stepped.where(~done), keys, response, formula, names)
-        table = stepped.select(*keys, "_ssr0", "_gain", *[f"_d_{p}" for p in names])
+        table = stepped.select(*keys, "_ssr0", "_yy", "_gain", *[f"_d_{p}" for p in names])
         moved = active.drop("ssr").join(table, keys).join(best, keys, "left")
         status = (
             F.when(F.col("_ssr0").isNull(), "undefined")
-            .when((F.col("_ssr0") == 0) | done, "converged")
+            .when(done, "converged")
             .when(F.col("_gain").isNull(), "singular")
             .when(F.col("_ssr").isNull(), "no descent")
             .otherwise("running")
@@ -100,6 +103,7 @@ def _steps(data, params, keys, response, formula, names) -> DataFrame:
         F.when(whole, F.array(*[F.sum(F.col(f"_j_{a}") * F.col(f"_j_{b}")) for a, b in pairs])).alias("jj"),
         F.when(whole, F.array(*[F.sum(F.col(f"_j_{p}") * F.col("_r")) for p in names])).alias("jr"),
         F.when(whole, F.sum(F.col("_r") * F.col("_r"))).alias("_ssr0"),
+        F.sum(F.col(response) * F.col(response)).alias("_yy"),
     )
     k, columns = len(names), [*[f"_d_{p}" for p in names], "_gain"]
     index = [(i, j) for i in range(k) for j in range(i, k)]
@@ -117,13 +121,13 @@ def _steps(data, params, keys, response, formula, names) -> DataFrame:
                 if np.all(scale > 0) and np.linalg.det(a / np.outer(scale, scale)) > 1e-14:
                     step = np.linalg.solve(a / np.outer(scale, scale), np.asarray(jr) / scale) / scale
                     steps[row] = [*step, max(float(step @ np.asarray(jr)), 0.0)]
-            out = pdf[[*keys, "_ssr0"]].copy()
+            out = pdf[[*keys, "_ssr0", "_yy"]].copy()
             for i, name in enumerate(columns):
                 out[name] = pd.Series(steps[:, i], index=pdf.index).astype("object").where(~np.isnan(steps[:, i]), None)
             yield out
 
     schema = T.StructType([
-        *[sums.schema[c] for c in keys], T.StructField("_ssr0", T.DoubleType()),
+        *[sums.schema[c] for c in keys], T.StructField("_ssr0", T.DoubleType()), T.StructField("_yy", T.DoubleType()),
         *[T.StructField(c, T.DoubleType()) for c in columns],
     ])
     return settle(params.join(sums.mapInPandas(solve, schema), keys))
@@ -142,5 +146,5 @@ def _best_lengths(data, stepped, keys, response, formula, names) -> DataFrame:
     ladder = F.array(*[
         F.struct(F.lit(length).alias("length"), F.col("_errors")[i].alias("ssr")) for i, length in enumerate(lengths)
     ])
-    better = F.get(F.filter(ladder, lambda s: s["ssr"] <= F.col("_ssr0")), F.lit(0))
+    better = F.get(F.filter(ladder, lambda s: s["ssr"] < F.col("_ssr0")), F.lit(0))
     return stepped.join(tried, keys).select(*keys, better["length"].alias("_length"), better["ssr"].alias("_ssr"))
