@@ -74,3 +74,36 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from edaflux.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
+
+
+OP6_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), wins AS (
+  SELECT DISTINCT item_id, list_slice(words, k, k + 9) AS win, least(len(words), 10) AS size
+  FROM b, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS t(k) WHERE len(words) > 0
+), sizes AS (SELECT DISTINCT size FROM wins), grams AS (
+  SELECT doc_id, k, size, list_slice(words, k, k + size - 1) AS win FROM w, sizes, unnest(range(1, len(words) - size + 2)) AS t(k)
+), hits AS (
+  SELECT g.doc_id, g.k, g.size, i.item_id FROM grams g JOIN wins i ON g.win = i.win AND g.size = i.size
+), n_hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM hits, unnest(range(k, k + size)) AS t(p) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+)
+SELECT w.doc_id, len(w.words)::BIGINT AS n_words, coalesce(n_hit.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(items.names, '')) AS items_sha256, n_hit.n IS NOT NULL AS contaminated
+FROM w LEFT JOIN n_hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@query("op6_benchmark_decontamination", OP6_SQL)
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from edaflux.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
