@@ -107,3 +107,36 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     from edaflux.llm.decontaminate import contamination
 
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
+@query("op8_suffix_array_dedup")
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from edaflux.llm.suffix_dedup import repeated_bytes
+
+    return repeated_bytes(table(spark, sf_dir, "documents"), width=400)
+
+
+OP10_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), wins AS (
+  SELECT doc_id, k, md5(array_to_string(list_slice(words, k, k + 49), ' ')) AS win
+  FROM w, unnest(range(1, len(words) - 48)) AS t(k)
+), firsts AS (SELECT win, min(doc_id) AS first FROM wins GROUP BY win),
+hits AS (SELECT doc_id, k FROM wins JOIN firsts USING (win) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, p FROM hits, unnest(range(k, k + 50)) AS t(p)),
+kept AS (
+  SELECT w.doc_id, len(words) AS n, count(g.p) AS removed,
+    coalesce(string_agg(words[i], ' ' ORDER BY i) FILTER (g.p IS NULL AND i IS NOT NULL), '') AS text
+  FROM w LEFT JOIN LATERAL (SELECT unnest(range(1, len(w.words) + 1)) AS i) ON true
+  LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.p = i GROUP BY w.doc_id, len(words)
+)
+SELECT doc_id, n::BIGINT AS n_words, removed::BIGINT AS n_removed, sha256(text) AS kept_sha256 FROM kept
+"""
+
+
+@query("op10_substring_dedup", OP10_SQL)
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from edaflux.llm.substring import repeated_words
+
+    return repeated_words(table(spark, sf_dir, "documents"), width=50)
