@@ -140,3 +140,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from edaflux.llm.substring import repeated_words
 
     return repeated_words(table(spark, sf_dir, "documents"), width=50)
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from edaflux.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
