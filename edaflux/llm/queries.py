@@ -147,3 +147,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from edaflux.llm.toxicity import toxicity
 
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from edaflux.llm.langid import languages
+
+    return languages(table(spark, sf_dir, "documents"))
