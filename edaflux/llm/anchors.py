@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from edaflux.llm.frames import map_rows, stored
 
 BUCKET = 16_384
-SLAB_BYTES = 4 << 20
+SLAB_BYTES = 2 << 20
+SLICE_BYTES = 2_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _PLACE_BITS = np.uint64(34)
 
@@ -73,7 +74,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def gram_hashes(values: np.ndarray, gram: int) -> np.ndarray:
     """A mixed polynomial hash of each ``gram`` neighbouring symbols, from prefix sums."""
-    up, down = _powers(1 << max(20, int(len(values)).bit_length()))
+    up, down = _powers(max(SLICE_BYTES + (SLICE_BYTES >> 3), len(values)))
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=total[1:])
     h = (total[gram:] - total[:-gram]) * down[: len(values) - gram + 1]
@@ -135,7 +136,7 @@ def document_runs(docs: DataFrame, units: type, width: int, gram: int, kind: str
             "anchor": anchor.view(np.int64), "content": content,
         }
 
-    return map_rows(docs, work, f"key {kind}, mark long, lo int, hi int, anchor long, content long", binary=True)
+    return map_rows(docs, work, f"key {kind}, mark long, lo int, hi int, anchor long, content long", binary=True, limit=SLICE_BYTES)
 
 
 Refine = Callable[[list[tuple]], Iterable[list[int]]]

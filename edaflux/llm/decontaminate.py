@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edaflux.llm.frames import slices
+from edaflux.llm.frames import fresh, slices
 
 WINDOW = 10
 SAMPLE = 8
@@ -263,7 +263,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         rows = zip(texts.cast(pa.binary()).to_pylist(), spans.to_pylist(), strict=True)
         return pa.array([None if t is None else without(t, s).decode() for t, s in rows], pa.string())
 
-    name = next(n for n in (f"_found{k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns)
+    name = fresh(docs, "_found")
     found = with_contamination(docs, benchmark, name, window, text)
     hit = F.size(F.col(name)["spans"]) > 0
     clean = F.arrow_udf(cut, "string")(F.when(hit, F.col(text)), F.when(hit, F.col(name)["spans"]))

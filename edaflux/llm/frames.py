@@ -29,7 +29,9 @@ def slices(texts: Sequence, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int
         yield begin, len(texts)
 
 
-def map_rows(df: DataFrame, work: Callable[..., dict], schema: str, text: str = "text", binary: bool = False) -> DataFrame:
+def map_rows(
+    df: DataFrame, work: Callable[..., dict], schema: str, text: str = "text", binary: bool = False, limit: int = SLICE_CHARS
+) -> DataFrame:
     """``work(rows)`` over slices of rows: a dict of column lists in, a dict of output columns of any one length out.
 
     ``df`` should hold only the columns that are needed. Tasks keep nothing between slices. With ``binary`` texts
@@ -45,7 +47,7 @@ def map_rows(df: DataFrame, work: Callable[..., dict], schema: str, text: str =
                 column = batch.column(n)
                 rows[n] = (column.cast(pa.binary()) if binary and n == text else column).to_pylist()
             del batch
-            for begin, end in slices(rows[text]):
+            for begin, end in slices(rows[text], limit):
                 made = work({n: v[begin:end] for n, v in rows.items()})
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in out], schema=out)
 
@@ -61,3 +63,11 @@ def stored(df: DataFrame) -> DataFrame:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a like one that no column of ``df`` has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

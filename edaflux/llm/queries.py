@@ -154,3 +154,90 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from edaflux.llm.langid import languages
 
     return languages(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20
+"""
+
+
+@query("op3_exact_top_k", OP3_SQL)
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from edaflux.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+DOMAINS = {"web": "^src[0-4]$", "news": "^src[5-9]$"}
+MIX_WEIGHTS = {"domain": {"web": 0.4, "news": 0.25, "books": 0.35}, "lang": {"en": 3.0}}
+MIX_SEED = 17
+MIX_EPOCHS = 4
+
+
+def _level_sql(name: str, before: str, parents: list[str], child: str, weight: str) -> str:
+    """One level of the budget: the children of each parent filled up to one level."""
+    keys = ", ".join([*parents, child])
+    by = f"PARTITION BY {', '.join(parents)}" if parents else ""
+    same = " AND ".join(f"l.{c} IS NOT DISTINCT FROM s.{c}" for c in [*parents, child])
+    return f"""
+{name}_n AS (
+  SELECT {keys}, budget, sum(tokens * {MIX_EPOCHS}.0::DOUBLE) AS supply, {weight} AS weight FROM {before} GROUP BY {keys}, budget
+), {name}_r AS (SELECT *, CASE WHEN weight > 0 THEN supply / weight END AS ratio FROM {name}_n
+), {name}_l AS (
+  SELECT *, (budget - coalesce(sum(supply) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM {name}_r WINDOW w AS ({by} ORDER BY ratio NULLS LAST, {child} NULLS FIRST)
+), {name}_s AS (
+  SELECT {keys}, CASE WHEN weight > 0 THEN greatest(least(supply, coalesce(
+    (max(CASE WHEN ratio >= level THEN level END) OVER ({by})) * weight, supply)), 0) ELSE 0 END AS budget FROM {name}_l
+), {name} AS (SELECT l.* EXCLUDE (budget), s.budget FROM {before} l JOIN {name}_s s ON {same})"""
+
+
+OP2_SQL = f"""
+WITH d AS (
+  SELECT doc_id, CASE WHEN regexp_matches(source, '^src[0-4]$') THEN 'web' WHEN regexp_matches(source, '^src[5-9]$') THEN 'news'
+    ELSE 'books' END AS domain, lang, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens
+  FROM documents
+), leaves AS (
+  SELECT domain, lang, source, sum(n_tokens)::DOUBLE AS tokens, (SELECT sum(n_tokens)::DOUBLE FROM d) AS budget FROM d GROUP BY ALL
+), {_level_sql("a", "leaves", [], "domain", "CASE domain WHEN 'web' THEN 0.4 WHEN 'news' THEN 0.25 WHEN 'books' THEN 0.35 ELSE 1 END::DOUBLE")},
+{_level_sql("b", "a", ["domain"], "lang", "CASE lang WHEN 'en' THEN 3 ELSE 1 END::DOUBLE")},
+{_level_sql("c", "b", ["domain", "lang"], "source", "1::DOUBLE")},
+spent AS (SELECT *, least(floor(budget + 1e-6), tokens * {MIX_EPOCHS}) AS spent FROM c),
+plan AS (
+  SELECT *, CASE WHEN tokens > 0 THEN floor(spent / tokens) ELSE 0 END::INTEGER AS whole,
+    spent - CASE WHEN tokens > 0 THEN floor(spent / tokens) ELSE 0 END * tokens AS remains FROM spent
+), placed AS (
+  SELECT d.*, p.whole, p.remains, md5(concat_ws(':', '{MIX_SEED}', p.whole::VARCHAR, coalesce(d.doc_id::VARCHAR, ''))) AS place
+  FROM d JOIN plan p ON d.domain = p.domain AND d.lang IS NOT DISTINCT FROM p.lang AND d.source IS NOT DISTINCT FROM p.source
+), run AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place) AS upto FROM placed)
+SELECT doc_id, domain, lang, source, epoch::INTEGER AS epoch, n_tokens FROM run, unnest(range(0, {MIX_EPOCHS})) AS t(epoch)
+WHERE epoch < whole OR (epoch = whole AND upto <= remains)
+"""
+
+
+def mixture(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from edaflux.llm.mixing import mixed, word_count
+
+    domain = F.lit("books")
+    for name, pattern in DOMAINS.items():
+        domain = F.when(F.col("source").rlike(pattern), name).otherwise(domain)
+    levels = {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+    return mixed(docs, levels, word_count(F.col("text")), MIX_WEIGHTS, 1.0, MIX_EPOCHS, MIX_SEED, keep=keep)
+
+
+@query("op2_source_mixing", OP2_SQL)
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"))

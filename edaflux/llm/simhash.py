@@ -19,12 +19,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edaflux.llm.components import components
-from edaflux.llm.frames import map_rows
-from edaflux.session import settle
+from edaflux.llm.frames import fresh, map_rows, stored
 
 CELL = 256
 _LANES = np.uint64(0x0101010101010101)
@@ -121,7 +120,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2, groups: int = 4) ->
         cells.append(F.struct(F.lit(k).alias("plane"), segment_counts(F.col("fp")).bitwiseAND(F.lit(mask)).alias("cell")))
     keyed = distinct.select("fp", F.explode(F.array(*cells)).alias("at")).select("fp", "at.plane", "at.cell")
     sizes = keyed.groupBy("plane", "cell").agg(F.count("*").alias("n")).where("n > 1")
-    shared = settle(keyed.join(sizes, ["plane", "cell"]))
+    shared = stored(keyed.join(sizes, ["plane", "cell"]))
     small = shared.where(F.col("n") <= CELL).groupBy("plane", "cell").agg(F.collect_list("fp").alias("members"))
     edges = small.select("members").mapInArrow(_cell_links(radius), "u long, v long")
     flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << b) - ((1 << b) >> 63 << 64))) for b in range(64)])
@@ -135,6 +134,26 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2, groups: int = 4) ->
     return edges.unionByName(star)
 
 
+def _grouped(docs: DataFrame, shingle: int, radius: int, groups: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, mark, fp), ``mark`` a hash of the text; and for each fingerprint its (fp, root, component_id)."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def work(rows: dict) -> dict:
+        return {"key": rows["key"], "mark": rows["mark"], "fp": fingerprints(rows["text"], shingle)}
+
+    picked = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
+    marked = stored(map_rows(picked, work, f"key {kind}, mark long, fp long", binary=True))
+    distinct = stored(marked.groupBy("fp").agg(F.min("key").alias("first")))
+    linked = stored(components(fingerprint_links(distinct.select("fp"), radius, groups)).withColumnRenamed("node", "fp"))
+    least = linked.join(distinct, "fp").groupBy("root").agg(F.min("first").alias("least"))
+    label = linked.join(least, "root").select("fp", "root", "least")
+    return marked, stored(
+        distinct.join(label, "fp", "left").select(
+            "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component_id")
+        )
+    )
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 3, radius: int = 2, groups: int = 4, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -145,18 +164,28 @@ def near_duplicates(
     and link like any other. A null key takes part, but is no component's smallest key unless all are null. Repeated
     rows stay. Other columns are not read. An empty table gives an empty result.
     """
-    kind = docs.schema[key].dataType.simpleString()
-
-    def work(rows: dict) -> dict:
-        return {"key": rows["key"], "fp": fingerprints(rows["text"], shingle)}
-
-    picked = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    marked = settle(map_rows(picked, work, f"key {kind}, fp long", binary=True))
-    distinct = settle(marked.groupBy("fp").agg(F.min("key").alias("first")))
-    linked = settle(components(fingerprint_links(distinct.select("fp"), radius, groups)).withColumnRenamed("node", "fp"))
-    least = linked.join(distinct, "fp").groupBy("root").agg(F.min("first").alias("least"))
-    label = linked.join(least, "root").select("fp", "least")
-    final = settle(distinct.join(label, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")))
+    marked, final = _grouped(docs, shingle, radius, groups, key, text)
     return marked.join(final, "fp").select(
         F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(
+    docs: DataFrame, shingle: int = 3, radius: int = 2, groups: int = 4, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``docs`` with one row of each component: the smallest key's (of several texts under that key, the one with the
+    least hash; of repeated rows, one). Rows with null keys stay only where a component has no other. Columns as they
+    were."""
+    marked, final = _grouped(docs, shingle, radius, groups, key, text)
+    rank = F.struct(F.col("key").isNull().alias("no_key"), "key", "mark")
+    chosen = marked.join(final, "fp").groupBy("root").agg(F.min(rank).alias("row"))
+    wanted = stored(chosen.select(F.col("row.key").alias("_key"), F.col("row.mark").alias("_mark")))
+    same = docs[key].eqNullSafe(wanted["_key"]) & (F.xxhash64(docs[text]) == wanted["_mark"])
+    kept = docs.join(wanted, same, "left_semi")
+    repeated = marked.groupBy("key", "mark").count().where("count > 1").limit(1).count() > 0
+    if not repeated:
+        return kept
+    # A key given twice with one text: keep one row of them. Other columns may differ, so rows can't just be distinct.
+    row = Window.partitionBy(F.col(key), F.xxhash64(text)).orderBy(F.lit(0))
+    name = fresh(docs, "_row")
+    return kept.withColumn(name, F.row_number().over(row)).where(F.col(name) == 1).drop(name)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edaflux.llm.anchors import Words, joined_spans, ranges_of, repeated_spans, with_spans
-from edaflux.llm.frames import map_rows
+from edaflux.llm.frames import fresh, map_rows
 
 WIDTH = 50
 GRAM = 8
@@ -114,12 +114,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text:
 
     A text of which nothing is left is empty; a null text stays null.
     """
-    names = []
-    for wanted in ("_key", "_mark", "_spans"):
-        while wanted in [*docs.columns, *names]:
-            wanted += "_"
-        names.append(wanted)
-    key_, mark_, spans_ = names
+    key_, mark_, spans_ = (fresh(docs, n) for n in ("_key", "_mark", "_spans"))
     picked = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     found = _spans(picked, width).select(F.col("key").alias(key_), F.col("mark").alias(mark_), F.col("spans").alias(spans_))
     same = docs[key].cast("long").eqNullSafe(found[key_]) & (F.xxhash64(docs[text]) == found[mark_])

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edaflux.llm.frames import fresh
+
 POSITIVES = 4_000
 UNLABELLED = 8_000
 MIN_TEXTS = 5
@@ -145,7 +147,7 @@ def fit(
 ) -> Classifier:
     """Train on a bounded sample: texts labelled toxic, and any texts as the unlabelled, both outside the held-out fold.
 
-    Samples are the rows with the smallest key hashes. The prior is the share of toxic among the labelled rows outside
+    Samples are the rows with the smallest key hashes, ``positives`` and ``unlabelled`` of them in expectation. The prior is the share of toxic among the labelled rows outside
     the held-out fold. A document labelled twice counts as toxic if any label says so; null labels say nothing.
     """
     marked = labels.where((fold(F.col(key)) != 0) & F.col(key).isNotNull() & F.col(toxic).isNotNull())
@@ -154,14 +156,14 @@ def fit(
     if not counts[1]:
         return train([], [], 0.5)
     prior = min(max(counts[1] / counts[0], 0.01), 0.9)
-    rate = lambda wanted, there: F.lit(min(1.0, 1.2 * wanted / max(there, 1)))
+    rate = lambda wanted, there: F.lit(min(1.0, wanted / max(there, 1)))
     place = F.pmod(F.xxhash64(F.col("k"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     plain = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
-    some = marked.where("toxic").where(place < rate(positives, counts[1]))
-    pos = plain.join(some.select("k"), "k", "left_semi").limit(positives).select("t").collect()
+    some = marked.where("toxic").where(place < rate(positives, counts[1])).select("k")
+    pos = plain.join(some, "k", "left_semi").collect()
     # Drawn from the whole population, whatever the labels say, so that toxic texts have their share.
-    unl = plain.where((fold(F.col("k")) != 0) & (place < rate(unlabelled, docs.count()))).limit(unlabelled).select("t").collect()
-    return train([r[0] for r in pos], [r[0] for r in unl], prior)
+    unl = plain.where((fold(F.col("k")) != 0) & (place < rate(unlabelled, docs.count()))).collect()
+    return train([r["t"] for r in sorted(pos)], [r["t"] for r in sorted(unl)], prior)
 
 
 def score(model: Classifier, text: Column) -> Column:
@@ -185,5 +187,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **sample: int) -> DataFrame:
     """``docs`` less those that the model takes for toxic; columns as they were."""
     model = fit(docs, labels, key, text, **sample)
-    name = next(n for n in (f"_score{k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns)
+    name = fresh(docs, "_score")
     return docs.withColumn(name, score(model, F.col(text))).where(F.col(name) < 0.5).drop(name)
