@@ -6,8 +6,8 @@ fingerprints. The vector's coordinates are dealt into ``groups``; within ``radiu
 differ, so two linked fingerprints share the grid cell of at least one choice of ``groups - radius`` groups. Members of
 a cell are compared by the Manhattan bound and then exactly.
 
-Cells may be of any size. Up to ``CELL`` distinct fingerprints a cell is one array, compared in one task and returned
-as a spanning forest of its links. The members of larger cells are looked up in another exact way: each fingerprint is
+Cells may be of any size. Up to ``CELL`` distinct fingerprints a cell is one array, compared in one task; an edge for
+each member stands for its links. The members of larger cells are looked up in another exact way: each fingerprint is
 listed under itself and its 64 one-bit neighbours, so two of them within two bits meet under a common neighbour, and no
 such list can hold over 65.
 """
@@ -80,7 +80,7 @@ def _group_mask(group: int, groups: int) -> int:
 
 
 def _links_of_cell(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the exact links among distinct fingerprints of one cell."""
+    """For each member of a cell an edge to the first member that exact links reach from it inside the cell."""
     x = members.view(np.uint64)
     packed = x - ((x >> np.uint64(1)) & np.uint64(_ODD))
     counts = ((packed[:, None] >> np.arange(0, 64, 2, dtype=np.uint64)) & np.uint64(3)).astype(np.int8)
@@ -110,7 +110,7 @@ def _cell_links(radius: int):
 
 
 def fingerprint_links(distinct: DataFrame, radius: int = 2, groups: int = 4) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints ``fp`` that connect all pairs within ``radius`` bits, and no others."""
+    """Edges (u, v) among distinct fingerprints ``fp`` whose components are those of all links within ``radius`` bits."""
     if radius > 2:
         raise ValueError("members of large cells are looked up by one-bit neighbours, which reach two bits")
     cells = []
