@@ -48,13 +48,6 @@ def _r4(v):
     return R.spread_quantiles(rows)
 
 
-@query("r5_nest_unnest", "SELECT site_id, day, ensemble, \"TSOIL\" FROM ens_wide")
-def _r5(v):
-    """A site and day hold at most 31 members, and the guard fails the job if they ever hold more."""
-    nested = R.nest(v.ens_wide.select("site_id", "day", "ensemble", "TSOIL"), ["site_id", "day"], max_rows=31)
-    return R.unnest(nested)
-
-
 @query("r6_bind_rows", """
     SELECT site_id, datetime, 'mean' AS model, flux AS value FROM targets_day
     UNION ALL

@@ -1,25 +1,136 @@
-"""Boosted trees for many sites with the distributed trainer of Spark MLlib.
+"""Boosted regression trees for every site at once.
 
-One ensemble of trees is trained for all sites together, with the site as a nominal feature, where a boosting
-library would train one per site: a loop over sites would cost 200 rounds of jobs for each. Trees split on site as
-on any feature, so sites share what they have in common. Values therefore differ from separately trained trees.
+Each site has a model of its own, as a boosting library trained per site would make. Training rows collapse, map-side,
+to the cells of a per-site grid over the two covariates (rows, sum and squares of the flux), so what a task holds of one
+site is at most the grid however many rows the site has. Trees see nothing but which cells lie on either side of a cut;
+with up to ``BINS`` distinct values the grid is exact.
+
+A model is a step function of its two covariates. It is returned as its cuts and the value of each step, so the ensemble
+is predicted by expressions and two lookups, in one pass.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edaflux.functions.noise import keyed_gaussian
 from edaflux.functions.scalars import kelvin_to_celsius
-from edaflux.operators.filters import complete_cases
-from edaflux.operators.reshape import bind_rows
-from edaflux.session import broadcast_if_small, settle
+from edaflux.operators.joins import attach_coefficients, lookup
+from edaflux.session import settle
 
 MIN_ROWS = 5  # strictly more are needed
-MAX_SITES_PER_POOL = 1024  # a nominal feature needs one bin per site; more sites form further pools
+BINS = 256
+DEPTH = 3
+RATE = 0.1
+COVARIATES = ("TSOIL", "SOILW")
+
+
+def _edges(column: str) -> Column:
+    """Aggregate: the bounds of at most ``BINS`` bins; every distinct value is its own bin where that is enough."""
+    return F.percentile_approx(column, [k / BINS for k in range(1, BINS)], 20 * BINS)
+
+
+def _bin(value: Column, edges: Column) -> Column:
+    return F.size(F.filter(edges, lambda e: e < value))
+
+
+def boost(x: np.ndarray, n: np.ndarray, total: np.ndarray, rounds: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Least-squares boosting over grid cells: cuts of each covariate and the fitted value of each step between them.
+
+    ``x`` holds the cells' covariates, ``n`` and ``total`` their rows and sums of the response.
+    """
+    cuts = []
+    for k in range(x.shape[1]):
+        v = np.unique(x[:, k])
+        cuts.append((v[1:] + v[:-1]) / 2)
+    place = np.stack([np.searchsorted(c, x[:, k]) for k, c in enumerate(cuts)], 1)
+    shape = tuple(len(c) + 1 for c in cuts)
+    rows, sums = np.zeros(shape), np.zeros(shape)
+    np.add.at(rows, tuple(place.T), n)
+    np.add.at(sums, tuple(place.T), total)
+    fitted = np.full(shape, sums.sum() / rows.sum())
+    for _ in range(rounds):
+        rest = sums - rows * fitted
+        boxes = [(slice(None),) * len(shape)]
+        for _ in range(DEPTH):
+            boxes = [part for box in boxes for part in _split(rows, rest, box)]
+        for box in boxes:
+            weight = rows[box].sum()
+            if weight > 0:
+                fitted[box] += RATE * rest[box].sum() / weight
+    return cuts, fitted
+
+
+def _split(rows: np.ndarray, rest: np.ndarray, box: tuple) -> list[tuple]:
+    """The two parts of a box with the largest gain, or the box itself where no cut gains anything."""
+    best, found = 1e-12, None
+    weight, gain = rows[box], rest[box]
+    whole = gain.sum() ** 2 / max(weight.sum(), 1)
+    for axis in range(rows.ndim):
+        others = tuple(a for a in range(rows.ndim) if a != axis)
+        w, g = np.cumsum(weight.sum(others)), np.cumsum(gain.sum(others))
+        left, right = w[:-1], w[-1] - w[:-1]
+        good = (left > 0) & (right > 0)
+        if not good.any():
+            continue
+        score = np.where(good, g[:-1] ** 2 / np.maximum(left, 1) + (g[-1] - g[:-1]) ** 2 / np.maximum(right, 1) - whole, -1)
+        at = int(score.argmax())
+        if score[at] > best:
+            best, found = score[at], (axis, at + 1)
+    if found is None:
+        return [box]
+    axis, at = found
+    start, stop, _ = box[axis].indices(rows.shape[axis])
+    low, high = list(box), list(box)
+    low[axis], high[axis] = slice(start, start + at), slice(start + at, stop)
+    return [tuple(low), tuple(high)]
+
+
+_MODEL = "site_id {kind}, sigma double, cuts array<array<double>>, steps array<array<double>>"
+
+
+def fit_boosted(joined_celsius: DataFrame, rounds: int = 200) -> DataFrame:
+    """One row per site with more than five joined rows: (site_id, sigma, cuts, steps).
+
+    The model is null where not more than five rows are complete in every column. ``sigma`` is the sd of the residuals.
+    """
+    used = [c for c in joined_celsius.columns if c != "site_id"]
+    complete = F.lit(True)
+    for c in used:
+        complete = complete & F.col(c).isNotNull()
+    # One aggregate counts a site's rows, its complete rows, and gives the grid.
+    masked = joined_celsius.select("site_id", complete.alias("_whole"), *[F.when(complete, F.col(c)).alias(c) for c in (*COVARIATES, "flux")])
+    sites = settle(masked.groupBy("site_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if("_whole").alias("_complete"),
+        *[_edges(c).alias(f"_edges_{c}") for c in COVARIATES],
+    ).where(F.col("_n") > MIN_ROWS))
+    enough = sites.where(F.col("_complete") > MIN_ROWS)
+    binned = masked.where("_whole").join(enough, "site_id").select(
+        "site_id", "flux", *COVARIATES, *[_bin(F.col(c), F.col(f"_edges_{c}")).alias(f"_bin_{c}") for c in COVARIATES]
+    )
+    cells = binned.groupBy("site_id", *[f"_bin_{c}" for c in COVARIATES]).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("flux").alias("total"), F.sum(F.col("flux") * F.col("flux")).alias("squares"),
+        *[F.avg(c).alias(c) for c in COVARIATES],
+    )
+
+    def train(cell: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.sort_values([f"_bin_{c}" for c in COVARIATES])
+        x = cell[list(COVARIATES)].to_numpy(float)
+        n, total = cell["n"].to_numpy(float), cell["total"].to_numpy(float)
+        cuts, steps = boost(x, n, total, rounds)
+        own = steps[tuple(np.searchsorted(c, x[:, k]) for k, c in enumerate(cuts))]
+        # sd about the residuals' own mean, from sums over cells
+        rest = (total - n * own).sum()
+        squares = (cell["squares"].to_numpy(float) - 2 * own * total + n * own * own).sum()
+        sigma = np.sqrt(max(squares - rest * rest / n.sum(), 0) / (n.sum() - 1))
+        return pd.DataFrame({"site_id": cell["site_id"].iloc[:1], "sigma": [sigma], "cuts": [[c.tolist() for c in cuts]], "steps": [steps.tolist()]})
+
+    kind = joined_celsius.schema["site_id"].dataType.simpleString()
+    models = cells.groupBy("site_id").applyInPandas(train, _MODEL.format(kind=kind))
+    return sites.select("site_id").join(models, "site_id", "left")
 
 
 def predict_boosted(
@@ -27,52 +138,19 @@ def predict_boosted(
 ) -> DataFrame:
     """``value`` of model ``xgboost`` for every ensemble row of a site with more than five joined rows.
 
-    A site with too few rows complete in every column gets null. One residual is drawn per site, not per row.
-    Temperatures are Celsius in training and in prediction.
+    A site with too few rows complete in every column gets null, as does a row without a covariate. One residual is drawn
+    per site, not per row. Temperatures are Celsius in training and in prediction.
     """
-    eligible = joined_celsius.groupBy("site_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MIN_ROWS)
-    complete = complete_cases(joined_celsius)
-    trainable = complete.groupBy("site_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MIN_ROWS)
-    sites = settle(trainable.select("site_id"))
-    pools = max(1, -(-sites.count() // MAX_SITES_PER_POOL))
-    # One row per site is ordered here, never the data.
-    by_pool = Window.partitionBy("_pool").orderBy("site_id")
-    numbered = settle(
-        sites.withColumn("_pool", F.pmod(F.xxhash64("site_id"), F.lit(pools)).cast("int"))
-        .withColumn("_site", (F.row_number().over(by_pool) - 1).cast("double"))
-    )
-    sizes = {r["_pool"]: r["n"] for r in numbered.groupBy("_pool").agg(F.count(F.lit(1)).alias("n")).collect()}
-    training = complete.select("site_id", "flux", "TSOIL", "SOILW")
-    celsius = ensemble.withColumn("_kelvin", F.col("TSOIL")).withColumn("TSOIL", kelvin_to_celsius("TSOIL"))
-
-    parts = []
-    for pool, size in sorted(sizes.items()):
-        members = numbered.where(F.col("_pool") == pool)
-        parts.append(_fit_and_predict(members, size, training, celsius, rounds, noise, seed))
-    rest = eligible.select("site_id").join(sites, "site_id", "left_anti")
-    untrained = celsius.join(rest, "site_id").withColumn("value", F.lit(None).cast("double"))
-    out = bind_rows(*parts, untrained) if parts else untrained
-    return out.withColumn("TSOIL", F.col("_kelvin")).drop("_kelvin").withColumn("model", F.lit("xgboost"))
-
-
-def _fit_and_predict(members, size, training, ensemble, rounds, noise, seed) -> DataFrame:
-    features = VectorAssembler(inputCols=["_site_n", "TSOIL", "SOILW"], outputCol="_x", handleInvalid="keep")
-    nominal = {"ml_attr": {"type": "nominal", "num_vals": size}}
-
-    def assemble(df: DataFrame, table: DataFrame) -> DataFrame:
-        joined = df.join(broadcast_if_small(table), "site_id")
-        return features.transform(joined.withColumn("_site_n", F.col("_site").alias("_site_n", metadata=nominal)))
-
-    rows = assemble(training, members)
-    trainer = GBTRegressor(
-        featuresCol="_x", labelCol="flux", predictionCol="_p", maxDepth=3, stepSize=0.1, maxIter=rounds,
-        maxBins=max(256, size), seed=seed,
-    )
-    model = trainer.fit(rows)
-    sigma = model.transform(rows).groupBy("site_id").agg(F.stddev_samp(F.col("flux") - F.col("_p")).alias("_sigma"))
-    table = settle(members.join(sigma, "site_id"))
-    value = F.col("_p")
+    models = settle(fit_boosted(joined_celsius, rounds))
+    by_row = models.select("site_id", F.posexplode("steps").alias("_i", "_row"))
+    steps = by_row.select("site_id", "_i", F.posexplode("_row").alias("_j", "_step"))
+    rows = attach_coefficients(ensemble, models.drop("steps"))
+    covariates = (kelvin_to_celsius("TSOIL"), F.col("SOILW"))
+    for k, (name, x) in enumerate(zip(("_i", "_j"), covariates, strict=True)):
+        known = x.isNotNull() & F.col("cuts").isNotNull()
+        rows = rows.withColumn(name, F.when(known, _bin(x, F.col("cuts")[k])))
+    out = lookup(rows, steps, ["site_id", "_i", "_j"], "left")
+    value = F.col("_step")
     if noise:
-        value = value + F.lit(float(noise)) * F.col("_sigma") * keyed_gaussian(seed, "boosted", ["site_id"])
-    out = model.transform(assemble(ensemble, table)).withColumn("value", value)
-    return out.select(*ensemble.columns, "value")
+        value = value + F.lit(float(noise)) * F.col("sigma") * keyed_gaussian(seed, "boosted", ["site_id"])
+    return out.withColumns({"value": value, "model": F.lit("xgboost")}).select(*ensemble.columns, "value", "model")

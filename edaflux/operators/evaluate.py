@@ -24,7 +24,7 @@ def sample_crps(
 
 def _crps(value: str, obs: str) -> Column:
     distance = F.try_divide(F.sum(F.col("copies") * F.abs(F.col(value) - F.col(obs))), F.max("size").cast("double"))
-    return distance - spread_of_ranks(value)
+    return F.when(F.abs(distance) < float("inf"), distance) - spread_of_ranks(value)
 
 
 def score_ensemble(
@@ -33,27 +33,34 @@ def score_ensemble(
 ) -> DataFrame:
     """Summary and CRPS of every group that was observed; ``observation_keys`` is the part of ``keys`` both share.
 
-    Members are ranked once, for the quantiles and the CRPS together.
+    Members are ranked once, for the quantiles and the CRPS together. A key observed with several values gives a row
+    for each of them.
     """
     keys, shared = list(keys), list(observation_keys or keys)
     keyed = members.select(group_key(keys).alias("_k"), value)
     observed = observations.select(group_key(shared).alias("_s"), obs)
-    out = keyed_ranks(keyed, value, observed, shared).groupBy("_k").agg(
-        *moments_of_ranks(value), F.max(obs).alias(obs), *quantiles_of_ranks(value, QUANTILES), _crps(value, obs).alias("crps")
+    out = keyed_ranks(keyed, value, observed, shared).groupBy("_k", obs).agg(
+        *moments_of_ranks(value), *quantiles_of_ranks(value, QUANTILES), _crps(value, obs).alias("crps")
     )
     return out.select(*unpacked(keys), "mean", "sd", obs, *QUANTILES, "crps")
 
 
 def taylor_statistics(df: DataFrame, keys: Sequence[str], reference: str, model: str) -> DataFrame:
     """Normalised sd, correlation, centred rms difference and plot coordinates, over complete rows."""
-    rows = complete_cases(df.select(*keys, reference, model))
+    return _taylor(complete_cases(df.select(*keys, reference, model)), keys, reference, model)
+
+
+def _taylor(rows: DataFrame, keys: Sequence[str], reference: str, model: str, *more: Column) -> DataFrame:
+    """The statistics and ``more`` aggregates in one pass; rows hold both values or neither."""
     sums = rows.groupBy(*keys).agg(
+        *more,
         F.stddev_samp(reference).alias("_ref"), F.stddev_samp(model).alias("_mod"), F.corr(reference, model).alias("r"),
         F.stddev_samp(F.col(reference) - F.col(model)).alias("_diff"),
     )
     sd = F.try_divide(F.col("_mod"), F.col("_ref"))
     return sums.select(
-        *keys, F.lit(1.0).alias("sd_meas"), sd.alias("sd"), "r",
+        *keys, *[c for c in sums.columns if c not in (*keys, "_ref", "_mod", "r", "_diff")], F.lit(1.0).alias("sd_meas"),
+        sd.alias("sd"), "r",
         F.try_divide(F.col("_diff"), F.col("_ref")).alias("centered_rms"),
         taylor_x(sd, "r").alias("x_coord"), taylor_y(sd, "r").alias("y_coord"),
     )
@@ -64,20 +71,18 @@ def sensor_model_taylor(sensor: DataFrame, weather: DataFrame, month: str) -> Da
 
     Both sides are long: site_id, day, variable, and ``sensor`` / ``weather`` values.
     """
+    both = F.col("sensor").isNotNull() & F.col("weather").isNotNull()
     paired = sensor.join(weather, ["site_id", "day", "variable"], "left")
-    stats = taylor_statistics(paired, ["site_id", "variable"], "weather", "sensor")
-    groups = paired.select("site_id", "variable").distinct()
-    out = groups.join(stats, ["site_id", "variable"], "left").withColumn("sd_meas", F.lit(1.0))
-    return out.select("site_id", F.lit(month).alias("month"), F.col("variable").alias("name"), *stats.columns[2:])
+    rows = paired.select("site_id", "variable", *[F.when(both, F.col(c)).alias(c) for c in ("sensor", "weather")])
+    stats = _taylor(rows, ["site_id", "variable"], "weather", "sensor")
+    return stats.select("site_id", F.lit(month).alias("month"), F.col("variable").alias("name"), *stats.columns[2:])
 
 
 def driver_agreement(paired: DataFrame, keys: Sequence[str] = ("site_id", "variable")) -> DataFrame:
     """Bias of the weather model against the sensor, with the Taylor statistics."""
     rows = complete_cases(paired.select(*keys, "sensor", "weather"))
-    bias = rows.groupBy(*keys).agg(
-        F.avg(F.col("weather") - F.col("sensor")).alias("bias"), F.count(F.lit(1)).alias("n")
-    )
-    return bias.join(taylor_statistics(rows, keys, "weather", "sensor").drop("sd_meas"), list(keys))
+    bias = F.avg(F.col("weather") - F.col("sensor")).alias("bias")
+    return _taylor(rows, keys, "weather", "sensor", bias, F.count(F.lit(1)).alias("n")).drop("sd_meas")
 
 
 def coverage(

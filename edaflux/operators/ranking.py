@@ -1,10 +1,13 @@
 """Exact order statistics of groups of any size.
 
 A group may hold a third of all rows, so no group is ever sorted or buffered by one task. Rows first collapse to
-(group, distinct value, copies) with map-side combine. Each value falls into a magnitude bucket, a function of the
-value alone that never decreases with it; bucket totals are prefix-summed per group (a short table), and values are
-ordered only within their bucket. Bucket start plus position inside the bucket is the exact rank. Mean, sd, quantiles
-and CRPS all come from these rows, so the members are read and shuffled once for all of them.
+(group, distinct value, copies) with map-side combine. A large group's distinct values are cut into buckets at split
+points sampled from the group itself (a mergeable sketch, so any spread gives even buckets); bucket totals are
+prefix-summed per group (a short table), and values are ordered only within their bucket. Bucket start plus position
+inside the bucket is the exact rank. Mean, sd, quantiles and CRPS all come from these rows.
+
+NaN counts as missing. Infinite values are members with a rank like any other, and quantiles may be infinite; the sd, the
+pairwise spread and the CRPS of a group that holds one are null, as they have no number.
 """
 
 from __future__ import annotations
@@ -17,15 +20,25 @@ from pyspark.sql import functions as F
 
 from edaflux.schemas import QUANTILES
 
-BUCKETS_PER_OCTAVE = 4096
+# A group with more distinct values than one bucket should hold is cut at up to this many split points.
+BUCKET_VALUES = 4096
+SPLITS = 127
+
+
+def split_points(value: Column) -> Column:
+    """Aggregate: ascending split points of a group's finite distinct values; none for a small group."""
+    sample = F.percentile_approx(_finite(value), [k / (SPLITS + 1) for k in range(1, SPLITS + 1)], 4 * (SPLITS + 1))
+    return F.when(F.count(value) > BUCKET_VALUES, F.array_distinct(sample))
 
 
-def magnitude_bucket(value: Column) -> Column:
-    """A non-decreasing integer function of a double: sign times scaled binary logarithm."""
-    scaled = F.floor(F.log2(F.abs(value)) * BUCKETS_PER_OCTAVE) + F.lit(1 << 30)
-    bucket = F.when(value > 0, scaled).when(value < 0, -scaled).otherwise(F.lit(0))
-    # Visibly never null: a null check inferred for one use of it would keep the two uses from sharing a shuffle.
-    return F.coalesce(bucket.cast("long"), F.lit(0).cast("long"))
+def bucket_of(value: Column, splits: Column) -> Column:
+    """The number of split points below a value: never decreases with it. Infinities lie outside all buckets."""
+    inside = F.coalesce(F.size(F.filter(splits, lambda s: s < value)), F.lit(0))
+    return F.when(value == float("inf"), SPLITS + 1).when(value == float("-inf"), -1).otherwise(inside)
+
+
+def _finite(value: Column) -> Column:
+    return F.when(F.abs(value) < float("inf"), value)
 
 
 def group_key(keys: Sequence[str]) -> Column:
@@ -54,11 +67,13 @@ def keyed_ranks(
 
     A group with nulls also has one row of a null value with no copies, so groups of nulls alone stay visible.
     ``observed`` (struct ``_s`` of the ``shared`` keys, and an observation) is attached per group and keeps only
-    observed groups; it meets the short bucket table, never the members.
+    observed groups; it meets the short bucket table, never the members. Each distinct observation is one set of rows.
     """
-    counts = keyed.groupBy("_k", F.col(value).alias("_value")).agg(F.count(value).alias("copies")).withColumn(
-        "_bucket", magnitude_bucket(F.col("_value"))
-    )
+    # Negative zero and zero are one value; NaN is missing.
+    clean = F.when(~F.isnan(value), F.col(value) + F.lit(0.0))
+    copies = keyed.groupBy("_k", clean.alias("_value")).agg(F.count(clean).alias("copies"))
+    splits = copies.groupBy("_k").agg(split_points(F.col("_value")).alias("_splits"))
+    counts = copies.join(splits, "_k").select("_k", "_value", "copies", bucket_of(F.col("_value"), F.col("_splits")).alias("_bucket"))
     totals = counts.groupBy("_k", "_bucket").agg(
         F.sum("copies").alias("_in_bucket"), F.sum(F.col("copies") * F.col("_value")).alias("_bucket_sum")
     )
@@ -72,8 +87,10 @@ def keyed_ranks(
     extra: list[str] = []
     if observed is not None:
         extra = [c for c in observed.columns if c != "_s"]
+        observed = observed.distinct()
         starts = starts.withColumn("_s", F.struct(*[F.col("_k")[c].alias(c) for c in shared])).join(observed, "_s").drop("_s")
-    inside = Window.partitionBy("_k", "_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
+    # A group observed several times has all its members once for each observation.
+    inside = Window.partitionBy("_k", "_bucket", *extra).orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
     return counts.join(starts, ["_k", "_bucket"]).select(
         "_k", F.col("_value").alias(value), "copies",
         (F.col("_start") + F.sum("copies").over(inside) - F.col("copies")).alias("below"), "size", "mean", *extra,
@@ -98,7 +115,9 @@ def quantiles_of_ranks(value: str, probabilities: Mapping[str, float]) -> list[C
         low = F.max(F.when(holds(F.floor(position)), F.col(value)))
         high = F.max(F.when(holds(F.ceil(position)), F.col(value)))
         fraction = F.max(position - F.floor(position))
-        out.append(((F.lit(1.0) - fraction) * low + fraction * high).alias(name))
+        # Between equal values, or exactly at one, nothing is interpolated: zero times infinity is no number.
+        mixed = (F.lit(1.0) - fraction) * low + fraction * high
+        out.append(F.when((fraction == 0) | (low == high), low).otherwise(mixed).alias(name))
     return out
 
 
@@ -106,7 +125,7 @@ def quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float] = QUANTILES
 ) -> DataFrame:
     """Exact type-7 quantiles per group; groups without a value do not appear."""
-    keyed = df.where(F.col(value).isNotNull()).select(group_key(keys).alias("_k"), value)
+    keyed = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(group_key(keys).alias("_k"), value)
     out = keyed_ranks(keyed, value).groupBy("_k").agg(*quantiles_of_ranks(value, probabilities))
     return out.select(*unpacked(keys), *probabilities)
 
@@ -116,7 +135,9 @@ def moments_of_ranks(value: str) -> list[Column]:
     deviation = F.col(value) - F.col("mean")
     squares = F.sum(F.col("copies") * deviation * deviation)
     more = F.when(F.max("size") > 1, (F.max("size") - 1).cast("double"))
-    return [F.max("mean").alias("mean"), F.sqrt(squares / more).alias("sd")]
+    sd = F.sqrt(squares / more)
+    mean = F.max("mean")
+    return [F.when(~F.isnan(mean), mean).alias("mean"), F.when(F.abs(sd) < float("inf"), sd).alias("sd")]
 
 
 def ensemble_summary(
@@ -131,12 +152,13 @@ def ensemble_summary(
 def spread_of_ranks(value: str) -> Column:
     """Half the mean absolute difference of all ordered pairs, from ranks alone."""
     weight = F.col("copies") * (2 * F.col("below") + F.col("copies") - F.col("size"))
-    return F.try_divide(F.sum(F.col(value) * weight), F.max("size").cast("double") * F.max("size"))
+    spread = F.try_divide(F.sum(F.col(value) * weight), F.max("size").cast("double") * F.max("size"))
+    return F.when(F.abs(spread) < float("inf"), spread)
 
 
 def pairwise_spread(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Mean absolute difference over all ordered pairs of members, without forming a pair."""
-    keyed = df.where(F.col(value).isNotNull()).select(group_key(keys).alias("_k"), value)
+    keyed = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(group_key(keys).alias("_k"), value)
     out = keyed_ranks(keyed, value).groupBy("_k").agg(
         F.max("size").alias("members"), (F.lit(2.0) * spread_of_ranks(value)).alias("mean_abs_difference")
     )

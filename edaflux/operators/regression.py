@@ -35,10 +35,12 @@ def fit_line(df: DataFrame, keys: Sequence[str], y: str, x: str, more_than: int
     """
     n = F.count(F.lit(1))
     moments = df.groupBy(*keys).agg(
-        n.alias("n"), F.avg(x).alias("_mx"), F.avg(y).alias("_my"),
+        n.alias("n"), n.alias("_used"), F.avg(x).alias("_mx"), F.avg(y).alias("_my"),
         _centred(n, x, x).alias("_sxx"), _centred(n, x, y).alias("_sxy"), _centred(n, y, y).alias("syy"),
     ).where(F.col("n") > more_than)
-    slope = F.try_divide(F.col("_sxy"), F.when(F.col("_sxx") > 0, F.col("_sxx")))
+    # A covariate whose spread is rounding beside its size is constant.
+    floor = F.lit(RANK_TOLERANCE) * (F.col("_sxx") + F.col("_used") * F.col("_mx") * F.col("_mx"))
+    slope = F.try_divide(F.col("_sxy"), F.when(F.col("_sxx") > floor, F.col("_sxx")))
     solved = moments.withColumn("slope", slope).withColumn(
         "ssr", F.greatest(F.col("syy") - F.col("slope") * F.col("_sxy"), F.when(F.col("slope").isNotNull(), 0.0))
     )

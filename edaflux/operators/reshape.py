@@ -41,23 +41,6 @@ def spread_quantiles(df: DataFrame, array: str = "quantiles", names: Mapping[str
     return df.select(*[c for c in df.columns if c != array], *[F.col(array)[i].alias(n) for i, n in enumerate(names)])
 
 
-def nest(df: DataFrame, keys: Sequence[str], name: str = "data", max_rows: int | None = None) -> DataFrame:
-    """Rows of each group as an array. For small groups only: an array is one value in one task.
-
-    ``max_rows`` guards that: a larger group fails the job instead of exhausting its executor.
-    """
-    rest = [c for c in df.columns if c not in keys]
-    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.collect_list(F.struct(*rest)).alias(name))
-    if max_rows is not None:
-        limit = F.raise_error(F.lit(f"a nested group exceeds {max_rows} rows"))
-        out = out.withColumn(name, F.when(F.col("_rows") <= max_rows, F.col(name)).otherwise(limit))
-    return out.drop("_rows")
-
-
-def unnest(df: DataFrame, name: str = "data") -> DataFrame:
-    return df.select(*[c for c in df.columns if c != name], F.inline(F.col(name)))
-
-
 def bind_rows(*frames: DataFrame, loose: bool = False) -> DataFrame:
     """UNION ALL by column name; ``loose`` fills columns a frame lacks with null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=loose), frames)

@@ -89,10 +89,10 @@ def previous_run(long: DataFrame, origins: DataFrame, met_vars: Sequence[str]) -
 
 
 def noaa_mean_historical(stage3: DataFrame, sites: Sequence[str], year: int) -> DataFrame:
-    """Daily means per site and variable within a year, from its first to its last midnight."""
+    """Daily means per site and variable of a whole year, its last day included."""
     c = F.col("datetime")
     rows = members_of(stage3, "site_id", sites).where(
-        (c >= F.lit(f"{year}-01-01").cast("timestamp")) & (c <= F.lit(f"{year}-12-31").cast("timestamp"))
+        (c >= F.lit(f"{year}-01-01").cast("timestamp")) & (c < F.lit(f"{year + 1}-01-01").cast("timestamp"))
     )
     return rows.groupBy("site_id", day_of("datetime").alias("datetime"), F.col("variable").alias("noaa")).agg(
         F.avg("prediction").alias("value")
