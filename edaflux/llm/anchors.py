@@ -5,12 +5,12 @@ hash, the leftmost of ties; that depends on the window's content alone, so equal
 offsets. All windows of a document fall into runs of neighbours with one anchor place, about one run in half a window.
 A run's content, from its first window's start to its last window's end, is what is compared:
 
-* runs are counted by (anchor, content) with map-side combine; copies need no more work;
-* an anchor with one content can hold no other repetition, and its runs are dropped;
-* of the rest, one run of each distinct content is fetched, and the operator compares the contents of an anchor bucket
+* an anchor that occurs once can hold no repetition, and its run is dropped;
+* other runs are counted by (anchor, content) with map-side combine; copies need no more work;
+* where an anchor has several contents, one run of each is fetched, and the operator compares the contents of an anchor bucket
   (``refine``). A bucket with more than ``BUCKET`` contents is split by window instead: counted rows of window hashes.
 
-So text itself is shuffled twice (for the fetch and for the result), runs once or twice, and windows never unless a
+So text itself is shuffled twice (for the fetch and for the result), runs once, repeated ones again, and windows never unless a
 bucket is that large. Nothing is gathered whole.
 """
 
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edaflux.llm.frames import map_rows, stored
+from edaflux.llm.frames import discard, map_rows, stored
 
 BUCKET = 16_384
 SLAB_BYTES = 2 << 20
@@ -194,7 +194,11 @@ def repeated_spans(
     and ``key``, whether a window counts as repeated; ``refine`` does so inside buckets, over rows (anchor, content,
     first, n, line), and gives ranges of windows for each row.
     """
-    runs = stored(document_runs(docs, units, width, gram, kind))
+    every = stored(document_runs(docs, units, width, gram, kind))
+    # Most anchors occur once. Their runs go before anything wider is shuffled.
+    again = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    runs = stored(every.join(again, "anchor", "left_semi"))
+    discard(every)
     place = F.struct("key", "mark", "lo", "hi")
     contents = runs.groupBy("anchor", "content").agg(
         F.count("*").alias("n"), F.min("key").alias("first"), F.min(place).alias("place")

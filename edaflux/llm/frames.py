@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -62,7 +63,19 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _places[id(table)] = (weakref.ref(table), where)
+    return table
+
+
+_places: dict[int, tuple] = {}
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a stored table that nothing reads any more."""
+    made, where = _places.pop(id(table), (None, None))
+    if made is not None and made() is table:
+        where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:
