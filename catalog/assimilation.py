@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog.models import _NOISE, _noise_check
 from catalog.registry import query
 from edaflux.operators.assimilate import assimilate_forecast, kalman_update
+from edaflux.operators.evaluate import observations_in_span, with_intervals
 
 
 def _observations(v):
@@ -27,12 +29,20 @@ def _k1(v):
     return out.select("event_id", "prediction")
 
 
-@query("k1_kalman_update_seeded")
+@query("k1_kalman_update_seeded", f"""
+    WITH y AS (SELECT site_id, day, avg(value) AS y FROM obs WHERE event_type = 'error' GROUP BY ALL),
+    x AS (SELECT site_id, day, var_samp(value) OVER (PARTITION BY site_id, day) AS p FROM obs WHERE event_type <> 'error')
+    SELECT x.site_id, {_NOISE.format(v="(CASE WHEN p > 0 THEN y END)")} FROM x LEFT JOIN y ON x.site_id = y.site_id AND x.day = y.day GROUP BY x.site_id""")
 def _k1_seeded(v):
-    out = kalman_update(
-        _members(v), _observations(v), ["site_id", "day"], ic_sd=2.0, seed=11, member_keys=["site_id", "day", "event_id"]
-    )
-    return out.select("event_id", "prediction")
+    """What the perturbation adds, by the gain and the sd it should have."""
+    keys = ["site_id", "day"]
+    calm = kalman_update(_members(v), _observations(v), keys, ic_sd=2.0, perturb=0).withColumnRenamed("prediction", "calm")
+    moved = kalman_update(_members(v), _observations(v), keys, ic_sd=2.0, seed=11, member_keys=["site_id", "day", "event_id"])
+    spread = _members(v).groupBy(*keys).agg(F.var_samp("prediction").alias("p")).join(_observations(v), keys, "left")
+    rows = moved.join(calm, ["event_id", *keys]).join(spread, keys)
+    gain = F.col("p") / (F.col("p") + 4)
+    z = F.when((F.col("p") > 0) & F.col("observation").isNotNull(), (F.col("prediction") - F.col("calm")) / (gain * 2))
+    return _noise_check(rows, z)
 
 
 _ASSIMILATED = """
@@ -60,6 +70,19 @@ def _k2_weekly(v):
     return assimilate_forecast(v.forecast_long, v.challenge, "P1W", ic_sd=3.0, perturb=0).select(*_OUT)
 
 
-@query("k2_assimilate_forecast_seeded")
+@query("k2_assimilate_forecast_seeded", f"""
+    {_ASSIMILATED.format(step=1, length=1).replace("CASE WHEN y IS NULL OR p IS NULL THEN prediction ELSE prediction + p / (p + 9.0) * (y - prediction) END AS prediction", "y, p")
+    .replace("SELECT fx.site_id, fx.variable, fx.parameter, fx.datetime,", "SELECT fx.variable, fx.parameter, fx.site_id,", 1)
+    .replace("    SELECT fx.variable", "    , z AS (SELECT fx.variable", 1)})
+    SELECT variable, {_NOISE.format(v="(CASE WHEN p > 0 THEN y END)")} FROM z GROUP BY variable""")
 def _k2_seeded(v):
-    return assimilate_forecast(v.forecast_long, v.challenge, "P1D", ic_sd=3.0, seed=11).select(*_OUT)
+    keys = ["site_id", "variable", "parameter", "datetime"]
+    placed = with_intervals(v.forecast_long, v.forecast_long, "P1D")
+    seen = observations_in_span(v.challenge, v.forecast_long, "P1D").groupBy("site_id", "variable", "interval_id").agg(F.count("observation").alias("seen"))
+    spread = placed.groupBy("site_id", "variable", "interval_id").agg(F.var_samp("prediction").alias("p"))
+    of = placed.select(*keys, "interval_id").join(spread, ["site_id", "variable", "interval_id"]).join(seen, ["site_id", "variable", "interval_id"], "left")
+    calm = assimilate_forecast(v.forecast_long, v.challenge, "P1D", ic_sd=3.0, perturb=0).select(*keys, F.col("prediction").alias("calm"))
+    moved = assimilate_forecast(v.forecast_long, v.challenge, "P1D", ic_sd=3.0, seed=11).select(*keys, "prediction")
+    rows = moved.join(calm, keys).join(of, keys)
+    z = (F.col("prediction") - F.col("calm")) / (F.col("p") / (F.col("p") + 9) * 3)
+    return _noise_check(rows, F.when((F.col("p") > 0) & (F.col("seen") > 0), z), ("variable",))

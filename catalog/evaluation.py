@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog.models import _CUBE, _TAIL
 from catalog.registry import query
 from edaflux.operators import evaluate as E
 from edaflux.operators.regression import regression_diagnostics
@@ -109,9 +110,14 @@ def _e8(v):
     return regression_diagnostics(v.forecast_scored(), ["site_id"]).drop("p_value")
 
 
-@query("e8_regression_p_values")
+@query("e8_regression_p_values", f"""
+    WITH m AS (SELECT site_id, count(*) AS n, regr_sxx(q0500, flux) AS sxx, regr_syy(q0500, flux) AS syy, regr_sxy(q0500, flux) AS sxy
+               FROM forecast_scored WHERE q0500 IS NOT NULL AND flux IS NOT NULL GROUP BY site_id),
+    f AS (SELECT site_id, n, sqrt((sxy / sxx * sxy) / ((syy - sxy / sxx * sxy) / (n - 2))) AS t FROM m WHERE n > 2 AND sxx > 0)
+    SELECT g.site_id, {_TAIL.format(t="t", df="(n - 2)")} AS p_value
+    FROM (SELECT DISTINCT site_id FROM forecast_scored) g LEFT JOIN f USING (site_id)""")
 def _e8_p(v):
-    return regression_diagnostics(v.forecast_scored(), ["site_id"])
+    return regression_diagnostics(v.forecast_scored(), ["site_id"]).select("site_id", F.round("p_value", 6).alias("p_value"))
 
 
 _SPANS = """
@@ -186,8 +192,10 @@ _HINDCAST = """
     f AS (SELECT site_id, my - b * mx AS a, b FROM (
             SELECT site_id, avg(flux) AS my, avg("TSOIL") AS mx, NULLIF(regr_slope(flux, "TSOIL"), 'NaN'::DOUBLE) AS b
             FROM targets_day JOIN drivers_day USING (site_id, datetime)
-            WHERE flux IS NOT NULL AND "TSOIL" IS NOT NULL AND datetime < DATE '2024-01-15' GROUP BY site_id)),
+            WHERE flux IS NOT NULL AND "TSOIL" IS NOT NULL AND datetime < DATE '2024-01-15' GROUP BY site_id HAVING count(*) > 5)),
     m AS (SELECT site_id, day AS datetime, a + b * "TSOIL" AS x FROM ens_wide JOIN f USING (site_id)),
+    """
+_SCORED = """
     ev AS (SELECT * FROM targets_day WHERE datetime >= DATE '2024-01-15'),
     s AS (SELECT site_id, datetime, avg(x) AS mean, stddev_samp(x) AS sd, quantile_cont(x, 0.025) AS q0025,
                  quantile_cont(x, 0.1) AS q0100, quantile_cont(x, 0.5) AS q0500, quantile_cont(x, 0.9) AS q0900,
@@ -200,21 +208,52 @@ _HINDCAST = """
            FROM s JOIN ev USING (site_id, datetime) LEFT JOIN di USING (site_id, datetime) LEFT JOIN sp USING (site_id, datetime))"""
 
 
-def _hindcast(v):
+def _hindcast(v, covariates=("TSOIL",), **model):
     split = F.lit("2024-01-15").cast("date")
     return hindcast(
         v.targets_day.where(F.col("datetime") < split), v.drivers_day.where(F.col("datetime") < split), v.ens_wide,
-        v.targets_day.where(F.col("datetime") >= split), ["TSOIL"],
+        v.targets_day.where(F.col("datetime") >= split), covariates, **model,
     )
 
 
-@query("e11_hindcast", f"WITH {_HINDCAST} SELECT * FROM hc")
+_THREE = f"""
+    tr AS (SELECT site_id, flux, "TSOIL" AS x1, "SOILW" AS x2, "PRES" AS x3 FROM targets_day JOIN drivers_day USING (site_id, datetime)
+           WHERE flux IS NOT NULL AND "TSOIL" IS NOT NULL AND "SOILW" IS NOT NULL AND "PRES" IS NOT NULL AND datetime < DATE '2024-01-15'),
+    f AS ({_CUBE.format(g="site_id", x1="x1", x2="x2", x3="x3", y="flux", t="tr")}),
+    m AS (SELECT site_id, day AS datetime, intercept + b1 * "TSOIL" + b2 * "SOILW" + b3 * "PRES" AS x
+          FROM ens_wide JOIN f USING (site_id) WHERE n > 5),
+    """
+_CURVE = """
+    f AS (SELECT site_id, regr_intercept(flux, exp(-"TSOIL" / 50)) AS a, regr_slope(flux, exp(-"TSOIL" / 50)) AS b
+          FROM targets_day JOIN drivers_day USING (site_id, datetime)
+          WHERE flux IS NOT NULL AND "TSOIL" IS NOT NULL AND datetime < DATE '2024-01-15' GROUP BY site_id HAVING count(*) > 5),
+    m AS (SELECT site_id, day AS datetime, a + b * exp(-"TSOIL" / 50) AS x FROM ens_wide JOIN f USING (site_id)),
+    """
+
+
+@query("e11_hindcast_three_covariates", f"WITH {_THREE} {_SCORED} SELECT * FROM hc")
+def _e11_three(v):
+    return _hindcast(v, ["TSOIL", "SOILW", "PRES"])
+
+
+_NUMBERS = ("mean", "sd", *QUANTILES, "crps")
+
+
+@query("e11_hindcast_formula", f"""
+    WITH {_CURVE} {_SCORED} SELECT site_id, datetime, flux, within_80, {", ".join(f"round({c}, 2) AS {c}" for c in _NUMBERS)} FROM hc""")
+def _e11_formula(v):
+    """Fitted by iteration, so printed to the digits that do not depend on where it stops."""
+    out = _hindcast(v, ["TSOIL"], formula="a0 + a1 * exp(-TSOIL / 50)", parameters=["a0", "a1"], start={"a0": 40.0})
+    return out.withColumns({c: F.round(c, 2) for c in _NUMBERS})
+
+
+@query("e11_hindcast", f"WITH {_HINDCAST} {_SCORED} SELECT * FROM hc")
 def _e11(v):
     return _hindcast(v)
 
 
 @query("e11_hindcast_coverage", f"""
-    WITH {_HINDCAST} SELECT avg(CAST(within_80 AS DOUBLE)) AS coverage_80, avg(crps) AS crps FROM hc""")
+    WITH {_HINDCAST} {_SCORED} SELECT avg(CAST(within_80 AS DOUBLE)) AS coverage_80, avg(crps) AS crps FROM hc""")
 def _e11_coverage(v):
     return _hindcast(v).agg(
         F.avg(F.col("within_80").cast("double")).alias("coverage_80"), F.avg("crps").alias("crps")

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import query
+from catalog.views import RUN_DATE
 from edaflux.functions.dates import day_of
 from edaflux.operators import regression as G
-from edaflux.operators.boosted import predict_boosted
+from edaflux.functions.scalars import kelvin_to_celsius, reduced_temperature_kelvin
+from edaflux.operators.boosted import fit_boosted, predict_boosted
+from edaflux.operators.filters import complete_cases
 from edaflux.operators.joins import pair_training_rows
 from edaflux.operators.nonlinear import fit_formula
 from edaflux.operators.predict import (
@@ -19,9 +22,9 @@ from edaflux.operators.predict import (
 )
 from edaflux.operators.aggregate import ensemble_summary
 from edaflux.plans.daily import celsius_training, daily_forecast, horizon_forecast
+from edaflux.plans.hindcast import fit_flux, with_fitted
 from edaflux.schemas import QUANTILES
 
-BOOSTED_ROUNDS = 10
 # Observed days stand for each training period in turn; a shift of dates brings them into the one asked for.
 _DAYS_TO_TRAINING_MONTH = 61  # January 2024 -> November 2023
 _DAYS_TO_YEAR_BEFORE = 731  # January 2024 -> the end of 2021 and January 2022
@@ -87,14 +90,14 @@ def _m2(v):
 
 @query("m3_exponential_month", f"""
     SELECT site_id, n, intercept, slope AS b_t10, se_intercept, se_slope AS se_t10, sigma
-    FROM ({_LINE.format(g="site_id", x="t10", y="ln_flux", t=_LOGGED.format(and_="AND datetime >= DATE '2024-01-02' AND datetime < DATE '2024-01-25'"), more=2)})""")
+    FROM ({_LINE.format(g="site_id", x="t10", y="ln_flux", t=_LOGGED.format(and_="AND datetime >= DATE '2024-01-02' AND datetime < DATE '2024-02-01'"), more=2)})""")
 def _m3(v):
     """The month is chosen by the run's date; the SQL names the days that fall into it after the shift."""
     from edaflux.functions.dates import training_month
     from edaflux.plans.daily import within_month
 
-    # 2 to 24 January fall into April 2024 once moved by 90 days, and a run of 20 May trains on April.
-    moved = _joined(v).withColumn("datetime", F.date_add("datetime", 90)).where(F.col("datetime") < F.lit("2024-04-24").cast("date"))
+    # 2 to 30 January fall into April 2024 once moved by 90 days, and a run of 20 May trains on April.
+    moved = _joined(v).withColumn("datetime", F.date_add("datetime", 90))
     chosen = within_month(moved, training_month(F.lit("2024-05-20").cast("date")))
     return G.fit_soil_exponential(chosen).drop("ssr", "syy")
 
@@ -126,9 +129,40 @@ def _m5(v):
     return out.select(*_VALUE)
 
 
-@query("m5_linear_prediction_seeded")
+def _noise_check(rows, z, groups=("site_id",)):
+    """Counts, nulls, and whether standardised noise has mean 0 and sd 1 within five standard errors, per group."""
+    n = F.count(z)
+    root = F.sqrt(n.cast("double"))
+    return rows.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(z.isNull()).alias("nulls"),
+        (F.abs(F.avg(z)) <= F.lit(5.0) / root).alias("mean_ok"),
+        (F.abs(F.stddev_samp(z) - 1) <= F.lit(5.0) / F.sqrt(2 * (n - 1).cast("double"))).alias("sd_ok"),
+        (F.count_distinct(z) == n).alias("all_differ"),
+    )
+
+
+_NOISE = """count(*) AS n, count(*) FILTER ({v} IS NULL) AS nulls, CASE WHEN count({v}) > 0 THEN true END AS mean_ok,
+    CASE WHEN count({v}) > 1 THEN true END AS sd_ok, true AS all_differ"""
+
+
+def _seeded_against_point(v, model, scale, transform=lambda c: c):
+    """Seeded values standardised by the sd their noise should have."""
+    fits = _fits(v).where(F.col("model") == model)
+    point = predict_models(v.ens_wide, fits, unc_fac=0, noise=0).select(*_VALUE[:4], transform(F.col("value")).alias("point"))
+    seeded = predict_models(v.ens_wide, fits, seed=11).select(*_VALUE[:4], "TSOIL", "SOILW", transform(F.col("value")).alias("value"))
+    rows = seeded.join(point, list(_VALUE[:4])).join(fits.drop("model"), "site_id")
+    return _noise_check(rows, (F.col("value") - F.col("point")) / F.sqrt(scale))
+
+
+@query("m5_linear_prediction_seeded", f"""
+    WITH p AS (SELECT e.site_id, f.intercept + f.b1 * e."SOILW" + f.b2 * e."TSOIL" AS x FROM ens_wide e JOIN ({_LM}) f USING (site_id))
+    SELECT site_id, {_NOISE.format(v="x")} FROM p GROUP BY site_id""")
 def _m5_seeded(v):
-    return predict_models(v.ens_wide, _fits(v).where(F.col("model") == "lm"), seed=11).select(*_VALUE)
+    sq = lambda c: c * c
+    return _seeded_against_point(
+        v, "lm", sq(F.col("se_intercept")) + sq(F.col("se_soilw") * F.col("SOILW"))
+        + sq(F.col("se_tsoil") * kelvin_to_celsius("TSOIL")) + sq(F.col("sigma")),
+    )
 
 
 @query("m6_exponential_prediction", f"""
@@ -140,15 +174,37 @@ def _m6(v):
     return out.select(*_VALUE)
 
 
-@query("m6_exponential_prediction_seeded")
+@query("m6_exponential_prediction_seeded", f"""
+    WITH p AS (SELECT e.site_id, f.slope * e."TSOIL" AS x FROM ens_wide e JOIN ({_EXP}) f USING (site_id))
+    SELECT site_id, {_NOISE.format(v="x")} FROM p GROUP BY site_id""")
 def _m6_seeded(v):
-    return predict_models(v.ens_wide, _fits(v).where(F.col("model") == "exp"), seed=11).select(*_VALUE)
+    sq = lambda c: c * c
+    t10 = reduced_temperature_kelvin("TSOIL")
+    return _seeded_against_point(
+        v, "exp", sq(F.col("se_intercept")) + sq(F.col("se_t10") * t10) + sq(F.col("sigma")), F.ln
+    )
 
 
-@query("m7_boosted_trees")
+@query("m7_boosted_trees", f"""
+    WITH j AS (SELECT site_id, count(*) AS rows FROM targets_day JOIN drivers_day USING (site_id, datetime) GROUP BY site_id),
+    c AS (SELECT site_id, count(*) AS complete FROM {_COMPLETE} GROUP BY site_id)
+    SELECT e.site_id, count(*) AS n,
+           count(*) FILTER ("TSOIL" IS NULL OR "SOILW" IS NULL OR coalesce(complete, 0) <= 5) AS nulls,
+           CASE WHEN count(*) FILTER ("TSOIL" IS NOT NULL AND "SOILW" IS NOT NULL AND complete > 5) > 0 THEN true END AS in_range,
+           CASE WHEN max(complete) > 5 THEN true END AS fits_closer_than_mean
+    FROM ens_wide e JOIN j USING (site_id) LEFT JOIN c USING (site_id) WHERE rows > 5 GROUP BY e.site_id""")
 def _m7(v):
+    """200 rounds at every site; values lie near the training fluxes and the fit is closer than their mean."""
     joined = celsius_training(_joined(v))
-    return predict_boosted(joined, v.ens_wide, rounds=BOOSTED_ROUNDS, seed=11).select(*_VALUE)
+    values = predict_boosted(joined, v.ens_wide, noise=0)
+    spread = complete_cases(joined).groupBy("site_id").agg(
+        F.min("flux").alias("lo"), F.max("flux").alias("hi"), F.stddev_samp("flux").alias("sd")
+    ).join(fit_boosted(joined).select("site_id", "sigma"), "site_id")
+    return values.join(spread, "site_id", "left").groupBy("site_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("value").isNull()).alias("nulls"),
+        F.bool_and(F.col("value").between(2 * F.col("lo") - F.col("hi"), 2 * F.col("hi") - F.col("lo"))).alias("in_range"),
+        F.bool_and(F.col("sigma") < F.col("sd")).alias("fits_closer_than_mean"),
+    )
 
 
 @query("m8_ols_one_covariate", f"""
@@ -168,15 +224,61 @@ def _m8_two(v):
     return G.fit_many(v.reg_big, ["l_suppkey"], "y", ["x1", "x2"]).drop("ssr")
 
 
-@query("m8_ols_three_covariates")
+# Three covariates by Cramer's rule on centred moments.
+_CUBE = """
+    SELECT {g}, n, my - b1 * m1 - b2 * m2 - b3 * m3 AS intercept, b1, b2, b3, sqrt(ssr / (n - 1)) AS sigma,
+           sqrt(s2 * (1.0 / n + (m1 * m1 * k11 + m2 * m2 * k22 + m3 * m3 * k33 + 2 * (m1 * m2 * k12 + m1 * m3 * k13 + m2 * m3 * k23)) / d)) AS se0,
+           sqrt(s2 * k11 / d) AS se1, sqrt(s2 * k22 / d) AS se2, sqrt(s2 * k33 / d) AS se3
+    FROM (SELECT *, ssr / (n - 4) AS s2
+    FROM (SELECT *, syy - b1 * s1y - b2 * s2y - b3 * s3y AS ssr
+    FROM (SELECT *, (k11 * s1y + k12 * s2y + k13 * s3y) / d AS b1, (k12 * s1y + k22 * s2y + k23 * s3y) / d AS b2,
+                 (k13 * s1y + k23 * s2y + k33 * s3y) / d AS b3
+    FROM (SELECT *, s11 * k11 + s12 * k12 + s13 * k13 AS d
+    FROM (SELECT *, s22 * s33 - s23 * s23 AS k11, s13 * s23 - s12 * s33 AS k12, s12 * s23 - s13 * s22 AS k13,
+                 s11 * s33 - s13 * s13 AS k22, s12 * s13 - s11 * s23 AS k23, s11 * s22 - s12 * s12 AS k33
+    FROM (SELECT {g}, count(*) AS n, avg({x1}) AS m1, avg({x2}) AS m2, avg({x3}) AS m3, avg({y}) AS my,
+                 regr_sxx({y}, {x1}) AS s11, regr_sxx({y}, {x2}) AS s22, regr_sxx({y}, {x3}) AS s33, regr_syy({y}, {x1}) AS syy,
+                 regr_sxy({x1}, {x2}) AS s12, regr_sxy({x1}, {x3}) AS s13, regr_sxy({x2}, {x3}) AS s23,
+                 regr_sxy({y}, {x1}) AS s1y, regr_sxy({y}, {x2}) AS s2y, regr_sxy({y}, {x3}) AS s3y
+          FROM {t} GROUP BY {g}))))))"""
+
+
+@query("m8_ols_three_covariates", f"""
+    WITH f AS ({_CUBE.format(g="l_suppkey", x1="x1", x2="x2", x3="x3", y="y", t="reg_big")})
+    SELECT l_suppkey, n, sigma, '(Intercept)' AS term, intercept AS estimate, se0 AS std_error FROM f
+    UNION ALL SELECT l_suppkey, n, sigma, 'x1', b1, se1 FROM f
+    UNION ALL SELECT l_suppkey, n, sigma, 'x2', b2, se2 FROM f
+    UNION ALL SELECT l_suppkey, n, sigma, 'x3', b3, se3 FROM f""")
 def _m8_three(v):
     return G.fit_many(v.reg_big, ["l_suppkey"], "y", ["x1", "x2", "x3"]).drop("ssr")
 
 
-@query("m9_custom_formula")
+@query("m9_custom_formula", """
+    WITH r AS (SELECT site_id, flux, exp(-"TSOIL" / 50) AS x FROM targets_day JOIN drivers_day USING (site_id, datetime)
+               WHERE flux IS NOT NULL AND "TSOIL" IS NOT NULL),
+    m AS (SELECT site_id, count(*) AS n, NULLIF(regr_slope(flux, x), 'NaN'::DOUBLE) AS b, regr_intercept(flux, x) AS a,
+                 regr_syy(flux, x) AS syy, regr_sxy(flux, x) AS sxy FROM r GROUP BY site_id)
+    SELECT site_id, CASE WHEN b IS NOT NULL THEN round(a, 4) END AS a0, round(b, 4) AS a1, CASE WHEN b IS NOT NULL THEN round(greatest(syy - b * sxy, 0), 4) END AS ssr, n,
+           CASE WHEN b IS NULL THEN 'singular' ELSE 'converged' END AS status FROM m""")
 def _m9(v):
+    """Linear in its parameters, so the closed form is known; slopes by differences leave about eight digits."""
     rows = _joined(v).select("site_id", "flux", (F.col("TSOIL") / 50).alias("TSOIL"))
-    return fit_formula(rows, ["site_id"], "flux", "a0 + a1 * exp(-TSOIL)", ["a0", "a1"], {"a0": 40.0})
+    fit = fit_formula(rows, ["site_id"], "flux", "a0 + a1 * exp(-TSOIL)", ["a0", "a1"], {"a0": 40.0}).drop("iterations")
+    return fit.withColumns({c: F.round(c, 4) for c in ("a0", "a1", "ssr")})
+
+
+@query("m9_non_linear_formula", """
+    SELECT l_suppkey, count(*) AS n, 'converged' AS status, true AS stationary FROM reg_big GROUP BY l_suppkey""")
+def _m9_power(v):
+    """At a least-squares solution the residuals are orthogonal to the slopes of every parameter."""
+    rows = v.reg_big.select("l_suppkey", "y", (F.col("x1") / 50).alias("x"))
+    fit = fit_formula(rows, ["l_suppkey"], "y", "a0 * exp(a1 * x)", ["a0", "a1"], {"a0": 10_000.0, "a1": 1.0})
+    curve = F.exp(F.col("a1") * F.col("x"))
+    r, slopes = F.col("y") - F.col("a0") * curve, [curve, F.col("a0") * F.col("x") * curve]
+    flat = [F.abs(F.sum(r * j)) <= F.lit(1e-4) * F.sqrt(F.sum(r * r) * F.sum(j * j)) for j in slopes]
+    return rows.join(fit.select("l_suppkey", "a0", "a1", "status"), "l_suppkey").groupBy("l_suppkey").agg(
+        F.count(F.lit(1)).alias("n"), F.max("status").alias("status"), (flat[0] & flat[1]).alias("stationary")
+    )
 
 
 @query("m10_deterministic_prediction", """
@@ -204,9 +306,23 @@ def _m11(v):
     return _coefficients(v).drop("p_value")
 
 
-@query("m11_p_values")
+# Simpson's rule over the tail angle, the integrand relative to its largest value; P(|T| > t) of df degrees of freedom.
+_TAIL = """
+    CASE WHEN {t} IS NOT NULL AND {df} >= 1 THEN round(pow(1 + pow({t}, 2) / {df}, -({df} - 1) / 2.0)
+      * (SELECT sum(CASE WHEN k IN (0, 6000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(({df} - 1) * ln(greatest(
+             cos(atan2(1, abs({t}) / sqrt({df})) * k / 6000) - abs({t}) / sqrt({df}) * sin(atan2(1, abs({t}) / sqrt({df})) * k / 6000), 1e-300))))
+         FROM range(0, 6001) AS r(k)) * atan2(1, abs({t}) / sqrt({df}))
+      / (SELECT sum(CASE WHEN k IN (0, 6000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(({df} - 1) * ln(greatest(
+             cos(pi() / 2 * k / 6000), 1e-300)))) FROM range(0, 6001) AS r(k)) / (pi() / 2), 6) END"""
+
+
+@query("m11_p_values", f"""
+    WITH f AS ({_PLANE.format(g="l_suppkey", x1="x1", x2="x2", y="y", t="reg_big")}),
+    r AS (SELECT l_suppkey, n, '(Intercept)' AS term, intercept / se0 AS t FROM f
+          UNION ALL SELECT l_suppkey, n, 'x1', b1 / se1 FROM f UNION ALL SELECT l_suppkey, n, 'x2', b2 / se2 FROM f)
+    SELECT l_suppkey, term, {_TAIL.format(t="t", df="(n - 3)")} AS p_value FROM r""")
 def _m11_p(v):
-    return _coefficients(v)
+    return _coefficients(v).select("l_suppkey", "term", F.round("p_value", 6).alias("p_value"))
 
 
 def _coefficients(v):
@@ -232,13 +348,25 @@ def _m13(v):
     return apply_model(v.ens_wide, model).select("site_id", "day", "ensemble", "prediction")
 
 
-@query("m13_user_model_seeded")
+@query("m12_fitted_values", """
+    WITH f AS (SELECT site_id, NULLIF(regr_intercept(flux, "TSOIL"), 'NaN'::DOUBLE) AS a, NULLIF(regr_slope(flux, "TSOIL"), 'NaN'::DOUBLE) AS b
+               FROM targets_day JOIN drivers_day USING (site_id, datetime) WHERE flux IS NOT NULL AND "TSOIL" IS NOT NULL
+               GROUP BY site_id HAVING count(*) > 5)
+    SELECT site_id, datetime, a + b * "TSOIL" AS fitted, flux - (a + b * "TSOIL") AS residual
+    FROM targets_day JOIN drivers_day USING (site_id, datetime) JOIN f USING (site_id)""")
+def _m12_fitted(v):
+    joined = _joined(v)
+    return with_fitted(joined, *fit_flux(joined, ["TSOIL"])).select("site_id", "datetime", "fitted", "residual")
+
+
+@query("m13_user_model_seeded", f"""SELECT site_id, {_NOISE.format(v='"TSOIL"')} FROM ens_wide GROUP BY site_id""")
 def _m13_seeded(v):
     def model(TSOIL):
         return F.lit(1.5) + F.lit(0.1) * TSOIL
 
     keys = ["site_id", "day", "ensemble"]
-    return apply_model(v.ens_wide, model, process_unc=0.3, seed=11, keys=keys).select(*keys, "prediction")
+    out = apply_model(v.ens_wide, model, process_unc=0.3, seed=11, keys=keys)
+    return _noise_check(out, (F.col("prediction") - model(F.col("TSOIL"))) / F.lit(0.3))
 
 
 @query("m13_null_model", """
@@ -290,43 +418,98 @@ _PERIODS = f"""
         FROM vals GROUP BY site_id, model, day)"""
 
 
-@query("m14_daily_forecast", f"WITH {_PERIODS} SELECT * FROM summary WHERE day = DATE '2024-01-01'")
+# Trees have no SQL: their rows are checked by what is there, and by quantiles that ascend.
+_TREES = """
+    mj AS (SELECT site_id, count(*) AS rows, count(*) FILTER (flux IS NOT NULL AND flux_err IS NOT NULL AND "PRES" IS NOT NULL
+             AND "TSOIL" IS NOT NULL AND "SOILW" IS NOT NULL AND "WEASD" IS NOT NULL AND "SNOD" IS NOT NULL AND "ICETK" IS NOT NULL) AS complete
+           FROM jn WHERE year(datetime) = 2023 AND month(datetime) = 11 GROUP BY site_id),
+    trees AS (SELECT e.site_id, 'xgboost' AS model, e.day, CASE WHEN max(complete) > 5 AND count(*) FILTER ("TSOIL" IS NOT NULL AND "SOILW" IS NOT NULL) > 0 THEN true END AS ascending
+              FROM ens_wide e JOIN mj USING (site_id) WHERE rows > 5 GROUP BY e.site_id, e.day)"""
+_NUMBERS = ("mean", "sd", *QUANTILES)
+
+
+def _checked(df, numbers=_NUMBERS):
+    """Forecasts with the trees' numbers replaced by whether their quantiles ascend."""
+    up = F.col("q0025") <= F.col("q0100")
+    for a, b in (("q0100", "q0500"), ("q0500", "q0900"), ("q0900", "q0975")):
+        up = up & (F.col(a) <= F.col(b))
+    tree = F.col("model") == "xgboost"
+    return df.withColumn("ascending", F.when(tree, up)).withColumns({c: F.when(~tree, F.col(c)) for c in numbers})
+
+
+@query("m14_daily_forecast", f"""
+    WITH {_PERIODS}, {_TREES}
+    SELECT *, NULL::BOOLEAN AS ascending FROM summary WHERE day = DATE '2024-01-01'
+    UNION ALL BY NAME SELECT * FROM trees WHERE day = DATE '2024-01-01'""")
 def _m14(v):
     targets, drivers = _training(v)
-    return daily_forecast(
-        v.ens_wide, targets, drivers, "2024-01-01", unc_fac=0, noise=0, boosted_rounds=0, include_null=True
-    )
+    return _checked(daily_forecast(
+        v.ens_wide, targets, drivers, "2024-01-01", unc_fac=0, noise=0, include_null=True, reference_date=RUN_DATE
+    ))
 
 
-@query("m14_daily_forecast_seeded")
+@query("m14_daily_forecast_seeded", f"""
+    WITH {_PERIODS}, {_TREES}
+    SELECT site_id, model, day, CASE WHEN q0500 IS NOT NULL THEN true END AS ascending FROM summary
+    WHERE day = DATE '2024-01-01' AND model <> 'null'
+    UNION ALL SELECT * FROM trees WHERE day = DATE '2024-01-01'""")
 def _m14_seeded(v):
+    """Rows and null pattern of all four models with noise."""
     targets, drivers = _training(v)
-    return daily_forecast(v.ens_wide, targets, drivers, "2024-01-01", seed=11, boosted_rounds=BOOSTED_ROUNDS)
+    out = daily_forecast(v.ens_wide, targets, drivers, "2024-01-01", seed=11, reference_date=RUN_DATE)
+    return _ascending(out)
+
+
+def _ascending(df):
+    q = [F.col(c) for c in QUANTILES]
+    return df.select("site_id", "model", "day", ((q[0] <= q[1]) & (q[1] <= q[2]) & (q[2] <= q[3]) & (q[3] <= q[4])).alias("ascending"))
 
 
 @query("m15_horizon_forecast", f"""
-    WITH {_PERIODS},
+    WITH {_PERIODS}, {_TREES},
     pairs AS (
         SELECT a.site_id, a.model, a.day, avg(abs(a.value - b.value)) AS spread FROM vals a
         JOIN vals b ON a.site_id = b.site_id AND a.model = b.model AND a.day = b.day
         WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY ALL),
     dist AS (SELECT e.site_id, e.model, e.day, avg(abs(e.value - t.flux)) AS d FROM vals e
              JOIN tr t ON e.site_id = t.site_id AND e.day = t.datetime WHERE e.value IS NOT NULL GROUP BY ALL)
-    SELECT s.*, CAST(s.day - DATE '2024-01-01' AS INTEGER) AS horizon, d.d - p.spread / 2 AS crps
+    SELECT s.*, CAST(s.day - DATE '2024-01-01' AS INTEGER) AS horizon, d.d - p.spread / 2 AS crps, NULL::BOOLEAN AS ascending
     FROM summary s JOIN tr t ON s.site_id = t.site_id AND s.day = t.datetime
     LEFT JOIN dist d ON s.site_id = d.site_id AND s.model = d.model AND s.day = d.day
-    LEFT JOIN pairs p ON s.site_id = p.site_id AND s.model = p.model AND s.day = p.day""")
+    LEFT JOIN pairs p ON s.site_id = p.site_id AND s.model = p.model AND s.day = p.day
+    UNION ALL BY NAME SELECT x.*, CAST(x.day - DATE '2024-01-01' AS INTEGER) AS horizon
+    FROM trees x JOIN tr t ON x.site_id = t.site_id AND x.day = t.datetime""")
 def _m15(v):
     targets, drivers = _training(v)
-    return horizon_forecast(
-        v.ens_wide, targets, drivers, "2024-01-01", unc_fac=0, noise=0, boosted_rounds=0, include_null=True
-    )
+    return _checked(horizon_forecast(
+        v.ens_wide, targets, drivers, "2024-01-01", unc_fac=0, noise=0, include_null=True
+    ), (*_NUMBERS, "crps"))
 
 
-@query("m15_horizon_forecast_seeded")
+@query("m15_horizon_forecast_seeded", f"""
+    WITH {_PERIODS}, {_TREES}
+    SELECT s.site_id, model, day, CASE WHEN q0500 IS NOT NULL THEN true END AS ascending FROM summary s
+    JOIN tr t ON s.site_id = t.site_id AND s.day = t.datetime WHERE model <> 'null'
+    UNION ALL SELECT x.* FROM trees x JOIN tr t ON x.site_id = t.site_id AND x.day = t.datetime""")
 def _m15_seeded(v):
     targets, drivers = _training(v)
-    return horizon_forecast(v.ens_wide, targets, drivers, "2024-01-01", seed=11, boosted_rounds=BOOSTED_ROUNDS)
+    return _ascending(horizon_forecast(v.ens_wide, targets, drivers, "2024-01-01", seed=11))
+
+
+@query("m_overflowing_site", """
+    WITH v AS (SELECT site_id, day, exp("TSOIL" * 0.01::DOUBLE) AS x FROM ens_wide WHERE site_id <> '3')
+    SELECT site_id, day, avg(x) AS mean, stddev_samp(x) AS sd, quantile_cont(x, 0.025) AS q0025, quantile_cont(x, 0.1) AS q0100,
+           quantile_cont(x, 0.5) AS q0500, quantile_cont(x, 0.9) AS q0900, quantile_cont(x, 0.975) AS q0975
+    FROM v GROUP BY site_id, day
+    UNION ALL SELECT site_id, day, CASE WHEN count("TSOIL") > 0 THEN 'inf'::DOUBLE END, NULL,
+      quantile_cont(big, 0.025), quantile_cont(big, 0.1), quantile_cont(big, 0.5), quantile_cont(big, 0.9), quantile_cont(big, 0.975)
+    FROM (SELECT *, CASE WHEN "TSOIL" IS NOT NULL THEN 'inf'::DOUBLE END AS big FROM ens_wide WHERE site_id = '3') GROUP BY site_id, day""")
+def _overflow(v):
+    """A site whose exponent overflows has infinite quantiles and no sd; the other sites are as ever."""
+    steep = F.when(F.col("site_id") == "3", 1e4).otherwise(0.01)
+    base = F.when(F.col("site_id") == "3", F.greatest("TSOIL", F.lit(1.0))).otherwise(F.col("TSOIL"))
+    values = v.ens_wide.select("site_id", "day", F.when(F.col("TSOIL").isNotNull(), F.exp(base * steep)).alias("value"))
+    return ensemble_summary(values, ["site_id", "day"]).select("site_id", "day", "mean", "sd", *QUANTILES)
 
 
 @query("m_flagship_null_forecast", """

@@ -7,12 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from catalog.registry import query
-from edaflux.functions.dates import month_label
-from edaflux.functions.scalars import name_part
 from edaflux.operators.aggregate import ensemble_summary
-from edaflux.schemas import FORECAST_DAILY, QUANTILE_FILE_NAMES
+from edaflux.schemas import CHALLENGE_CSV, FORECAST_DAILY, FORECAST_HORIZON, QUANTILE_FILE_NAMES
 from edaflux.session import shared_folder
-from edaflux.sources.challenge import select_observations
+from edaflux.sources.challenge import get_forecast_data
 from edaflux.sources.ensemble import (
     gefs_soil_forecasts,
     month_of_drivers,
@@ -20,8 +18,25 @@ from edaflux.sources.ensemble import (
     noaa_soil_drivers,
     previous_run,
 )
-from edaflux.sources.observations import in_month_list, in_period
-from edaflux.sources.sinks import submission, submission_problems, write_daily_forecasts
+from edaflux.sources.observations import (
+    consolidate_flux_month,
+    consolidate_sensor_month,
+    download_values,
+    drivers_available,
+    in_month_list,
+    in_period,
+    read_csv,
+    targets_available,
+)
+from edaflux.sources.sinks import (
+    submission,
+    submission_problems,
+    write_daily_forecasts,
+    write_horizon_forecasts,
+    write_month_of_drivers,
+    write_month_of_targets,
+    write_named_files,
+)
 
 _WIDE = """
        max(NULLIF(prediction, 9999.0)) FILTER (variable = 'PRES') AS "PRES",
@@ -33,34 +48,82 @@ _WIDE = """
 _IN_ENV = "variable IN ('PRES', 'TSOIL', 'SOILW', 'WEASD', 'SNOD', 'ICETK')"
 
 
-@query("s1_download_values_year", """
-    SELECT row_id, site_id, datetime, flux FROM monthly WHERE datetime >= DATE '1997-01-01' AND datetime < DATE '1998-01-01'""")
+def _folder(v, name):
+    return f"{shared_folder(v.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _targets_files(v):
+    """Monthly target files of seven years with missing errors, and a file of another layout among them."""
+    folder = _folder(v, "targets")
+    error = F.when(F.col("row_id") % 5 != 0, F.lit(1.5))
+    write_month_of_targets(v.monthly.select(
+        "site_id", F.col("datetime").cast("timestamp").alias("startDateTime"), "flux", error.alias("flux_err")), folder)
+    write_named_files(v.spark.range(1).select("id"), folder, F.lit("readme-of-targets"))
+    return folder
+
+
+_TARGET_ROWS = """
+    SELECT site_id, CAST(datetime AS TIMESTAMP) AS datetime, flux, CASE WHEN row_id % 5 <> 0 THEN 1.5::DOUBLE END AS flux_err FROM monthly"""
+
+
+@query("s1_download_values_year", f"{_TARGET_ROWS} WHERE datetime >= DATE '1997-01-01' AND datetime < DATE '1998-01-01'")
 def _s1_year(v):
-    return in_period(v.monthly, 1997)
+    return download_values(v.spark, _targets_files(v), "targets", 1997)
 
 
-@query("s1_download_values_month", """
-    SELECT row_id, site_id, datetime, flux FROM monthly WHERE datetime >= DATE '1997-12-01' AND datetime < DATE '1998-01-01'""")
+@query("s1_download_values_month", f"{_TARGET_ROWS} WHERE datetime >= DATE '1997-12-01' AND datetime < DATE '1998-01-01'")
 def _s1_month(v):
-    return in_period(v.monthly, 1997, 12)
+    return download_values(v.spark, _targets_files(v), "targets", "1997", 12)
 
 
-@query("s2_targets_available", "SELECT site_id, datetime, flux, flux_err FROM targets_day")
-def _s2(v):
-    return in_month_list(v.targets_day, None)
+@query("s2_targets_available_months", f"{_TARGET_ROWS} WHERE strftime(datetime, '%Y-%m') IN ('1996-02', '1997-11')")
+def _s2_months(v):
+    return targets_available(v.spark, _targets_files(v), ["1996-02", "1997-11"])
+
 
+@query("s1_in_period", """
+    SELECT row_id, site_id, datetime, flux FROM monthly WHERE datetime >= DATE '1997-12-01' AND datetime < DATE '1998-01-01'""")
+def _s1_period(v):
+    return in_period(v.monthly, 1997, 12)
 
-@query("s2_targets_available_months", """
+
+@query("s2_in_month_list", """
     SELECT row_id, site_id, datetime, flux FROM monthly WHERE strftime(datetime, '%Y-%m') IN ('1996-02', '1999-11')""")
-def _s2_months(v):
+def _s2_list(v):
     return in_month_list(v.monthly, ["1996-02", "1999-11"])
 
 
-@query("s3_drivers_available", """
-    SELECT site_id, datetime, "PRES", "TSOIL", "SOILW", "WEASD", "SNOD", "ICETK" FROM drivers_day
-    WHERE strftime(datetime, '%Y-%m') IN ('2024-01')""")
+_SHIFTED = """
+    SELECT site_id, CAST(datetime + s AS TIMESTAMP) AS datetime, "PRES", "TSOIL", "SOILW", "WEASD", "SNOD", "ICETK"
+    FROM drivers_day, (VALUES (0), (40), (366)) AS t(s)"""
+
+
+def _drivers_files(v):
+    folder = _folder(v, "drivers")
+    shifted = v.drivers_day.withColumn("_s", F.explode(F.array(F.lit(0), F.lit(40), F.lit(366))))
+    dated = shifted.withColumn("datetime", F.date_add("datetime", F.col("_s")).cast("timestamp")).drop("_s")
+    write_month_of_drivers(dated, folder)
+    return folder
+
+
+@query("s2_targets_available", """
+    SELECT site_id, CAST(datetime AS TIMESTAMP) AS datetime, flux, flux_err FROM targets_day""")
+def _s2(v):
+    """All files, without a list of months."""
+    folder = _folder(v, "targets")
+    write_month_of_targets(v.targets_day.select("site_id", F.col("datetime").cast("timestamp").alias("startDateTime"), "flux", "flux_err"), folder)
+    return targets_available(v.spark, folder)
+
+
+@query("s3_drivers_available", f"WITH d AS ({_SHIFTED}) SELECT * FROM d WHERE strftime(datetime, '%Y-%m') IN ('2024-01', '2025-01')")
 def _s3(v):
-    return in_month_list(v.drivers_day, ["2024-01"])
+    return drivers_available(v.spark, _drivers_files(v), ["2024-01", "2025-01"])
+
+
+@query("s9_monthly_drivers", f"WITH d AS ({_SHIFTED}) SELECT * FROM d WHERE datetime >= TIMESTAMP '2024-02-01' AND datetime < TIMESTAMP '2024-03-01'")
+def _s9_monthly(v):
+    """Written as monthly files, one month read back."""
+    return download_values(v.spark, _drivers_files(v), "drivers", 2024, 2)
 
 
 @query("s4_gefs_soil_forecasts", f"""
@@ -89,11 +152,17 @@ def _s5(v):
 
 
 @query("s6_get_forecast_data", """
-    SELECT project_id, site_id, datetime, duration, variable, observation FROM challenge
-    WHERE variable IN ('TSOIL', 'SOILW') AND datetime BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'
-      AND site_id IN ('0', '3', '4')""")
+    SELECT project_id, site_id, datetime, duration, CASE variable WHEN 'TSOIL' THEN 'nee' ELSE 'oxygen' END AS variable, observation
+    FROM challenge WHERE datetime BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' AND site_id IN ('0', '3', '4')""")
 def _s6(v):
-    return select_observations(v.challenge, ["TSOIL", "SOILW"], "2024-01-05", "2024-01-20", ["0", "3", "4"])
+    """Two datasets as gzipped CSV, each with variables nobody asked for."""
+    paths = {}
+    for dataset, own, name in (("fluxes", "TSOIL", "nee"), ("aquatics", "SOILW", "oxygen")):
+        rows = v.challenge.where(F.col("variable") == own)
+        both = rows.withColumn("variable", F.explode(F.array(F.lit(name), F.lit("le" if own == "TSOIL" else "chla"))))
+        paths[dataset] = _folder(v, dataset)
+        both.select(*CHALLENGE_CSV.names).write.option("header", True).option("nullValue", "NA").option("compression", "gzip").csv(paths[dataset])
+    return get_forecast_data(v.spark, paths, "2024-01-05", "2024-01-20", ["nee", "oxygen"], ["0", "3", "4"])
 
 
 @query("s7_get_forecast_noaa", """
@@ -111,11 +180,12 @@ def _s7(v):
 
 
 @query("s8_noaa_mean_historical", """
-    SELECT site_id, day AS datetime, variable AS noaa, avg(prediction) AS value FROM ens_long
-    WHERE site_id IN ('2', '5') AND datetime >= TIMESTAMP '2024-01-01' AND datetime <= TIMESTAMP '2024-12-31'
-    GROUP BY site_id, day, variable""")
+    SELECT site_id, day + 336 AS datetime, variable AS noaa, avg(prediction) AS value FROM ens_long
+    WHERE site_id IN ('2', '5') AND day + 336 <= DATE '2024-12-31' GROUP BY site_id, day, variable""")
 def _s8(v):
-    return noaa_mean_historical(v.ens_long, ["2", "5"], 2024)
+    """Days moved so that the last of them is 31 December, whose hours all count."""
+    moved = v.ens_long.withColumn("datetime", F.col("datetime") + F.expr("INTERVAL 336 DAYS"))
+    return noaa_mean_historical(moved, ["2", "5"], 2024)
 
 
 @query("s9_csv_sink", """
@@ -130,19 +200,46 @@ def _s9(v):
     return back.csv(folder).select(*FORECAST_DAILY.names)
 
 
+@query("s9_horizon_sink", """
+    SELECT site_id, 'tsoil' AS model, datetime AS day, CAST(datetime - DATE '2024-01-01' AS INTEGER) AS horizon, mean, sd,
+           q0025, q0100, q0500, q0900, q0975, CASE WHEN day(datetime) % 3 <> 0 THEN mean / 2 END AS crps
+    FROM tsoil_summary""")
+def _s9_horizon(v):
+    """Written as month-end files and read back with the file's own schema."""
+    members = v.ens_wide.select("site_id", F.lit("tsoil").alias("model"), "day", F.col("TSOIL").alias("value"))
+    summary = ensemble_summary(members, ["site_id", "model", "day"]).withColumns({
+        "horizon": F.datediff("day", F.lit("2024-01-01").cast("date")), "crps": F.when(F.dayofmonth("day") % 3 != 0, F.col("mean") / 2)})
+    folder = _folder(v, "horizon")
+    write_horizon_forecasts(summary, folder)
+    return read_csv(v.spark, folder, FORECAST_HORIZON, "forecast_prediction_horizon-*-31.csv")
+
+
 @query("s10_consolidate_month", """
-    SELECT site_id, day AS "startDateTime", avg(value) FILTER (variable = 'SOILW') AS "VSWC",
+    SELECT lpad(site_id, 4, '0') AS site_id, CAST(day AS TIMESTAMP) AS "startDateTime", avg(value) FILTER (variable = 'SOILW') AS "VSWC",
            avg(value) FILTER (variable = 'TSOIL') AS "SOILT"
     FROM obs GROUP BY site_id, day""")
 def _s10(v):
-    """Site names recovered from names of per-site files, sites bound into one table."""
-    file_name = F.concat(F.lit("soil_drivers-"), F.lpad("site_id", 4, "0"), F.lit("-"), month_label("day"), F.lit(".csv"))
-    site = name_part(file_name, r"soil_drivers-([A-Za-z0-9]{4})-\d{4}-\d{2}\.csv")
-    named = v.obs.withColumn("site_id", F.regexp_replace(site, "^0{3}", ""))
-    return named.groupBy("site_id", F.col("day").alias("startDateTime")).agg(
-        F.avg(F.when(F.col("variable") == "SOILW", F.col("value"))).alias("VSWC"),
+    """A file for each site and month, of this month and another; the site is in the name only."""
+    site, month = F.lpad("site_id", 4, "0"), F.date_format("startDateTime", "yyyy-MM")
+    rows = v.obs.groupBy("site_id", F.col("day").cast("timestamp").alias("startDateTime")).agg(
         F.avg(F.when(F.col("variable") == "TSOIL", F.col("value"))).alias("SOILT"),
+        F.avg(F.when(F.col("variable") == "SOILW", F.col("value"))).alias("VSWC"),
     )
+    later = rows.withColumn("startDateTime", F.col("startDateTime") + F.expr("INTERVAL 31 DAYS"))
+    folder = _folder(v, "sensors")
+    named = rows.unionByName(later).withColumn("_file", F.concat(F.lit("soil_drivers-"), site, F.lit("-"), month))
+    write_named_files(named.select("startDateTime", "SOILT", "VSWC", "_file"), folder, F.col("_file"), drop=["_file"])
+    return consolidate_sensor_month(v.spark, folder, "2024-01")
+
+
+@query("s10_consolidate_flux_month", """
+    SELECT site_id, CAST(datetime AS TIMESTAMP) AS "startDateTime", flux, flux_err FROM targets_day WHERE site_id IN ('1', '2', '3')""")
+def _s10_flux(v):
+    folder = _folder(v, "fluxes")
+    rows = v.targets_day.where(F.col("site_id").isin("1", "2", "3")).select("site_id", F.col("datetime").cast("timestamp").alias("startDateTime"), "flux", "flux_err")
+    write_named_files(rows, folder, F.concat(F.lit("forecast_prediction-"), F.col("site_id"), F.lit("-2024-01")))
+    write_named_files(rows, folder, F.concat(F.lit("forecast_prediction-"), F.col("site_id"), F.lit("-2024-02")))
+    return consolidate_flux_month(v.spark, folder, "2024-01")
 
 
 @query("s11_month_of_drivers", f"""
@@ -167,11 +264,20 @@ def _s12(v):
 
 
 @query("s12_submission_checks", """
-    SELECT CAST(count(DISTINCT reference_datetime) AS BIGINT) AS reference_dates, CAST(0 AS BIGINT) AS ids_with_space,
-           CAST(0 AS BIGINT) AS rows_without_key, count(*) AS n
-    FROM forecast_long""")
+    SELECT count(DISTINCT reference_datetime) AS reference_dates, count(*) FILTER (model_id LIKE '% %') AS ids_with_space,
+           count(*) FILTER (site_id IS NULL OR datetime IS NULL) AS rows_without_key, count(*) AS n
+    FROM (SELECT reference_datetime + CAST(CAST(parameter AS BIGINT) % 3 AS INTEGER) AS reference_datetime, datetime,
+                 CASE WHEN CAST(parameter AS BIGINT) % 7 = 0 THEN 'lm demo' ELSE 'lm_demo' END AS model_id,
+                 CASE WHEN CAST(parameter AS BIGINT) % 11 <> 0 THEN site_id END AS site_id FROM forecast_long)""")
 def _s12_checks(v):
-    return submission_problems(submission(v.forecast_long.withColumn("family", F.lit("ensemble")), "demo", "lm_demo"))
+    """Three reference dates, blanks and spaces."""
+    number = F.col("parameter").cast("long")
+    faulty = submission(v.forecast_long.withColumn("family", F.lit("ensemble")), "demo", "lm_demo").withColumns({
+        "reference_datetime": F.date_add("reference_datetime", (number % 3).cast("int")),
+        "model_id": F.when(number % 7 == 0, "lm demo").otherwise(F.col("model_id")),
+        "site_id": F.when(number % 11 != 0, F.col("site_id")),
+    })
+    return submission_problems(faulty)
 
 
 assert list(QUANTILE_FILE_NAMES) == FORECAST_DAILY.names[-5:]

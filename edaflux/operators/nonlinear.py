@@ -61,7 +61,8 @@ def fit_formula(
             .when(F.col("_ssr").isNull(), "no descent")
             .otherwise("running")
         )
-        length = F.coalesce("_length", F.lit(0.0))
+        # The last step of a converged group is taken too: it is short, and halves the digits that are still wrong.
+        length = F.when(status == "converged", 1.0).otherwise(F.coalesce("_length", F.lit(0.0)))
         moved = moved.select(
             *keys, "n", *[(F.col(p) + length * F.coalesce(f"_d_{p}", F.lit(0.0))).alias(p) for p in names],
             F.coalesce("_ssr", "_ssr0").alias("ssr"), (F.col("iterations") + 1).alias("iterations"), status.alias("status"),

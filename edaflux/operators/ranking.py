@@ -72,7 +72,9 @@ def keyed_ranks(
     # Negative zero and zero are one value; NaN is missing.
     clean = F.when(~F.isnan(value), F.col(value) + F.lit(0.0))
     copies = keyed.groupBy("_k", clean.alias("_value")).agg(F.count(clean).alias("copies"))
-    splits = copies.groupBy("_k").agg(split_points(F.col("_value")).alias("_splits"))
+    # The condition keeps this plan equal to the other use of ``copies``, so that both share one shuffle.
+    known = F.when(F.col("copies") > 0, F.col("_value"))
+    splits = copies.groupBy("_k").agg(split_points(known).alias("_splits"))
     counts = copies.join(splits, "_k").select("_k", "_value", "copies", bucket_of(F.col("_value"), F.col("_splits")).alias("_bucket"))
     totals = counts.groupBy("_k", "_bucket").agg(
         F.sum("copies").alias("_in_bucket"), F.sum(F.col("copies") * F.col("_value")).alias("_bucket_sum")

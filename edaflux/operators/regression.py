@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from edaflux.functions.pvalues import f_one_upper, t_two_sided
 from edaflux.functions.scalars import log_flux, reduced_temperature, reduced_temperature_kelvin
-from edaflux.operators.filters import all_finite, complete_cases, usable_log_rows
+from edaflux.operators.filters import complete_cases, usable_log_rows
 
 # Covariates whose normalised cross-product leaves less than this of their variance are treated as collinear.
 RANK_TOLERANCE = 1e-14
@@ -27,20 +27,28 @@ def _centred(n: Column, a: str, b: str) -> Column:
     return n * F.covar_pop(a, b)
 
 
-def fit_line(df: DataFrame, keys: Sequence[str], y: str, x: str, more_than: int = 0) -> DataFrame:
-    """y on one covariate, per group.
+def fit_line(
+    df: DataFrame, keys: Sequence[str], y: str, x: str, more_than: int = 0, keep_groups: bool = False
+) -> DataFrame:
+    """y on one covariate, per group, over the rows that have both.
 
     Columns: n, intercept, slope, se_intercept, se_slope, sigma (sd of residuals over n-1), ssr, syy.
-    A constant covariate or too few rows gives null terms; groups of at most ``more_than`` rows are dropped.
+    A constant covariate or too few rows gives null terms. Groups of at most ``more_than`` rows are dropped, or with
+    ``keep_groups`` stay with null terms.
     """
-    n = F.count(F.lit(1))
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    n, xs, ys = F.count_if(both), F.when(both, F.col(x)), F.when(both, F.col(y))
+    centred = lambda a, b: n * F.covar_pop(a, b)
     moments = df.groupBy(*keys).agg(
-        n.alias("n"), n.alias("_used"), F.avg(x).alias("_mx"), F.avg(y).alias("_my"),
-        _centred(n, x, x).alias("_sxx"), _centred(n, x, y).alias("_sxy"), _centred(n, y, y).alias("syy"),
-    ).where(F.col("n") > more_than)
+        n.alias("n"), F.avg(xs).alias("_mx"), F.avg(ys).alias("_my"),
+        centred(xs, xs).alias("_sxx"), centred(xs, ys).alias("_sxy"), centred(ys, ys).alias("syy"),
+    )
+    enough = F.col("n") > more_than
+    if not keep_groups:
+        moments = moments.where(enough)
     # A covariate whose spread is rounding beside its size is constant.
-    floor = F.lit(RANK_TOLERANCE) * (F.col("_sxx") + F.col("_used") * F.col("_mx") * F.col("_mx"))
-    slope = F.try_divide(F.col("_sxy"), F.when(F.col("_sxx") > floor, F.col("_sxx")))
+    floor = F.lit(RANK_TOLERANCE) * (F.col("_sxx") + F.col("n") * F.col("_mx") * F.col("_mx"))
+    slope = F.try_divide(F.col("_sxy"), F.when(enough & (F.col("_sxx") > floor), F.col("_sxx")))
     solved = moments.withColumn("slope", slope).withColumn(
         "ssr", F.greatest(F.col("syy") - F.col("slope") * F.col("_sxy"), F.when(F.col("slope").isNotNull(), 0.0))
     )
@@ -106,12 +114,9 @@ def fit_soil_exponential(joined_kelvin: DataFrame) -> DataFrame:
 def fit_q10(rows_celsius: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Q10 law: terms ``kR`` and ``Q10`` per group; groups of at most three usable rows get null values."""
     keys = list(keys)
-    usable = all_finite(
-        rows_celsius.withColumns({"ln_flux": log_flux("flux"), "T10": reduced_temperature("TSOIL")})
-    )
-    fit = fit_line(usable, keys, "ln_flux", "T10", more_than=3)
-    every_group = rows_celsius.select(*keys).distinct()
-    out = every_group.join(fit, keys, "left") if keys else fit
+    logs = rows_celsius.withColumns({"ln_flux": log_flux("flux"), "T10": reduced_temperature("TSOIL")})
+    finite = [F.when(F.abs(F.col(c)) < float("inf"), F.col(c)).alias(c) for c in ("ln_flux", "T10")]
+    out = fit_line(logs.select(*keys, *finite), keys, "ln_flux", "T10", more_than=3, keep_groups=True)
     terms = [("kR", "intercept"), ("Q10", "slope")]
     pairs = [F.struct(F.lit(t).alias("term"), F.exp(F.col(c)).alias("value")) for t, c in terms]
     return out.select(*keys, F.inline(F.array(*pairs)))
@@ -139,25 +144,21 @@ def regression_diagnostics(df: DataFrame, keys: Sequence[str], y: str = "q0500",
     A perfect fit has no finite F statistic or likelihood and leaves those null.
     """
     keys = list(keys)
-    rows = complete_cases(df.select(*keys, y, x))
-    groups = df.select(*keys).distinct()
-    fit = fit_line(rows, keys, y, x, more_than=2).where(F.col("slope").isNotNull())
+    numbers = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in (y, x)]
+    fit = fit_line(df.select(*keys, *numbers), keys, y, x, more_than=2, keep_groups=True)
     n, ssr, syy = F.col("n"), F.col("ssr"), F.col("syy")
-    left = (n - 2).cast("double")
+    left = F.when(n > 2, n - 2).cast("double")
     some = F.when(ssr > 0, ssr)
     r2 = F.lit(1.0) - F.try_divide(ssr, syy)
     loglik = -(n / 2) * (F.ln(F.lit(2.0) * F.pi()) + F.ln(some / n) + F.lit(1.0))
     f = F.try_divide(syy - ssr, F.try_divide(some, left))
-    stats = fit.select(
-        *keys,
-        r2.alias("r_squared"),
-        (F.lit(1.0) - (F.lit(1.0) - r2) * (n - 1) / left).alias("adj_r_squared"),
-        F.sqrt(ssr / left).alias("sigma"), f.alias("statistic"), f_one_upper(f, n - 2).alias("p_value"),
-        F.lit(1.0).alias("df"), loglik.alias("loglik"),
-        (F.lit(6.0) - 2 * loglik).alias("aic"), (F.lit(3.0) * F.ln(n) - 2 * loglik).alias("bic"),
-        ssr.alias("deviance"), (n - 2).alias("df_residual"), n.alias("nobs"), "slope",
-    )
-    return groups.join(stats, keys, "left")
+    stats = {
+        "r_squared": r2, "adj_r_squared": F.lit(1.0) - (F.lit(1.0) - r2) * (n - 1) / left, "sigma": F.sqrt(ssr / left),
+        "statistic": f, "p_value": f_one_upper(f, n - 2), "df": F.lit(1.0), "loglik": loglik, "aic": F.lit(6.0) - 2 * loglik,
+        "bic": F.lit(3.0) * F.ln(n) - 2 * loglik, "deviance": ssr, "df_residual": n - 2, "nobs": n,
+    }
+    fitted = F.col("slope").isNotNull()
+    return fit.select(*keys, *[F.when(fitted, c).alias(name) for name, c in stats.items()], "slope")
 
 
 def fit_many(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
@@ -179,9 +180,10 @@ def fit_many(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> D
 
     def solve(batches):
         for pdf in batches:
-            out = [_solve_gram(g, m, n, pairs, k) for g, m, n in zip(pdf["gram"], pdf["means"], pdf["n"], strict=True)]
-            for name, part in zip(("est", "se", "sigma", "ssr"), zip(*out, strict=True) if out else ((),) * 4, strict=True):
-                pdf[name] = pd.Series(list(part), index=pdf.index, dtype="object")
+            gram, means = (np.array(pdf[c].tolist(), float).reshape(len(pdf), -1) for c in ("gram", "means"))
+            out = _solve_grams(gram, means, pdf["n"].to_numpy(float), pairs, k)
+            for name, part in zip(("est", "se", "sigma", "ssr"), out, strict=True):
+                pdf[name] = pd.Series([None if v is None else v for v in part], index=pdf.index, dtype="object")
             yield pdf.drop(columns=["gram", "means"])
 
     schema = T.StructType([
@@ -197,26 +199,46 @@ def fit_many(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> D
     return solved.select(*keys, "n", "sigma", "ssr", F.inline(F.array(*rows)))
 
 
-def _solve_gram(gram, means, n, pairs, k):
-    """Coefficients and errors of one group from its centred Gram matrix, or nulls."""
-    nothing = ([None] * (k + 1), [None] * (k + 1), None, None)
-    s = np.empty((k + 1, k + 1))
-    for value, (i, j) in zip(gram, pairs, strict=True):
-        s[i, j] = s[j, i] = value
-    sxx, sxy, syy, mx, my = s[:k, :k], s[:k, k], s[k, k], np.asarray(means[:k]), means[k]
-    scale = np.sqrt(np.diag(sxx))
-    if n < 2 or not np.all(scale > 0):
-        return nothing
-    normal = sxx / np.outer(scale, scale)
-    if np.linalg.det(normal) <= RANK_TOLERANCE:
-        return nothing
-    inverse = np.linalg.inv(normal) / np.outer(scale, scale)
-    b = inverse @ sxy
-    ssr = max(float(syy - b @ sxy), 0.0)
-    est = [float(my - b @ mx), *map(float, b)]
-    sigma = float(np.sqrt(ssr / (n - 1)))
-    if n <= k + 1:
-        return est, [None] * (k + 1), sigma, ssr
-    s2 = ssr / (n - k - 1)
-    var = [s2 * (1.0 / n + mx @ inverse @ mx), *(s2 * np.diag(inverse))]
-    return est, [float(np.sqrt(v)) for v in var], sigma, ssr
+def _solve_grams(gram: np.ndarray, means: np.ndarray, n: np.ndarray, pairs: list, k: int) -> tuple[list, list, list, list]:
+    """Coefficients and errors of many groups from their centred Gram matrices, solved as one stack; nulls as None."""
+    s = np.zeros((len(n), k + 1, k + 1))
+    for column, (i, j) in enumerate(pairs):
+        s[:, i, j] = s[:, j, i] = gram[:, column]
+    sxx, sxy, syy, mx, my = s[:, :k, :k], s[:, :k, k], s[:, k, k], means[:, :k], means[:, k]
+    spread = np.diagonal(sxx, axis1=1, axis2=2)
+    good = (n >= 2) & (spread > RANK_TOLERANCE * (spread + n[:, None] * mx**2)).all(1)
+    scale = np.sqrt(np.where(good[:, None], spread, 1.0))
+    both = scale[:, :, None] * scale[:, None, :]
+    normal = np.where(good[:, None, None], sxx / both, np.eye(k))
+    good &= np.linalg.det(normal) > RANK_TOLERANCE
+    inverse = np.linalg.inv(np.where(good[:, None, None], normal, np.eye(k))) / both
+    b = np.einsum("gij,gj->gi", inverse, sxy)
+    ssr = np.maximum(syy - np.einsum("gi,gi->g", b, sxy), 0.0)
+    est = np.column_stack([my - np.einsum("gi,gi->g", b, mx), b])
+    sigma = np.sqrt(ssr / np.maximum(n - 1, 1))
+    rest = n > k + 1
+    s2 = ssr / np.where(rest, n - k - 1, 1.0)
+    first = 1.0 / np.maximum(n, 1) + np.einsum("gi,gij,gj->g", mx, inverse, mx)
+    se = np.sqrt(s2[:, None] * np.column_stack([first, np.diagonal(inverse, axis1=1, axis2=2)]))
+    nothing = [None] * (k + 1)
+    return (
+        [e if ok else nothing for e, ok in zip(est.tolist(), good, strict=True)],
+        [e if ok and r else nothing for e, ok, r in zip(se.tolist(), good, rest, strict=True)],
+        [v if ok else None for v, ok in zip(sigma.tolist(), good, strict=True)],
+        [v if ok else None for v, ok in zip(ssr.tolist(), good, strict=True)],
+    )
+
+
+def fit_wide(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], more_than: int = 0) -> DataFrame:
+    """``fit_many`` as one row per group: n, intercept, and a column ``b_<covariate>`` each."""
+    tidy = fit_many(df, keys, y, xs).where(F.col("n") > more_than)
+    pick = lambda term, name: F.max(F.when(F.col("term") == term, F.col("estimate"))).alias(name)
+    return tidy.groupBy(*keys).agg(F.max("n").alias("n"), pick("(Intercept)", "intercept"), *[pick(x, f"b_{x}") for x in xs])
+
+
+def linear_prediction(xs: Sequence[str]) -> Column:
+    """The fitted surface over the columns of ``fit_wide``."""
+    value = F.col("intercept")
+    for x in xs:
+        value = value + F.col(f"b_{x}") * F.col(x)
+    return value

@@ -15,6 +15,8 @@ from edaflux.operators.joins import pair_training_rows
 from edaflux.operators.predict import coefficient_rows, predict_models, predict_null_model
 from edaflux.operators.regression import fit_soil_exponential, fit_soil_linear
 from edaflux.operators.reshape import bind_rows
+from edaflux.schemas import FORECAST_HORIZON
+from edaflux.session import settle
 
 VALUE_COLUMNS = ("site_id", "reference_datetime", "ensemble", "datetime", "model", "value")
 
@@ -47,11 +49,15 @@ def fit_all(joined: DataFrame, reference: Column) -> dict[str, DataFrame]:
 
 def forecast_values(
     ensemble: DataFrame, targets: DataFrame, drivers: DataFrame, unc_fac: float = 1.0, noise: float = 1.0, seed: int = 0,
-    boosted_rounds: int = 200, include_null: bool = False,
+    boosted_rounds: int = 200, include_null: bool = False, reference_date: str | None = None,
 ) -> DataFrame:
-    """Every model's value for every ensemble row. ``boosted_rounds=0`` leaves the boosted trees out."""
-    joined = pair_training_rows(targets, drivers)
-    reference = F.to_date(earliest(ensemble))
+    """Every model's value for every ensemble row. ``boosted_rounds=0`` leaves the boosted trees out.
+
+    ``reference_date`` is the run's first day; a caller who knows it saves a pass over the ensemble. The joined training
+    rows are settled once for all models.
+    """
+    joined = settle(pair_training_rows(targets, drivers))
+    reference = F.lit(reference_date).cast("date") if reference_date else F.to_date(earliest(ensemble))
     table = coefficient_rows(fit_all(joined, reference))
     parts = [predict_models(ensemble, table, unc_fac, noise, seed).select(*VALUE_COLUMNS)]
     if boosted_rounds:
@@ -73,9 +79,11 @@ def horizon_forecast(
     ensemble: DataFrame, targets: DataFrame, drivers: DataFrame, reference_date: str, **options
 ) -> DataFrame:
     """Summary, lead time in days and CRPS per site, model and day over the whole run, where the flux was observed."""
+    options.setdefault("reference_date", reference_date)
     values = forecast_values(ensemble, targets, drivers, **options).withColumn("day", day_of("datetime"))
     observed = targets.select("site_id", F.to_date("datetime").alias("day"), "flux")
     scored = score_ensemble(
         values, ["site_id", "model", "day"], "value", observed, observation_keys=["site_id", "day"]
     )
-    return scored.drop("flux").withColumn("horizon", F.datediff("day", F.lit(reference_date).cast("date")))
+    horizon = F.datediff("day", F.lit(reference_date).cast("date"))
+    return scored.withColumn("horizon", horizon).select(*FORECAST_HORIZON.names)

@@ -39,6 +39,10 @@ ENSEMBLE_LONG = _struct(
 FORECAST_DAILY = _struct(
     site_id=STR, model=STR, day=DAY, mean=DBL, sd=DBL, q0025=DBL, q0100=DBL, q0500=DBL, q0900=DBL, q0975=DBL
 )
+FORECAST_HORIZON = _struct(
+    site_id=STR, model=STR, day=DAY, horizon=INT, mean=DBL, sd=DBL, q0025=DBL, q0100=DBL, q0500=DBL, q0900=DBL, q0975=DBL,
+    crps=DBL,
+)
 
 # Submission columns in file order.
 SUBMISSION_COLUMNS = (

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edaflux.schemas import QUANTILE_FILE_NAMES, SUBMISSION_COLUMNS
+from edaflux.schemas import DRIVERS_CSV, FORECAST_HORIZON, QUANTILE_FILE_NAMES, SUBMISSION_COLUMNS, TARGETS_CSV
 
 
 def write_daily_forecasts(summary: DataFrame, folder: str) -> None:
@@ -21,6 +24,43 @@ def write_daily_forecasts(summary: DataFrame, folder: str) -> None:
     )
 
 
+def write_named_files(df: DataFrame, folder: str, name: Column, drop: Sequence[str] = ()) -> None:
+    """CSV files called after ``name``, a function of the row; ``NA`` for nulls. The name is not a column of the file,
+    nor are those of ``drop``.
+
+    Rows are rebalanced by name: one file per name, numbered from the second on where a name outgrows a partition.
+    """
+    spark, partial = df.sparkSession, f"{folder}/_partial-{uuid.uuid4().hex}"
+    named = df.withColumn("_name", name).drop(*drop).hint("rebalance", "_name")
+    named.write.option("header", True).option("nullValue", "NA").partitionBy("_name").csv(partial)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in fs.listStatus(path(partial)):
+        stem = part.getPath().getName().removeprefix("_name=")
+        if part.isDirectory():
+            files = sorted(f.getPath().toString() for f in fs.listStatus(part.getPath()) if f.getPath().getName().startswith("part-"))
+            for k, file in enumerate(files):
+                fs.rename(path(file), path(f"{folder}/{stem}{f'-{k + 1}' if k else ''}.csv"))
+    fs.delete(path(partial), True)
+
+
+def write_horizon_forecasts(summary: DataFrame, folder: str) -> None:
+    """Month-end horizon forecasts, one file for each month of forecast days, columns in the order of the files."""
+    named = summary.select(*FORECAST_HORIZON.names).withColumnsRenamed(QUANTILE_FILE_NAMES)
+    month_end = F.date_format(F.last_day("day"), "yyyy-MM-dd")
+    write_named_files(named, folder, F.concat(F.lit("forecast_prediction_horizon-"), month_end))
+
+
+def write_month_of_drivers(drivers: DataFrame, folder: str) -> None:
+    """Daily weather drivers, one file for each month."""
+    write_named_files(drivers.select(*DRIVERS_CSV.names), folder, F.concat(F.lit("drivers-"), F.date_format("datetime", "yyyy-MM")))
+
+
+def write_month_of_targets(targets: DataFrame, folder: str) -> None:
+    """Observed fluxes, one file for each month."""
+    write_named_files(targets.select(*TARGETS_CSV.names), folder, F.concat(F.lit("targets-"), F.date_format("startDateTime", "yyyy-MM")))
+
+
 def write_ensemble(long: DataFrame, folder: str) -> None:
     """The ensemble as Parquet by reference date, large dates split by AQE, sorted for row-group skipping."""
     (
@@ -46,8 +86,7 @@ def submission(
 def submission_problems(rows: DataFrame) -> DataFrame:
     """One row of checks on a submission: reference dates (should be 1), blank ids, model ids with spaces."""
     return rows.agg(
-        F.when(F.min("reference_datetime") == F.max("reference_datetime"), 1).otherwise(2).cast("long")
-        .alias("reference_dates"),
+        F.count_distinct("reference_datetime").alias("reference_dates"),
         F.count_if(F.col("model_id").contains(" ")).alias("ids_with_space"),
         F.count_if(F.col("site_id").isNull() | F.col("datetime").isNull()).alias("rows_without_key"),
         F.count(F.lit(1)).alias("n"),

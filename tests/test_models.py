@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from catalog.views import Views
 from edaflux.operators import regression as G
-from edaflux.operators.boosted import predict_boosted
+from edaflux.operators.boosted import fit_boosted, predict_boosted
 from edaflux.operators.nonlinear import fit_formula
 from edaflux.operators.predict import apply_model, coefficient_rows, predict_models
 from edaflux.plans.daily import celsius_training, daily_forecast, horizon_forecast
@@ -214,3 +214,38 @@ def test_forecasts_have_the_published_shape(small):
     horizon = horizon_forecast(small.ens_wide, targets, drivers, "2024-01-01", seed=2, boosted_rounds=0)
     lo, hi, least = horizon.agg(F.min("horizon"), F.max("horizon"), F.min("crps")).first()
     assert lo == 0 and hi == 29 and least >= 0
+
+
+def test_near_constant_covariate_has_no_slope(spark):
+    rows = [("a", 0.1 + 0.2, 1.0), ("a", 0.3, 2.0), ("a", 0.3, 3.0), ("a", 0.3, 4.0), ("b", 273.15, 1.0), ("b", 273.16, 2.0), ("b", 273.17, 3.0)]
+    got = {r.k: r for r in G.fit_line(spark.createDataFrame(rows, "k string, x double, y double"), ["k"], "y", "x").collect()}
+    assert got["a"].slope is None and got["a"].n == 4 and got["b"].slope == pytest.approx(100.0)
+
+
+@pytest.mark.parametrize("sites", [1025, 2100])
+def test_trees_of_many_sites_take_the_same_passes(spark, sites):
+    """Each site has its own model, whatever their number; a site's values don't depend on the others."""
+    def training(n):
+        return spark.range(n * 8).select(
+            (F.col("id") % n).cast("string").alias("site_id"), ((F.col("id") * 7) % 13 / 3.0).alias("flux"),
+            ((F.col("id") / n).cast("int") * 1.5).alias("TSOIL"), ((F.col("id") * 5) % 7 / 10.0).alias("SOILW"))
+
+    ens = spark.createDataFrame([("7", "m", 280.0, 0.3), ("3", "m", 275.0, 0.1)], "site_id string, ensemble string, TSOIL double, SOILW double")
+    models = fit_boosted(training(sites), rounds=5)
+    assert models.count() == sites and models.where("sigma IS NULL").count() == 0
+    few = predict_boosted(training(sites).where(F.col("site_id").isin("7", "3")), ens, rounds=5, noise=0).collect()
+    many = predict_boosted(training(sites), ens, rounds=5, noise=0).collect()
+    assert {(r.site_id, r.value) for r in few} == {(r.site_id, r.value) for r in many} and None not in {r.value for r in many}
+
+
+def test_boosting_fits_what_it_is_given():
+    from edaflux.operators.boosted import boost
+
+    rng = np.random.default_rng(1)
+    x = rng.uniform(0, 1, (40, 2))
+    y = np.sin(5 * x[:, 0]) + x[:, 1] ** 2
+    cuts, steps = boost(x, np.ones(40), y, 200)
+    own = steps[tuple(np.searchsorted(c, x[:, k]) for k, c in enumerate(cuts))]
+    assert np.std(own - y) < 0.1 * np.std(y)
+    _, none = boost(x, np.ones(40), y, 0)
+    assert np.allclose(none, y.mean())

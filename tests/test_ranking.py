@@ -92,3 +92,44 @@ def test_score_keeps_observed_groups_only(spark, df):
     assert set(got) == {"one", "nulls"}
     assert got["one"].crps == pytest.approx(1.0) and got["one"].sd is None
     assert got["nulls"].crps is None and got["nulls"].flux == 1.0
+
+
+def test_infinities_and_nan(spark):
+    rows = [("up", 1.0), ("up", 2.0), ("up", float("inf")), ("both", float("inf")), ("both", float("-inf")), ("both", 0.0),
+            ("nan", 1.0), ("nan", 2.0), ("nan", 3.0), ("nan", float("nan")), ("all", float("inf")), ("all", float("inf"))]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: r for r in ensemble_summary(df, ["k"], "v").collect()}
+    assert got["up"].mean == float("inf") and got["up"].sd is None and got["up"].q0500 == 2.0 and got["up"].q0975 == float("inf")
+    assert got["both"].mean is None and got["both"].q0500 == 0.0 and got["both"].q0025 == float("-inf")
+    assert (got["nan"].mean, got["nan"].sd, got["nan"].q0500) == (2.0, 1.0, 2.0)
+    assert got["all"].q0025 == got["all"].q0975 == float("inf") and got["all"].sd is None
+    spread = {r.k: r.mean_abs_difference for r in pairwise_spread(df, ["k"], "v").collect()}
+    assert spread["up"] is None and spread["nan"] == pytest.approx(8 / 9)
+    crps = {r.k: r.crps for r in score_ensemble(df, ["k"], "v", spark.createDataFrame([("up", 1.0), ("nan", 2.0)], "k string, flux double")).collect()}
+    assert crps["up"] is None and crps["nan"] == pytest.approx(2 / 3 - 4 / 9)
+
+
+def test_each_observation_of_a_key_is_scored_by_itself(spark):
+    members = spark.createDataFrame([("a", float(v)) for v in range(5)], "k string, v double")
+    observed = spark.createDataFrame([("a", 2.5), ("a", 2.5), ("a", 9.0)], "k string, flux double")
+    got = {r.flux: r for r in score_ensemble(members, ["k"], "v", observed).collect()}
+    assert set(got) == {2.5, 9.0}
+    assert got[2.5].sd == got[9.0].sd == pytest.approx(1.5811388) and got[2.5].crps == pytest.approx(0.5)
+
+
+def test_a_narrow_group_is_cut_evenly(spark):
+    """Half a million values within a relative spread of one millionth: no bucket holds over a fiftieth of them."""
+    from pyspark.sql import functions as F
+
+    from edaflux.operators.ranking import bucket_of, split_points
+
+    df = spark.range(500_000).select(F.lit("a").alias("k"), (F.lit(101325.0) + F.randn(3) * 0.1).alias("v"))
+    df = df.persist()
+    cuts = df.groupBy("k").agg(split_points(F.col("v")).alias("s"))
+    sizes = df.join(cuts, "k").groupBy(bucket_of(F.col("v"), F.col("s")).alias("b")).count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] < 10_000 and sizes[1] > 100
+    got = quantiles(df, ["k"], "v").first()
+    values = np.array([r.v for r in df.select("v").collect()])
+    for name, p in QUANTILES.items():
+        assert got[name] == pytest.approx(np.quantile(values, p), rel=1e-15)
+    df.unpersist()
