@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from edaflux.llm.frames import fresh
 
-POSITIVES = 4_000
-UNLABELLED = 8_000
+POSITIVES = 2_500
+UNLABELLED = 6_000
 MIN_TEXTS = 5
 FEATURES = 2_000
 CONTRAST = 4.0
@@ -147,7 +147,7 @@ def fit(
 ) -> Classifier:
     """Train on a bounded sample: texts labelled toxic, and any texts as the unlabelled, both outside the held-out fold.
 
-    Samples are the rows with the smallest key hashes, ``positives`` and ``unlabelled`` of them in expectation. The prior is the share of toxic among the labelled rows outside
+    Samples, and so what the driver holds, are bounded: the rows with the smallest key hashes, ``positives`` and ``unlabelled`` of them in expectation. The prior is the share of toxic among the labelled rows outside
     the held-out fold. A document labelled twice counts as toxic if any label says so; null labels say nothing.
     """
     marked = labels.where((fold(F.col(key)) != 0) & F.col(key).isNotNull() & F.col(toxic).isNotNull())
@@ -160,7 +160,7 @@ def fit(
     place = F.pmod(F.xxhash64(F.col("k"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     plain = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
     some = marked.where("toxic").where(place < rate(positives, counts[1])).select("k")
-    pos = plain.join(some, "k", "left_semi").collect()
+    pos = plain.join(F.broadcast(some), "k", "left_semi").collect()  # at most about ``positives`` rows
     # Drawn from the whole population, whatever the labels say, so that toxic texts have their share.
     unl = plain.where((fold(F.col("k")) != 0) & (place < rate(unlabelled, docs.count()))).collect()
     return train([r["t"] for r in sorted(pos)], [r["t"] for r in sorted(unl)], prior)
