@@ -26,8 +26,11 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays."""
-    return simhash.one_of_each(docs, shingle=3, radius=2)
+    """One document of each group of linked fingerprints stays.
+
+    Copies that share at least 0.8 of their five-word shingles lie about five bits apart, so the stage links at six.
+    """
+    return simhash.one_of_each(docs, shingle=3, radius=6, groups=8, width=1)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
