@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edaflux.llm import decontaminate, queries, simhash, substring, toxicity
+from edaflux.llm import decontaminate, queries, similar, substring, toxicity
 from edaflux.llm.frames import fresh, stored
 
 
@@ -26,11 +26,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays.
-
-    Copies that share at least 0.8 of their five-word shingles lie about five bits apart, so the stage links at six.
-    """
-    return simhash.one_of_each(docs, shingle=3, radius=6, groups=8, width=1)
+    """One document stays of each group connected by pairs that share at least 0.8 of their five-word shingles."""
+    return similar.one_of_each(docs, shingle=5, similarity=(4, 5))
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,29 +31,34 @@ _LANES = np.uint64(0x0101010101010101)
 _ODD = 0x5555555555555555
 
 
+def shingles(text: bytes | None, size: int) -> list[bytes]:
+    """The text's runs of ``size`` words, repeats included; a text of fewer words is one run, one without words none."""
+    words = text.lower().split() if text else []  # bytes: A-Z only, and ASCII white space
+    line = b" ".join(words)
+    if len(words) <= size:
+        return [line] if words else []
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = [0, *(ends[:-size] + 1).tolist()]
+    return [line[a:b] for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)]
+
+
+def shingle_hashes(text: bytes | None, size: int) -> list[int]:
+    return [xxhash.xxh64_intdigest(s, 42) for s in shingles(text, size)]
+
+
 def fingerprints(texts: list[bytes | None], shingle: int = 3) -> np.ndarray:
     """64-bit SimHash of each text's word shingles (repeats included), as signed longs; no words give zero."""
-    hashes: list[int] = []
-    sizes = np.zeros(len(texts), np.int64)
-    digest = xxhash.xxh64_intdigest
-    for i, text in enumerate(texts):
-        words = text.lower().split() if text else []  # bytes: A-Z only, and ASCII white space
-        if not words:
-            continue
-        if len(words) <= shingle:
-            hashes.append(digest(b" ".join(words), 42))
-            sizes[i] = 1
-            continue
-        line = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = [0, *(ends[:-shingle] + 1).tolist()]
-        hashes.extend([digest(line[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)])
-        sizes[i] = len(starts)
+    return simhashes([shingle_hashes(t, shingle) for t in texts])
+
+
+def simhashes(texts: list) -> np.ndarray:
+    """64-bit SimHash of each list or array of hashes, as signed longs; none give zero."""
+    sizes = np.array([len(t) for t in texts], np.int64)
     out = np.zeros(len(texts), np.uint64)
     full = np.flatnonzero(sizes)
     if not full.size:
         return out.view(np.int64)
-    h = np.array(hashes, np.uint64)
+    h = np.concatenate([np.array(t, np.uint64) for t in texts])
     # Eight counters to a word, each of one byte: sum runs of at most 255 hashes, then add the runs of a text.
     runs = -(-sizes[full] // 255)
     first = np.concatenate([[0], np.cumsum(runs)[:-1]])
@@ -163,10 +168,15 @@ def _grouped(docs: DataFrame, shingle: int, radius: int, groups: int, key: str,
     picked = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     marked = stored(map_rows(picked, work, f"key {kind}, mark long, fp long", binary=True))
     distinct = stored(marked.groupBy("fp").agg(F.min("key").alias("first")))
-    linked = stored(components(fingerprint_links(distinct.select("fp"), radius, groups, width)).withColumnRenamed("node", "fp"))
+    return marked, labels(distinct, fingerprint_links(distinct.select("fp"), radius, groups, width))
+
+
+def labels(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """For each row (fp, first) its (fp, root, component_id), the component's smallest ``first``."""
+    linked = stored(components(edges).withColumnRenamed("node", "fp"))
     least = linked.join(distinct, "fp").groupBy("root").agg(F.min("first").alias("least"))
     label = linked.join(least, "root").select("fp", "root", "least")
-    return marked, stored(
+    return stored(
         distinct.join(label, "fp", "left").select(
             "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component_id")
         )
@@ -195,7 +205,11 @@ def one_of_each(
     """``docs`` with one row of each component: the smallest key's (of several texts under that key, the one with the
     least hash; of repeated rows, one). Rows with null keys stay only where a component has no other. Columns as they
     were."""
-    marked, final = _grouped(docs, shingle, radius, groups, key, text, width)
+    return first_of_each(docs, *_grouped(docs, shingle, radius, groups, key, text, width), key, text)
+
+
+def first_of_each(docs: DataFrame, marked: DataFrame, final: DataFrame, key: str, text: str) -> DataFrame:
+    """``docs`` with one row of each root of ``final`` (fp, root); ``marked`` has each row's (key, mark, fp)."""
     rank = F.struct(F.col("key").isNull().alias("no_key"), "key", "mark")
     chosen = marked.join(final, "fp").groupBy("root").agg(F.min(rank).alias("row"))
     wanted = stored(chosen.select(F.col("row.key").alias("_key"), F.col("row.mark").alias("_mark")))

@@ -1,0 +1,206 @@
+"""Near copies by the exact Jaccard similarity of their word shingles: keys propose pairs, the texts decide.
+
+Pairs are proposed in two ways. SimHashes of the shingles are linked at two bits through the segment-popcount embedding
+(``simhash``), which finds close copies but misses most pairs near the bound. Shared prefixes find the rest, and miss
+none: with all shingles in one global order, two sets of similarity ``p / q`` share one of the first ``n - ceil(n p / q)
++ 1`` shingles of each. The order puts shingles that are frequent in a sample last; any order is exact, this one keeps
+common passages out of the prefixes. At the first shingle a pair shares, the rest of either set must still hold the
+overlap that the similarity needs, so a proposal that sizes and positions rule out is not made.
+
+Of a pair's prefixes, 16 bits of each shingle bound the overlap from above; a pair whose bound is too low is dropped
+before its texts are fetched. Only pairs whose texts have the similarity become edges. A cell (the sets with one shingle in their prefix) of more than
+``SMALL`` members first proposes one partner for each member; when those are decided, all pairs of its members that no
+edges connect yet are proposed. So a large group of near copies costs its members, not their pairs.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from edaflux.llm.components import components
+from edaflux.llm.frames import map_rows, stored
+from edaflux.llm.simhash import fingerprint_links, first_of_each, labels, shingle_hashes, shingles, simhashes
+from edaflux.session import broadcast_if_small
+
+SMALL = 64
+WIDE_CELL = 4096
+SAMPLE = 32
+FREQUENT = 100_000
+SLICE = 1_000_000
+_PAIR = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def frequent_shingles(docs: DataFrame, shingle: int, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that four texts of the sample hold, at most ``FREQUENT``; and the number of holders."""
+
+    def work(rows: dict) -> dict:
+        return {"h": [h for t in rows["text"] for h in np.unique(np.array(shingle_hashes(t, shingle), np.uint64)).view(np.int64).tolist()]}
+
+    sample = docs.where(F.pmod(F.xxhash64(text), F.lit(SAMPLE)) == 0).select(F.col(text).alias("text")).distinct()
+    counts = map_rows(sample, work, "h long", binary=True, limit=SLICE).groupBy("h").count().where("count >= 4")
+    found = counts.orderBy(F.desc("count"), "h").limit(FREQUENT).collect()
+    h, n = np.array([r["h"] for r in found], np.int64).view(np.uint64), np.array([r["count"] for r in found], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix(distinct: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], p: int, q: int) -> np.ndarray:
+    """The first shingles of a set, in the global order, of which similar sets share one."""
+    rank = np.zeros(len(distinct), np.int64)
+    if len(frequent[0]):
+        at = np.minimum(np.searchsorted(frequent[0], distinct), len(frequent[0]) - 1)
+        rank = np.where(frequent[0][at] == distinct, frequent[1][at], 0)
+    return distinct[np.lexsort((distinct, rank))][: len(distinct) + (-p * len(distinct)) // q + 1]
+
+
+def cell_pairs(members: list[dict], p: int, q: int, partners: int | None) -> list[tuple[int, int]]:
+    """Pairs of a cell that sizes and positions allow and whose roots differ: of each member with all smaller ones, or
+    with the first ``partners`` of them."""
+    members = sorted(members, key=lambda m: m["node"])
+    node, n, pos, root = (np.array([m[k] for m in members], np.int64) for k in ("node", "n", "pos", "root"))
+    out = []
+    for a in range(0, len(node), 256):
+        z = min(a + 256, len(node))
+        one, other, total = n[a:z, None], n[None, :z], n[a:z, None] + n[None, :z]
+        fits = (q * np.minimum(one, other) >= p * np.maximum(one, other)) & (node[a:z, None] > node[None, :z])
+        fits &= (p + q) * np.minimum((n - pos)[a:z, None], (n - pos)[None, :z]) >= p * total
+        fits &= root[a:z, None] != root[None, :z]
+        if partners is not None:
+            fits &= np.cumsum(fits, axis=1) <= partners
+        i, j = np.nonzero(fits)
+        out.extend(zip(node[a + i].tolist(), node[j].tolist(), strict=True))
+    return out
+
+
+def _proposed(cells: DataFrame, p: int, q: int, partners: int | None) -> DataFrame:
+    """Pairs (u, v) of rows (cell, size, node, n, pos, root). Cells over ``WIDE_CELL`` are cut into blocks of half of
+    that; every two blocks, and so every two members, meet in one list."""
+
+    def run(batches):
+        for batch in batches:
+            pairs = list({x for m in batch.column(0) for x in cell_pairs(m.as_py(), p, q, partners)})
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], schema=_PAIR)
+
+    blocks = F.when(F.col("size") > WIDE_CELL, F.ceil(F.col("size") / F.lit(WIDE_CELL // 2))).otherwise(1).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(F.least(b, own).alias("a"), F.greatest(b, own).alias("b")))
+    listed = cells.select("cell", F.explode(others).alias("pair"), F.struct("node", "n", "pos", "root").alias("member"))
+    lists = listed.groupBy("cell", "pair").agg(F.collect_list("member").alias("members")).select("members")
+    return lists.mapInArrow(run, "u long, v long").distinct()
+
+
+def may_overlap(sketches: list[list[bytes]], sizes: list[np.ndarray], p: int, q: int) -> np.ndarray:
+    """Which pairs of sets may have the similarity, by the sketches (16 bits of each prefix shingle) and set sizes of
+    the left and right sets. A shingle in both sets that is not in both prefixes lies behind one and the same prefix."""
+    held, flat = [], []
+    for side in sketches:
+        n = np.array([len(s) // 2 for s in side], np.int64)
+        held.append(n)
+        flat.append(np.repeat(np.arange(len(side)), n) << 16 | np.frombuffer(b"".join(side), "<u2").astype(np.int64))
+    common = np.bincount(flat[0][np.isin(flat[0], flat[1])] >> 16, minlength=len(held[0]))
+    behind = np.maximum(sizes[0] - held[0], sizes[1] - held[1])
+    return (p + q) * (common + behind) >= p * (sizes[0] + sizes[1])
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            u, v, a, b, m, n = batch.columns
+            sizes = [x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (m, n)]
+            keep = pa.array(may_overlap([a.to_pylist(), b.to_pylist()], sizes, p, q))
+            yield pa.RecordBatch.from_arrays([u.filter(keep), v.filter(keep)], schema=_PAIR)
+
+    one, other = (sets.select(F.col("fp").alias(c), F.col("sketch").alias(s), F.col("n").alias(k)) for c, s, k in (("u", "a", "m"), ("v", "b", "n")))
+    return pairs.join(one, "u").join(other, "v").select("u", "v", "a", "b", "m", "n").mapInArrow(run, "u long, v long")
+
+
+def _similar(
+    docs: DataFrame, marked: DataFrame, sets: DataFrame, pairs: DataFrame, shingle: int, p: int, q: int, key: str, text: str
+) -> DataFrame:
+    """The pairs (u, v) of sets whose texts' shingles have Jaccard similarity ``p / q`` or more."""
+    pairs = stored(_possible(pairs, sets, p, q))
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    chosen = marked.join(nodes, "fp").groupBy("fp").agg(F.min(F.struct("key", "mark")).alias("row"))
+    wanted = broadcast_if_small(stored(chosen.select("fp", F.col("row.key").alias("_key"), F.col("row.mark").alias("_mark"))))
+    same = docs[key].eqNullSafe(wanted["_key"]) & (F.xxhash64(docs[text]) == wanted["_mark"])
+    texts = stored(docs.join(wanted, same).select("fp", docs[text].alias("text")).dropDuplicates(["fp"]))
+    both = pairs.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("a")), "u")
+    both = both.join(texts.select(F.col("fp").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
+
+    def run(batches):
+        for batch in batches:
+            seen: dict[int, set] = {}
+            u, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            left, right = batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())
+            out = []
+            for i, (x, y) in enumerate(zip(u, v, strict=True)):
+                if len(seen) > 64:
+                    seen.clear()
+                one, other = (
+                    seen[k] if k in seen else seen.setdefault(k, set(shingles(t[i].as_py(), shingle)))
+                    for k, t in ((x, left), (y, right))
+                )
+                common = len(one & other)
+                if q * common >= p * (len(one) + len(other) - common):
+                    out.append((x, y))
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], schema=_PAIR)
+
+    return stored(both.mapInArrow(run, "u long, v long"))
+
+
+def one_of_each(
+    docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (4, 5), key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``docs`` with one row, the smallest key's, of each group that pairs of Jaccard similarity ``similarity`` (p, q:
+    p / q) or more connect.
+
+    Shingles are runs of words, counted once for each text, without case of ASCII letters; a shorter text is one shingle.
+    Texts without words are alike. Null keys, repeated rows and columns as in ``simhash.one_of_each``.
+    """
+    p, q = similarity
+    kind = docs.schema[key].dataType.simpleString()
+    frequent = frequent_shingles(docs, shingle, text)
+
+    def work(rows: dict) -> dict:
+        every = [np.array(shingle_hashes(t, shingle), np.uint64) for t in rows["text"]]
+        sets = [np.unique(h) for h in every]
+        prefixes = [prefix(s, frequent, p, q) for s in sets]
+        return {
+            "key": rows["key"], "mark": rows["mark"], "n": [len(s) for s in sets], "simhash": simhashes(every),
+            "fp": [int.from_bytes(xxhash.xxh64_digest(s.tobytes()), "big", signed=True) if len(s) else 0 for s in sets],
+            "prefix": [x.view(np.int64) for x in prefixes], "sketch": [x.astype("<u2").tobytes() for x in prefixes],
+        }
+
+    picked = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
+    schema = f"key {kind}, mark long, fp long, simhash long, n int, prefix array<long>, sketch binary"
+    marked = stored(map_rows(picked, work, schema, binary=True, limit=SLICE))
+    sets = stored(marked.select("fp", "simhash", "n", "prefix", "sketch").dropDuplicates(["fp"]))
+
+    # Pairs that fingerprints propose: sets of one fingerprint, and the first sets of linked ones.
+    first = stored(sets.where("n > 0").groupBy("simhash").agg(F.min("fp").alias("v")))
+    alike = sets.join(first, "simhash").select(F.col("fp").alias("u"), "v").where("u <> v")
+    linked = fingerprint_links(first.select(F.col("simhash").alias("fp")), radius=2, groups=4, width=2)
+    ends = [first.select(F.col("simhash").alias(c), F.col("v").alias(f"fp_{c}")) for c in ("u", "v")]
+    linked = linked.join(ends[0], "u").join(ends[1], "v").select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v"))
+
+    # Pairs that share a shingle of their prefixes.
+    keyed = sets.select("fp", "n", F.posexplode("prefix").alias("pos", "cell"))
+    sizes = keyed.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")
+    cells = stored(keyed.join(sizes, "cell").select("cell", "size", F.col("fp").alias("node"), "n", "pos"))
+    alone = cells.withColumn("root", F.col("node"))
+    pairs = _proposed(alone.where(F.col("size") <= SMALL), p, q, None)
+    pairs = pairs.unionByName(_proposed(alone.where(F.col("size") > SMALL), p, q, 1)).unionByName(alike).unionByName(linked)
+    pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    edges = _similar(docs, marked, sets, pairs, shingle, p, q, key, text)
+
+    large = cells.where(F.col("size") > SMALL)
+    if not large.isEmpty():
+        now = large.join(stored(components(edges)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        edges = edges.unionByName(_similar(docs, marked, sets, _proposed(now, p, q, None), shingle, p, q, key, text))
+
+    distinct = stored(marked.groupBy("fp").agg(F.min("key").alias("first")))
+    return first_of_each(docs, marked, labels(distinct, edges), key, text)

@@ -1,0 +1,81 @@
+"""The near-duplicate stage against all pairs."""
+
+from __future__ import annotations
+
+import pytest
+from llm_cases import awkward_texts, frame, lower, split, words
+
+import corpus_pipeline
+from edaflux.llm import queries, similar
+
+
+def shingle_set(text: str | None) -> set:
+    w = split(lower(text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def kept_ids(docs: list[tuple]) -> list:
+    """The smallest id of each group that pairs with 0.8 of their five-word shingles in common connect."""
+    sets = [shingle_set(t) for _, t in docs]
+    root = list(range(len(docs)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                root[top(i)] = top(j)
+    groups: dict[int, list] = {}
+    for i, (d, _) in enumerate(docs):
+        groups.setdefault(top(i), []).append(d)
+    return sorted((min((d for d in g if d is not None), default=None) for g in groups.values()), key=repr)
+
+
+def planted() -> list[tuple]:
+    """Copies above and below 0.8, a chain, a group of near copies, and unlike texts with one common passage."""
+    docs, passage = [], " ".join(words(30, 900))
+    for k in range(12):
+        base = words(200, 100 + k, 5000)
+        docs.append((len(docs), " ".join(base)))
+        for changed in (1, 3, 4, 5, 6, 9):  # each changed word ends up to five shingles: 0.8 lies near four
+            copy = base.copy()
+            for c in range(changed):
+                copy[10 + 20 * c] = f"new{k}x{changed}x{c}"
+            docs.append((len(docs), " ".join(copy)))
+        docs.append((len(docs), " ".join(base[k:])))
+    base = words(150, 300, 5000)
+    for k in range(25):
+        docs.append((len(docs), " ".join([*base[:k], f"own{k}", *base[k + 1 :]])))
+    for k in range(20):
+        docs.append((len(docs), " ".join(words(20 + k, 400 + k, 5000)) + " " + passage + f" tail{k}"))
+    return docs
+
+
+@pytest.mark.parametrize(("small", "wide", "sample"), [(64, 4096, 32), (2, 6, 1)])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, small, wide, sample):
+    for name, value in (("SMALL", small), ("WIDE_CELL", wide), ("SAMPLE", sample)):
+        monkeypatch.setattr(similar, name, value)
+    docs = planted()
+    want = kept_ids(docs)
+    assert 12 < len(want) < len(docs)
+    kept = corpus_pipeline.without_near_duplicates(spark, frame(spark, docs), "")
+    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == want
+
+
+def test_near_duplicates_of_awkward_rows(spark):
+    docs = awkward_texts()
+    df = frame(spark, docs)
+    kept = corpus_pipeline.without_near_duplicates(spark, df, "")
+    assert kept.schema == df.schema
+    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == kept_ids(docs)
+    assert corpus_pipeline.without_near_duplicates(spark, frame(spark, []), "").count() == 0
+
+
+def test_near_duplicates_of_given_documents(spark, sf_dir):
+    df = queries.table(spark, sf_dir, "documents")
+    docs = [(r["doc_id"], r["text"]) for r in df.collect()]
+    kept = corpus_pipeline.without_near_duplicates(spark, df, sf_dir)
+    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == kept_ids(docs)
