@@ -28,7 +28,7 @@ _LOWEST = -(1 << 63)
 
 def scaled(vector: Column, scale: int = 64) -> Column:
     """floor(scale * x) of each component as longs; null if any is null, not finite or outside the longs."""
-    whole = F.transform(vector, lambda x: F.floor(x.cast("double") * scale, F.lit(0)).try_cast("long"))
+    whole = F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
     good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float(2**62) / scale))
     return F.when(vector.isNotNull() & good, whole)
 
