@@ -1,7 +1,6 @@
 """SimHash fingerprints, and their links at a small Hamming distance through a segment-popcount embedding.
 
-A fingerprint is cut into segments of two bits (or of one, for wide radii) and mapped to its vector of segment bit
-counts. One differing bit changes one count by at most one, so the Manhattan distance of two vectors is never above the
+A fingerprint is cut into segments of two bits and mapped to its vector of segment bit counts. One differing bit changes one count by at most one, so the Manhattan distance of two vectors is never above the
 Hamming distance of their fingerprints. The vector's coordinates are dealt into ``groups``; within ``radius`` units at
 most ``radius`` groups differ, so two linked fingerprints share the grid cell of at least one choice of ``groups -
 radius`` groups. Members of a cell are compared by the Manhattan bound and then exactly.
@@ -26,7 +25,6 @@ from edaflux.llm.components import components
 from edaflux.llm.frames import fresh, map_rows, stored
 
 CELL = 256
-WIDE_CELL = 4096
 _LANES = np.uint64(0x0101010101010101)
 _ODD = 0x5555555555555555
 
@@ -73,21 +71,18 @@ def simhashes(texts: list) -> np.ndarray:
     return out.view(np.int64)
 
 
-def segment_counts(fingerprint: Column, width: int = 2) -> Column:
-    """The embedding, packed: two bits hold the bit count of each two-bit segment, one bit that of a one-bit segment."""
-    if width == 1:
-        return fingerprint
+def segment_counts(fingerprint: Column) -> Column:
+    """The embedding, packed: two bits hold the bit count of each two-bit segment."""
     other = F.shiftrightunsigned(fingerprint, 1)
     one, both = (x.bitwiseAND(F.lit(_ODD)) for x in (fingerprint.bitwiseXOR(other), fingerprint.bitwiseAND(other)))
     return one.bitwiseOR(F.shiftleft(both, 1))
 
 
-def _group_mask(group: int, groups: int, width: int = 2) -> int:
-    segments = 64 // width
-    return sum(((1 << width) - 1) << (width * s) for s in range(segments) if s * groups // segments == group)
+def _group_mask(group: int, groups: int) -> int:
+    return sum(3 << (2 * s) for s in range(32) if s * groups // 32 == group)
 
 
-def _links_of_cell(members: np.ndarray, radius: int, width: int = 2) -> list[tuple[int, int]]:
+def _links_of_cell(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """For each member of a cell an edge to the first member that exact links reach from it inside the cell."""
     x = members.view(np.uint64)
     one, pair = (x ^ (x >> np.uint64(1))) & np.uint64(_ODD), x & (x >> np.uint64(1)) & np.uint64(_ODD)
@@ -95,8 +90,6 @@ def _links_of_cell(members: np.ndarray, radius: int, width: int = 2) -> list[tup
 
     def near(a: int, z: int) -> np.ndarray:
         """Rows a to z against all members: the Manhattan bound first, then the bits."""
-        if width == 1:
-            return np.bitwise_count(x[a:z, None] ^ x[None, :]) <= radius
         bound = np.zeros((z - a, len(x)), np.int16)
         for k in range(0, 64, 2):
             c = ((counts >> np.uint64(k)) & np.uint64(3)).astype(np.int8)
@@ -116,37 +109,30 @@ def _links_of_cell(members: np.ndarray, radius: int, width: int = 2) -> list[tup
     return [(int(members[i]), int(members[r])) for i, r in enumerate(label) if i != r]
 
 
-def _cell_links(radius: int, width: int):
+def _cell_links(radius: int):
     def run(batches):
         kind = pa.schema([("u", pa.int64()), ("v", pa.int64())])
         for batch in batches:
-            links = [p for m in batch.column(0).to_pylist() for p in _links_of_cell(np.array(m, np.int64), radius, width)]
+            links = [p for m in batch.column(0).to_pylist() for p in _links_of_cell(np.array(m, np.int64), radius)]
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], schema=kind)
 
     return run
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = 2, groups: int = 4, width: int = 2) -> DataFrame:
-    """Edges (u, v) among distinct fingerprints ``fp`` whose components are those of all links within ``radius`` bits."""
+def fingerprint_links(distinct: DataFrame, radius: int = 2, groups: int = 4) -> DataFrame:
+    """Edges (u, v) among distinct fingerprints ``fp`` whose components are those of all links within ``radius`` bits, 0 to 2."""
+    if not 0 <= radius <= 2:
+        raise ValueError("links of more than two bits are not found")
     cells = []
     for k, chosen in enumerate(combinations(range(groups), groups - radius)):
-        mask = sum(_group_mask(g, groups, width) for g in chosen)
+        mask = sum(_group_mask(g, groups) for g in chosen)
         mask -= (mask >> 63) << 64
-        cells.append(F.struct(F.lit(k).alias("plane"), segment_counts(F.col("fp"), width).bitwiseAND(F.lit(mask)).alias("cell")))
+        cells.append(F.struct(F.lit(k).alias("plane"), segment_counts(F.col("fp")).bitwiseAND(F.lit(mask)).alias("cell")))
     keyed = distinct.select("fp", F.explode(F.array(*cells)).alias("at")).select("fp", "at.plane", "at.cell")
     sizes = keyed.groupBy("plane", "cell").agg(F.count("*").alias("n")).where("n > 1")
     shared = stored(keyed.join(sizes, ["plane", "cell"]))
-    limit = CELL if radius <= 2 else WIDE_CELL
-    small = shared.where(F.col("n") <= limit).groupBy("plane", "cell").agg(F.collect_list("fp").alias("members"))
-    edges = small.select("members").mapInArrow(_cell_links(radius, width), "u long, v long")
-    if radius > 2:
-        # Blocks of half a cell; every two blocks, and so every two members, meet in one list.
-        blocks = F.ceil(F.col("n") / F.lit(limit // 2)).cast("int")
-        own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-        others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(F.least(b, own).alias("a"), F.greatest(b, own).alias("b")))
-        large = shared.where(F.col("n") > limit).select("plane", "cell", "fp", F.explode(others).alias("pair"))
-        lists = large.groupBy("plane", "cell", "pair").agg(F.collect_list("fp").alias("members"))
-        return edges.unionByName(lists.select("members").mapInArrow(_cell_links(radius, width), "u long, v long"))
+    small = shared.where(F.col("n") <= CELL).groupBy("plane", "cell").agg(F.collect_list("fp").alias("members"))
+    edges = small.select("members").mapInArrow(_cell_links(radius), "u long, v long")
     flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << b) - ((1 << b) >> 63 << 64))) for b in range(64)])
     crowded = shared.where(F.col("n") > CELL).select("fp").distinct()
     balls = crowded.select("fp", F.explode(flips).alias("near")).groupBy("near").agg(F.collect_list("fp").alias("members"))
@@ -158,7 +144,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2, groups: int = 4, wid
     return edges.unionByName(star)
 
 
-def _grouped(docs: DataFrame, shingle: int, radius: int, groups: int, key: str, text: str, width: int = 2) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, shingle: int, radius: int, groups: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Rows (key, mark, fp), ``mark`` a hash of the text; and for each fingerprint its (fp, root, component_id)."""
     kind = docs.schema[key].dataType.simpleString()
 
@@ -168,7 +154,7 @@ def _grouped(docs: DataFrame, shingle: int, radius: int, groups: int, key: str,
     picked = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     marked = stored(map_rows(picked, work, f"key {kind}, mark long, fp long", binary=True))
     distinct = stored(marked.groupBy("fp").agg(F.min("key").alias("first")))
-    return marked, labels(distinct, fingerprint_links(distinct.select("fp"), radius, groups, width))
+    return marked, labels(distinct, fingerprint_links(distinct.select("fp"), radius, groups))
 
 
 def labels(distinct: DataFrame, edges: DataFrame) -> DataFrame:
@@ -200,12 +186,12 @@ def near_duplicates(
 
 
 def one_of_each(
-    docs: DataFrame, shingle: int = 3, radius: int = 2, groups: int = 4, key: str = "doc_id", text: str = "text", width: int = 2
+    docs: DataFrame, shingle: int = 3, radius: int = 2, groups: int = 4, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """``docs`` with one row of each component: the smallest key's (of several texts under that key, the one with the
     least hash; of repeated rows, one). Rows with null keys stay only where a component has no other. Columns as they
     were."""
-    return first_of_each(docs, *_grouped(docs, shingle, radius, groups, key, text, width), key, text)
+    return first_of_each(docs, *_grouped(docs, shingle, radius, groups, key, text), key, text)
 
 
 def first_of_each(docs: DataFrame, marked: DataFrame, final: DataFrame, key: str, text: str) -> DataFrame:

@@ -150,23 +150,6 @@ def test_links_of_crowded_and_small_cells(spark, monkeypatch, cell):
     assert got == smallest_reachable([s & mask for s in signed], signed)
 
 
-@pytest.mark.parametrize("cell", [4096, 16])
-def test_links_of_a_wide_radius(spark, monkeypatch, cell):
-    monkeypatch.setattr(simhash, "WIDE_CELL", cell)
-    rng = random.Random(2)
-    prints = {rng.getrandbits(64) for _ in range(60)}
-    for _ in range(300):
-        p = rng.choice(sorted(prints))
-        for b in rng.sample(range(64), rng.choice([2, 5, 6, 7, 8])):
-            p ^= 1 << b
-        prints.add(p)
-    signed = [p - (p >> 63 << 64) for p in sorted(prints)]
-    links = simhash.fingerprint_links(spark.createDataFrame([(s,) for s in signed], "fp bigint"), 6, 8, 1).collect()
-    roots = {r[0]: r[1] for r in components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
-    want = smallest_reachable([s & ((1 << 64) - 1) for s in signed], signed, 6)
-    assert [roots.get(s, s) for s in signed] == want and len(set(want)) > 20
-
-
 def test_embedding_bounds_the_distance(spark):
     rng = random.Random(7)
     pairs = [(rng.getrandbits(64) - (1 << 63), rng.getrandbits(64) - (1 << 63)) for _ in range(200)]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 from compare import check, duck, mismatch
-from llm_cases import contamination, kept_words
+from llm_cases import awkward_texts, contamination, frame, kept_words
+from test_llm_operators import fingerprint, smallest_reachable
 
 import corpus_pipeline
-from edaflux.llm import queries
+from edaflux.llm import queries, toxicity
 from edaflux.llm.frames import stored
 
 
@@ -36,7 +38,10 @@ def test_stages_take_effect(spark, sf_dir):
     pairs = lambda name: [(r["doc_id"], r["text"]) for r in seen[name]]
     # Only rows go in the first two stages; only texts change in the next two.
     assert set(pairs("near_duplicates")) <= set(pairs("toxicity")) <= set(pairs("start"))
-    assert len(set(t for _, t in pairs("near_duplicates"))) == len(pairs("near_duplicates"))
+    scores = toxicity.toxicity(queries.table(spark, sf_dir, "documents"), queries.table(spark, sf_dir, "labels")).collect()
+    assert {d for d, _ in pairs("toxicity")} == {r["doc_id"] for r in scores if r["predicted"] == 0}
+    ids, texts = zip(*pairs("toxicity"), strict=True)
+    assert sorted(d for d, _ in pairs("near_duplicates")) == sorted(set(smallest_reachable([fingerprint(t) for t in texts], ids)))
     for a, b in (("near_duplicates", "repeated_passages"), ("repeated_passages", "benchmark")):
         assert {d for d, _ in pairs(a)} == {d for d, _ in pairs(b)}
         assert all(r["n_chars"] == len(r["text"]) for r in seen[b])
@@ -46,6 +51,26 @@ def test_stages_take_effect(spark, sf_dir):
     hit = {r[0] for r in contamination(pairs("repeated_passages"), items) if r[5]}
     changed = {d for d, t in pairs("benchmark") if dict(pairs("repeated_passages"))[d] != t}
     assert changed == hit
-    assert {d for d, _ in pairs("mixture")} <= {d for d, _ in pairs("benchmark")}
+    con = duckdb.connect()
+    con.register("documents", spark.createDataFrame(seen["benchmark"], docs_schema(spark, sf_dir)).toPandas())
+    want = con.execute(f"SELECT doc_id, epoch FROM ({queries.OP2_SQL})").fetchall()
+    assert sorted((r["doc_id"], r["epoch"]) for r in seen["mixture"]) == sorted(want)
     assert {"epoch", "n_tokens", "domain"} <= set(docs.columns)
     assert corpus_pipeline.run(spark, sf_dir).count() == len(seen["mixture"])
+
+
+def docs_schema(spark, sf_dir):
+    return queries.table(spark, sf_dir, "documents").schema
+
+
+def test_stages_of_awkward_and_no_documents(spark, sf_dir):
+    """Names that the last stage adds are taken already, ids are null or repeated, texts empty; and a table without rows."""
+    awkward = frame(spark, awkward_texts())
+    for docs in (awkward.withColumnsRenamed({"key": "domain", "spans": "epoch"}), frame(spark, [])):
+        for name, stage in corpus_pipeline.STAGES:
+            before = docs
+            docs = stored(stage(spark, docs, sf_dir))
+            if name != "mixture":
+                assert docs.schema == before.schema
+        assert set(before.columns) | {"domain", "epoch", "n_tokens"} == set(docs.columns)
+        assert dict(docs.dtypes)["epoch"] == "int"  # of columns that share a name, the stage's own stays
