@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edaflux.llm import decontaminate, queries, similar, substring, toxicity
+from edaflux.llm import decontaminate, queries, simhash, substring, toxicity
 from edaflux.llm.frames import fresh, stored
 
 
@@ -26,8 +26,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each group connected by pairs that share at least 0.8 of their five-word shingles."""
-    return similar.one_of_each(docs, shingle=5, similarity=(4, 5))
+    """One document, the smallest id's, stays of each group that fingerprints of three-word shingles within two bits connect."""
+    return simhash.one_of_each(docs, shingle=3, radius=2)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in their target shares; a row for each epoch in which a document is taken, with ``domain``, ``epoch``
-    and ``n_tokens`` added."""
+    and ``n_tokens`` added. They replace columns of those names."""
     return queries.mixture(docs, keep=tuple(docs.columns))
 
 
@@ -54,14 +54,17 @@ STAGES = [
     ("mixture", mixed),
 ]
 
-# A trained classifier and fingerprints over XXH64 have no SQL. The tests hold near_duplicates against all pairs, and
-# repeated_passages (words removed) and benchmark (documents changed) against brute force; of toxicity and mixture they
-# check only that rows are a subset.
+# A trained classifier and fingerprints over XXH64 have no SQL. The tests hold every stage on its own input against a plain
+# re-statement: toxicity against the classifier's decisions, near_duplicates against all pairs of fingerprints,
+# repeated_passages (words removed) and benchmark (documents changed) against brute force, mixture against its SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over ``documents``; each stage's result is a table in the shared folder."""
+    """All stages in turn over ``documents``; each stage's result is a table in the shared folder.
+
+    Null and empty texts pass every stage but near_duplicates, which keeps one text without words. Rows with null ids pass;
+    of repeated rows near_duplicates keeps one. Further columns are kept as they are. No documents give no rows."""
     docs = queries.table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir))
