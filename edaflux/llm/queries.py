@@ -241,3 +241,10 @@ def mixture(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 @query("op2_source_mixing", OP2_SQL)
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"))
+
+
+@query("op11_html_extraction")
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from edaflux.llm.page_text import page_texts
+
+    return page_texts(table(spark, sf_dir, "pages"))
