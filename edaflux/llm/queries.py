@@ -248,3 +248,52 @@ def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from edaflux.llm.page_text import page_texts
 
     return page_texts(table(spark, sf_dir, "pages"))
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII string: eight steps a byte, which is added at the first of them."""
+    steps = f"flatten(list_transform(list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))), lambda b: [b, 0, 0, 0, 0, 0, 0, 0]))"
+    return (
+        f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform({steps}, lambda b: b::BIGINT)), lambda r, b: "
+        "xor(xor(r, b) >> 1, 3988292384::BIGINT * (xor(r, b) & 1))), 4294967295::BIGINT)"
+    )
+
+
+OP12_SQL = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, {crc32_sql("conv_id::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (
+  SELECT c.conv_id, 0 AS part, k, role, text FROM c JOIN t ON t.conv_id = base AND k <= h
+  UNION ALL SELECT c.conv_id, 1, k, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND k > h
+), p AS (
+  SELECT conv_id, text, row_number() OVER w AS depth, string_agg(md5(length(role) || ':' || role || text), '') OVER (w ROWS UNBOUNDED PRECEDING) AS path
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, k)
+), f AS (
+  SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS ends
+  FROM (SELECT conv_id, depth, path, text FROM p UNION ALL SELECT conv_id, 0, '', '' FROM c)
+), nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n, max(octet_length(encode(text))) AS bytes,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM f GROUP BY path, depth
+), kids AS (SELECT substr(path, 1, 32 * (depth - 1)) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL
+), sums AS (
+  SELECT substr(n.path, 1, 32 * d) AS path, sum((n - 1) * bytes)::BIGINT AS saved_tokens, count(*) FILTER (k.path IS NULL) AS n_leaves
+  FROM nodes n LEFT JOIN kids k ON n.path = k.path, unnest(range(0, n.depth + 1)) AS u(d) GROUP BY 1
+)
+SELECT a.conv_id, a.depth::BIGINT AS depth, b.conv_id AS parent_conv_id, a.n AS n_convs, coalesce(n_children, 0) AS n_children,
+  n_leaves, saved_tokens, a.ends_sha256
+FROM nodes a JOIN sums USING (path) LEFT JOIN kids USING (path)
+LEFT JOIN nodes b ON a.depth > 0 AND b.path = substr(a.path, 1, 32 * (a.depth - 1))
+"""
+
+
+@query("op12_conversation_prefix_trie", OP12_SQL)
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from edaflux.llm.prefix_trie import conversation_lists, trie_nodes, with_shared_heads
+
+    lists = conversation_lists(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return trie_nodes(with_shared_heads(lists))
