@@ -297,3 +297,90 @@ def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame
 
     lists = conversation_lists(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     return trie_nodes(with_shared_heads(lists))
+
+
+_S = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _add(value: str, cost: str, label: str) -> str:
+    return f"(lpad((substr({value}, 1, 9)::INTEGER + {cost})::VARCHAR, 9, '0') || substr({value}, 10) || '{label}')"
+
+
+def _repair_step() -> str:
+    """States as strings of cost and edits, so that the least string is the cheapest and then the least of edits."""
+    u = f"least(b.v2, {_add('b.v0', '2', 'I')}, {_add('b.v1', '2', 'I')}, {_add('b.v3', '2', 'I')})"
+    a = f"least(b.v3, {_add('b.v2', '2', 'I')}, {_add('b.v0', '4', 'II')}, {_add('b.v1', '4', 'II')})"
+    closed = f"SELECT b.conv_id, b.i, b.v0, b.v1, {u} AS v2, {a} AS v3 FROM b"
+    free = "fault NOT IN (1, 2)"
+    late = "(fault = 3)::INTEGER"
+
+    def keep(role: str, value: str) -> str:
+        return f"CASE WHEN {free} AND initial = '{role}' THEN {_add(value, late, 'K')} END"
+
+    def turn(value: str) -> str:
+        return f"CASE WHEN {free} THEN {_add(value, f'(2 + {late})', 'R')} END"
+
+    new = [
+        _add("c.v0", "3", "D"),
+        f"least({_add('c.v1', '3', 'D')}, {keep('s', 'c.v0')})",
+        f"least({_add('c.v2', '3', 'D')}, " + ", ".join(f"{keep('u', v)}, {turn(v)}" for v in ("c.v0", "c.v1", "c.v3")) + ")",
+        f"least({_add('c.v3', '3', 'D')}, {keep('a', 'c.v2')}, {turn('c.v2')})",
+    ]
+    # The last row is a mark behind the conversation: only inserts come before it.
+    ends = ["c.v0", "c.v1", "c.v2", "c.v3"]
+    states = ", ".join(f"CASE WHEN f.fault IS NULL THEN {e} ELSE {n} END AS v{k}" for k, (e, n) in enumerate(zip(ends, new, strict=True)))
+    return f"SELECT f.conv_id, f.i + 1 AS i, {states} FROM ({closed}) c JOIN f ON f.k = c.conv_id AND f.i = c.i"
+
+
+OP13_SQL = f"""
+WITH RECURSIVE r AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role0, coalesce(text, ' ') AS text0,
+    {crc32_sql("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind FROM conversations
+), d AS (
+  SELECT conv_id, turn, copy, role0, text0, CASE kind WHEN 4 THEN 'user' ELSE role0 END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text0, '[.!?]', '', 'g') ELSE text0 END AS text
+  FROM r, unnest(range(0, CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS t(copy)
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role0, md5(text0), copy) AS i, rtrim(text, {_S}) AS bare FROM d
+), g AS (
+  SELECT conv_id, turn, i, role, text, substr(role, 1, 1) AS initial, CASE WHEN bare = '' THEN 1
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+    WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o
+), s AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+    count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM g GROUP BY conv_id
+), f AS (
+  SELECT conv_id, coalesce(conv_id::VARCHAR, '') AS k, i, initial, fault FROM g
+  UNION ALL SELECT conv_id, coalesce(conv_id::VARCHAR, ''), n + 1, NULL, NULL FROM s
+), b AS (
+  SELECT coalesce(conv_id::VARCHAR, '') AS conv_id, 1::BIGINT AS i, '000000000' AS v0, NULL::VARCHAR AS v1, NULL::VARCHAR AS v2, NULL::VARCHAR AS v3 FROM s
+  UNION ALL SELECT coalesce(conv_id::VARCHAR, ''), i, v0, v1, v2, v3 FROM ({_repair_step()})
+), best AS (
+  SELECT s.*, substr(v, 1, 9)::BIGINT AS cost, substr(v, 10) AS audit
+  FROM s JOIN (SELECT conv_id AS k, i, least(v0, v3) AS v FROM b) x ON x.k = coalesce(s.conv_id::VARCHAR, '') AND x.i = s.n + 2
+), edits AS (
+  SELECT conv_id, p, substr(audit, p, 1) AS e, p - length(regexp_replace(substr(audit, 1, p), '[^I]', '', 'g')) AS i
+  FROM best, unnest(range(1, length(audit) + 1)) AS t(p)
+), kept AS (
+  SELECT e.*, g.role, g.text, row_number() OVER w AS nth, first_value(CASE WHEN e.e = 'K' AND g.initial = 's' THEN 1 ELSE 0 END) OVER w AS led
+  FROM edits e LEFT JOIN g ON e.e <> 'I' AND g.conv_id IS NOT DISTINCT FROM e.conv_id AND g.i = e.i
+  WHERE e.e <> 'D' WINDOW w AS (PARTITION BY e.conv_id ORDER BY p)
+), lines AS (
+  SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (nth - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END,
+    chr(10) ORDER BY p) AS repaired FROM kept GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN best x ON x.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+@query("op13_conversation_structure_repair", OP13_SQL)
+def op13_conversation_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from edaflux.llm.structure_repair import damaged, structure_repairs
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return structure_repairs(damaged(turns), turns)
