@@ -126,6 +126,31 @@ def _s9_monthly(v):
     return download_values(v.spark, _drivers_files(v), "drivers", 2024, 2)
 
 
+@query("s9_rerun", f"""
+    SELECT site_id, datetime, flux * CASE WHEN year(datetime) = 1997 AND month(datetime) > 6 THEN 9 ELSE 1 END AS flux, flux_err
+    FROM ({_TARGET_ROWS}) WHERE datetime >= DATE '1997-01-01' AND datetime < DATE '1998-01-01'""")
+def _s9_rerun(v):
+    """Half a year of monthly files written again with other values: those replace the first ones, month by month."""
+    folder = _targets_files(v)
+    again = in_period(v.monthly, 1997).where(F.month("datetime") > 6)
+    error = F.when(F.col("row_id") % 5 != 0, F.lit(1.5))
+    write_month_of_targets(again.select(
+        "site_id", F.col("datetime").cast("timestamp").alias("startDateTime"), (F.col("flux") * 9).alias("flux"), error.alias("flux_err")), folder)
+    return download_values(v.spark, folder, "targets", 1997)
+
+
+@query("s10_consolidated_rerun", """
+    SELECT site_id, CAST(datetime AS TIMESTAMP) AS datetime, flux, flux_err FROM targets_day WHERE site_id IN ('1', '2', '3')""")
+def _s10_rerun(v):
+    """A month consolidated from the files of two sites, and again when the third site's file has come."""
+    files, months = _folder(v, "fluxes"), _folder(v, "consolidated")
+    rows = v.targets_day.select("site_id", F.col("datetime").cast("timestamp").alias("startDateTime"), "flux", "flux_err")
+    for sites in (("1", "2"), ("3",)):
+        write_named_files(rows.where(F.col("site_id").isin(*sites)), files, F.concat(F.lit("forecast_prediction-"), F.col("site_id"), F.lit("-2024-01")))
+        write_month_of_targets(consolidate_flux_month(v.spark, files, "2024-01"), months)
+    return targets_available(v.spark, months, ["2024-01"])
+
+
 @query("s4_gefs_soil_forecasts", f"""
     SELECT reference_datetime, site_id, ensemble, family, horizon, datetime, {_WIDE}
     FROM ens_runs WHERE reference_datetime = DATE '2024-01-10' AND {_IN_ENV} AND site_id IN ('1', '2', '7')

@@ -72,18 +72,26 @@ def previous_run(long: DataFrame, origins: DataFrame, met_vars: Sequence[str]) -
 
     Runs are matched by an equality on (site, reference date), so one pass serves all origins. The ensemble stays
     where it is while a count shows the list of origins is small.
+
+    Only the folders of matching reference dates are read. The first and last of them, and of the times asked for, are
+    one small row, known before the scan is planned: they prune folders and row groups whatever the join. On the side of
+    the origins the same bounds are a selective filter, which lets Spark hand the exact dates of a broadcast side to the
+    scan (dynamic partition pruning).
     """
     wanted = origins.select(
         "site_id", "origin", "duration", F.date_sub("origin", 1).alias("reference_datetime"),
         F.when(F.col("duration") == "P1D", F.date_add("origin", EVALUATION_DAYS["P1D"]))
         .otherwise(F.date_add("origin", EVALUATION_DAYS["P1W"])).alias("_until"),
     ).distinct()
-    rows = members_of(long, "variable", met_vars).withColumn("prediction", sentinel_to_null("prediction"))
-    matched = rows.join(broadcast_if_small(settle(wanted)), ["site_id", "reference_datetime"])
-    spanned = matched.where(
-        (F.col("datetime") >= F.col("origin").cast("timestamp"))
-        & (F.col("datetime") <= F.col("_until").cast("timestamp"))
-    )
+    wanted = settle(wanted)
+    first, last, start, stop = wanted.agg(
+        F.min("reference_datetime"), F.max("reference_datetime"), F.min("origin").cast("timestamp_ntz"), F.max("_until").cast("timestamp_ntz")
+    ).head()
+    run_date, time = F.col("reference_datetime"), F.col("datetime")
+    bounded = long.where(run_date.between(F.lit(first), F.lit(last)) & time.between(F.lit(start).cast("timestamp"), F.lit(stop).cast("timestamp")))
+    rows = members_of(bounded, "variable", met_vars).withColumn("prediction", sentinel_to_null("prediction"))
+    matched = rows.join(broadcast_if_small(wanted.where(run_date.between(F.lit(first), F.lit(last)))), ["site_id", "reference_datetime"])
+    spanned = matched.where((time >= F.col("origin").cast("timestamp")) & (time <= F.col("_until").cast("timestamp")))
     keys = ["site_id", "origin", "duration", "reference_datetime", "ensemble", "family", "datetime"]
     return widen(spanned, keys, met_vars)
 

@@ -86,14 +86,15 @@ def in_month_list(df: DataFrame, dates: Sequence[str] | None, ts: str = "datetim
     return df.where(keep)
 
 
-SITE_OF_SENSOR_FILE = r"soil_drivers-([A-Za-z0-9]{4})-\d{4}-\d{2}\.csv"
+SITE_OF_SENSOR_FILE = r"soil_drivers-([A-Za-z0-9]{4})-\d{4}-\d{2}(?:\.\d+)?\.csv"
+FILES = "{.csv,.*.csv}"  # of one name, which may fill several
 
 
 def consolidate_sensor_month(spark: SparkSession, folder: str, month: str) -> DataFrame:
     """Per-site sensor files of a month as one table; the site is in the file name only."""
     reader = (
         spark.read.schema(SENSOR_SITE_CSV).option("header", True).option("nullValue", "NA")
-        .option("pathGlobFilter", f"soil_drivers-*-{month}.csv").option("recursiveFileLookup", True)
+        .option("pathGlobFilter", f"soil_drivers-*-{month}{FILES}").option("recursiveFileLookup", True)
     )
     rows = reader.csv(folder).select("*", F.col("_metadata.file_name").alias("_file"))
     out = rows.select(name_part("_file", SITE_OF_SENSOR_FILE).alias("site_id"), "startDateTime", "VSWC", "SOILT")
@@ -102,7 +103,7 @@ def consolidate_sensor_month(spark: SparkSession, folder: str, month: str) -> Da
 
 def consolidate_flux_month(spark: SparkSession, folder: str, month: str) -> DataFrame:
     """Per-site flux files of a month as one table; the site is a column of the file."""
-    return read_csv(spark, folder, TARGETS_CSV, f"forecast_prediction-*-{month}.csv", recursive=True)
+    return read_csv(spark, folder, TARGETS_CSV, f"forecast_prediction-*-{month}{FILES}", recursive=True)
 
 
 def from_both_sensor_layouts(monthly: DataFrame, per_site: DataFrame) -> DataFrame:

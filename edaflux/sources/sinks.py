@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edaflux.schemas import DRIVERS_CSV, FORECAST_HORIZON, QUANTILE_FILE_NAMES, SUBMISSION_COLUMNS, TARGETS_CSV
+from edaflux.sources.commits import staged
 
 
 def write_daily_forecasts(summary: DataFrame, folder: str) -> None:
@@ -28,20 +28,13 @@ def write_named_files(df: DataFrame, folder: str, name: Column, drop: Sequence[s
     """CSV files called after ``name``, a function of the row; ``NA`` for nulls. The name is not a column of the file,
     nor are those of ``drop``.
 
-    Rows are rebalanced by name: one file per name, numbered from the second on where a name outgrows a partition.
+    Rows are rebalanced by name: one file per name, numbered from the second on where a name outgrows a partition. They
+    are written aside and then committed (``commits``): the files of a name are replaced as a whole, by the writer that
+    commits last; files of names that ``df`` does not hold stay as they are.
     """
-    spark, partial = df.sparkSession, f"{folder}/_partial-{uuid.uuid4().hex}"
     named = df.withColumn("_name", name).drop(*drop).hint("rebalance", "_name")
-    named.write.option("header", True).option("nullValue", "NA").partitionBy("_name").csv(partial)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    for part in fs.listStatus(path(partial)):
-        stem = part.getPath().getName().removeprefix("_name=")
-        if part.isDirectory():
-            files = sorted(f.getPath().toString() for f in fs.listStatus(part.getPath()) if f.getPath().getName().startswith("part-"))
-            for k, file in enumerate(files):
-                fs.rename(path(file), path(f"{folder}/{stem}{f'-{k + 1}' if k else ''}.csv"))
-    fs.delete(path(partial), True)
+    with staged(df.sparkSession, folder) as aside:
+        named.write.option("header", True).option("nullValue", "NA").partitionBy("_name").csv(aside.path)
 
 
 def write_horizon_forecasts(summary: DataFrame, folder: str) -> None:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 import gzip
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
-from edaflux.sources import challenge, ensemble, observations, sinks
+from edaflux.sources import challenge, commits, ensemble, observations, sinks
 
 
 def put(path, text):
@@ -110,3 +111,137 @@ def test_ensemble_is_pruned_by_reference_date(spark, tmp_path):
     assert {r.site_id for r in ensemble.noaa_soil_drivers(long, meta, "2024-01-01").collect()} == {"AAAA"}
     month = ensemble.month_of_drivers(long, "2024-01-01", "2024-01-31")
     assert month.count() == 4 and {r.TSOIL for r in month.collect()} == {280.0}
+
+
+# Committed output
+
+
+def month_of(spark, flux, months=(1,), copies=1):
+    rows = [("AAAA", dt.datetime(2024, m, d), flux, 0.1) for m in months for d in range(1, 4 * copies)]
+    return spark.createDataFrame(rows, "site_id string, startDateTime timestamp, flux double, flux_err double")
+
+
+def fluxes(spark, out):
+    rows = observations.targets_available(spark, out).collect()
+    return {(r.datetime.month, r.flux) for r in rows}
+
+
+def left_over(tmp_path):
+    return [f.name for f in (tmp_path / "t").iterdir() if not f.name.endswith((".csv", ".crc"))]
+
+
+def test_a_rerun_replaces_its_months(spark, tmp_path):
+    out = str(tmp_path / "t")
+    sinks.write_month_of_targets(month_of(spark, 1.0, (1, 2)), out)
+    sinks.write_month_of_targets(month_of(spark, 9.0, (1,)), out)
+    assert fluxes(spark, out) == {(1, 9.0), (2, 1.0)} and left_over(tmp_path) == []
+    sinks.write_month_of_targets(month_of(spark, 7.0, (1,)).limit(0), out)
+    assert fluxes(spark, out) == {(1, 9.0), (2, 1.0)} and left_over(tmp_path) == []
+
+
+def test_a_name_of_several_files_shrinks_to_one(spark, tmp_path, monkeypatch):
+    out, name = str(tmp_path / "t"), "targets-2024-01"
+    folder = commits.Folder(spark, out)
+    put(tmp_path / "t/targets-2024-01.csv", "old\n")
+    put(tmp_path / "t/targets-2024-01.2.csv", "old\n")
+    put(tmp_path / "t/targets-2024-01.12.csv", "old\n")
+    put(tmp_path / "t/targets-2024-02.2.csv", "site_id,startDateTime,flux,flux_err\n")
+    sinks.write_month_of_targets(month_of(spark, 3.0), out)
+    assert sorted(f.name for f in (tmp_path / "t").glob("*.csv")) == [f"{name}.csv", "targets-2024-02.2.csv"]
+    # Two staged files of one name are two files, and both are read.
+    aside = commits.Staged(folder)
+    for k in (1, 2):
+        folder.create(f"{aside.name}/_name={name}/part-{k}.csv", f"site_id,startDateTime,flux,flux_err\nAAAA,2024-01-0{k}T00:00:00Z,{k}.0,NA\n")
+    aside.commit()
+    assert fluxes(spark, out) == {(1, 1.0), (1, 2.0)} and left_over(tmp_path) == []
+
+
+@pytest.mark.parametrize("stop", ["write", "record", "lock", "first move", "moves", "staging"])
+def test_a_crash_between_the_steps(spark, tmp_path, monkeypatch, stop):
+    """A commit that crashes before its manifest leaves no trace; behind it, the next writer carries it out first."""
+    out = str(tmp_path / "t")
+    sinks.write_month_of_targets(month_of(spark, 1.0, (1, 2, 3)), out)
+
+    class Crash(BaseException):
+        pass
+
+    def crash(*_):
+        raise Crash
+
+    moved = []
+
+    def one_move(self, source, target, move=commits.Staged._move):
+        if moved:
+            raise Crash
+        moved.append(target)
+        move(self, source, target)
+
+    changes = {
+        "write": ("Staged.record", crash), "record": ("Staged.lock", crash), "lock": ("Staged.apply", crash),
+        "first move": ("Staged._move", one_move), "moves": ("_numbered", crash), "staging": ("Folder.remove", crash),
+    }
+    with monkeypatch.context() as m:
+        m.setattr(f"edaflux.sources.commits.{changes[stop][0]}", changes[stop][1])
+        with pytest.raises(Crash):
+            sinks.write_month_of_targets(month_of(spark, 2.0, (1, 2)), out)
+    begun = stop not in ("write", "record")
+    done = {"write": 1.0, "record": 1.0, "lock": 1.0, "moves": 2.0, "staging": 2.0}
+    if stop in done:
+        assert fluxes(spark, out) == {(1, done[stop]), (2, done[stop]), (3, 1.0)}
+    else:
+        assert {f for m, f in fluxes(spark, out) if m < 3} == {1.0, 2.0}  # each month whole, of one writer
+    sinks.write_month_of_targets(month_of(spark, 5.0, (3,)), out)
+    assert fluxes(spark, out) == {(1, 2.0 if begun else 1.0), (2, 2.0 if begun else 1.0), (3, 5.0)}
+    assert not begun or left_over(tmp_path) == []
+
+
+def test_two_writers_take_turns(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(commits, "WAIT", 0.01)
+    out = str(tmp_path / "t")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: sinks.write_month_of_targets(month_of(spark, float(k), (1, 2)), out), range(4)))
+    kept = fluxes(spark, out)
+    assert len(kept) == 2 and len({f for _, f in kept}) == 1 and left_over(tmp_path) == []
+    assert observations.targets_available(spark, out).count() == 6
+
+
+def test_a_live_lock_is_waited_for_and_a_dead_one_is_not(spark, tmp_path):
+    folder = commits.Folder(spark, str(tmp_path / "t"))
+    put(tmp_path / "t/x.txt", "")
+    assert folder.create(commits.LOCK, "_staging-gone") and not folder.create(commits.LOCK, "other")
+    assert not commits.recover(folder) and commits.recover(folder, lease=-1.0)
+    assert not folder.exists(commits.LOCK) and commits.recover(folder)
+
+
+def test_failed_renames_raise(spark, tmp_path):
+    out = str(tmp_path / "t")
+    put(tmp_path / "t/targets-2024-01.csv/in-the-way", "")  # a folder of that name cannot be replaced
+    with pytest.raises(OSError):
+        sinks.write_month_of_targets(month_of(spark, 1.0), out)
+
+
+def test_only_matching_reference_dates_are_read(spark, tmp_path):
+    first = dt.date(2024, 1, 1)
+    rows = [
+        (f"gec{m:02d}", "00", 3600.0 * h, dt.datetime(2024, 1, 1) + dt.timedelta(days=d, hours=h), "ensemble", "AAAA", "TSOIL", 280.0, first + dt.timedelta(days=d))
+        for d in range(100) for m in range(5) for h in range(0, 48, 6)
+    ]
+    out = str(tmp_path / "ens")
+    sinks.write_ensemble(spark.createDataFrame(rows, ensemble.ENSEMBLE_LONG), out)
+    long = ensemble.read_ensemble(spark, out)
+    origins = lambda *days: spark.createDataFrame([("AAAA", first + dt.timedelta(days=d), "P1D") for d in days], "site_id string, origin date, duration string")
+    for days, dates in (((51,), 1), ((11, 91), 2)):  # of two dates far apart, those between are not read either
+        before = records_read(spark)
+        got = ensemble.previous_run(long, origins(*days), ["TSOIL"]).collect()
+        assert {(r.origin - r.reference_datetime).days for r in got} == {1} and len({r.origin for r in got}) == len(days)
+        assert 0 < records_read(spark) - before <= dates * 40
+    assert ensemble.previous_run(long, origins(), ["TSOIL"]).count() == 0
+
+
+def records_read(spark) -> int:
+    """Input records of all stages so far."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    none = gateway.new_array(gateway.jvm.double, 0)
+    stages = store.stageList(None, False, False, none, gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).inputRecords() for i in range(stages.size()))
