@@ -22,7 +22,7 @@ def _w1(v):
         weighted_mean(v.half_hour, ["site_id", "startDateTime", "horizontalPosition"]), ["site_id", "startDateTime"]
     )
     start = F.unix_seconds(F.lit("2024-01-01").cast("timestamp"))
-    filled = fill_gaps(series, ["site_id"], "startDateTime", ["flux", "flux_err"], chunk="week")
+    filled = fill_gaps(series, ["site_id"], "startDateTime", ["flux", "flux_err"])
     slot = F.floor((F.unix_seconds("startDateTime") - start) / 1800)
     return filled.select("site_id", slot.alias("slot"), "flux", "flux_err")
 

@@ -1,8 +1,9 @@
 """Linear gap filling by position in an ordered series.
 
-A site's series is cut into time chunks. Windows run inside one (site, chunk), and a short table with one row per
-chunk carries across chunk borders what the windows cannot see: how many rows came before, the last known value
-before, the first known value after. A long series therefore spreads over as many tasks as it has chunks.
+The rows of all series are cut into range partitions of (series, time), whose number grows with the rows: a long or dense
+series is many pieces, many short ones are one. Windows run inside one (series, piece), and a short table with one row for
+each carries across the borders of pieces what the windows cannot see, forwards and backwards: how many rows came before,
+the last known value before, the first known value after.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from edaflux.operators.ordering import range_parts
 from edaflux.operators.ranking import group_key
 
 
@@ -20,18 +22,14 @@ def _known(column: str) -> Column:
     return F.when(F.col(column).isNotNull(), F.struct(F.col("_at").alias("at"), F.col(column).alias("v")))
 
 
-def fill_gaps(
-    df: DataFrame, keys: Sequence[str], ts: str, columns: Sequence[str], chunk: str = "month"
-) -> DataFrame:
+def fill_gaps(df: DataFrame, keys: Sequence[str], ts: str, columns: Sequence[str]) -> DataFrame:
     """Fill nulls between two known values of the same series; nulls at either end stay null.
 
     Distance is counted in rows, so rows for missing times must be present with nulls. ``ts`` must be unique within
-    a series. ``chunk`` is the ``date_trunc`` unit the series is cut by.
+    a series.
     """
     part = ["_k", "_chunk"]
-    # Visibly never null, so that both uses of the numbered series share its shuffle.
-    unit = F.coalesce(F.date_trunc(chunk, F.col(ts)), F.lit("1970-01-01").cast("timestamp"))
-    cut = df.withColumns({"_k": group_key(keys), "_chunk": unit})
+    cut = range_parts(df.withColumn("_k", group_key(keys)), ["_k", ts], "_chunk")
     forward = Window.partitionBy(*part).orderBy(ts)
     numbered = cut.withColumn("_at", F.row_number().over(forward).cast("long"))
 

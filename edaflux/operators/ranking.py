@@ -1,10 +1,10 @@
 """Exact order statistics of groups of any size.
 
 A group may hold a third of all rows, so no group is ever sorted or buffered by one task. Rows first collapse to
-(group, distinct value, copies) with map-side combine. A large group's distinct values are cut into buckets at split
-points sampled from the group itself (a mergeable sketch, so any spread gives even buckets); bucket totals are
-prefix-summed per group (a short table), and values are ordered only within their bucket. Bucket start plus position
-inside the bucket is the exact rank. Mean, sd, quantiles and CRPS all come from these rows.
+(group, distinct value, copies) with map-side combine. These are cut into range partitions of (group, value), whose number grows
+with the table and not with the groups; the totals of each group in each partition are prefix-summed per group (a short table),
+and values are ordered only inside their partition. Partition start plus position inside it is the exact rank. Mean, sd,
+quantiles and CRPS all come from these rows.
 
 NaN counts as missing. Infinite values are members with a rank like any other, and quantiles may be infinite; the sd, the
 pairwise spread and the CRPS of a group that holds one are null, as they have no number.
@@ -18,28 +18,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from edaflux.operators.ordering import range_parts
 from edaflux.schemas import QUANTILES
 
-# A group with more distinct values than one bucket should hold is cut at up to this many split points.
-BUCKET_VALUES = 4096
-SPLITS = 127
-
-
-def split_points(value: Column) -> Column:
-    """Aggregate: ascending split points of a group's finite distinct values; none for a small group."""
-    sample = F.percentile_approx(_finite(value), [k / (SPLITS + 1) for k in range(1, SPLITS + 1)], 4 * (SPLITS + 1))
-    return F.when(F.count(value) > BUCKET_VALUES, F.array_distinct(sample))
-
-
-def bucket_of(value: Column, splits: Column) -> Column:
-    """The number of split points below a value: never decreases with it. Infinities lie outside all buckets."""
-    inside = F.coalesce(F.size(F.filter(splits, lambda s: s < value)), F.lit(0))
-    return F.when(value == float("inf"), SPLITS + 1).when(value == float("-inf"), -1).otherwise(inside)
-
-
-def _finite(value: Column) -> Column:
-    return F.when(F.abs(value) < float("inf"), value)
-
 
 def group_key(keys: Sequence[str]) -> Column:
     """The group's keys as one struct. Structs match field by field with null equal to null, so groups with a null key
@@ -72,10 +53,7 @@ def keyed_ranks(
     # Negative zero and zero are one value; NaN is missing.
     clean = F.when(~F.isnan(value), F.col(value) + F.lit(0.0))
     copies = keyed.groupBy("_k", clean.alias("_value")).agg(F.count(clean).alias("copies"))
-    # The condition keeps this plan equal to the other use of ``copies``, so that both share one shuffle.
-    known = F.when(F.col("copies") > 0, F.col("_value"))
-    splits = copies.groupBy("_k").agg(split_points(known).alias("_splits"))
-    counts = copies.join(splits, "_k").select("_k", "_value", "copies", bucket_of(F.col("_value"), F.col("_splits")).alias("_bucket"))
+    counts = range_parts(copies, ["_k", "_value"], "_bucket")
     totals = counts.groupBy("_k", "_bucket").agg(
         F.sum("copies").alias("_in_bucket"), F.sum(F.col("copies") * F.col("_value")).alias("_bucket_sum")
     )

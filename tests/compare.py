@@ -6,6 +6,7 @@ import datetime as dt
 import math
 import sys
 import time
+from contextlib import contextmanager
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -21,6 +22,27 @@ def duck(sf_dir: str):
     return con
 
 
+@contextmanager
+def settings(spark, values):
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def records_read(spark) -> int:
+    """Input records of all stages so far."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    none = gateway.new_array(gateway.jvm.double, 0)
+    stages = store.stageList(None, False, False, none, gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).inputRecords() for i in range(stages.size()))
+
+
 def plain(value):
     if isinstance(value, float) and math.isnan(value):
         return "NaN"

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from compare import settings
 
 from edaflux.operators.evaluate import sample_crps, score_ensemble
 from edaflux.operators.ranking import ensemble_summary, pairwise_spread, quantiles, value_ranks
 from edaflux.schemas import QUANTILES
+from edaflux.session import settle
 
 
 @pytest.fixture(scope="module")
@@ -118,18 +120,32 @@ def test_each_observation_of_a_key_is_scored_by_itself(spark):
 
 
 def test_a_narrow_group_is_cut_evenly(spark):
-    """Half a million values within a relative spread of one millionth: no bucket holds over a fiftieth of them."""
+    """Half a million values within a relative spread of one millionth: no piece holds over a fiftieth of them."""
     from pyspark.sql import functions as F
 
-    from edaflux.operators.ranking import bucket_of, split_points
+    from edaflux.operators.ordering import range_parts
 
-    df = spark.range(500_000).select(F.lit("a").alias("k"), (F.lit(101325.0) + F.randn(3) * 0.1).alias("v"))
-    df = df.persist()
-    cuts = df.groupBy("k").agg(split_points(F.col("v")).alias("s"))
-    sizes = df.join(cuts, "k").groupBy(bucket_of(F.col("v"), F.col("s")).alias("b")).count().agg(F.max("count"), F.count("*")).first()
-    assert sizes[0] < 10_000 and sizes[1] > 100
-    got = quantiles(df, ["k"], "v").first()
+    df = settle(spark.range(500_000).select(F.lit("a").alias("k"), (F.lit(101325.0) + F.randn(3) * 0.1).alias("v")))
+    with settings(spark, {"spark.sql.shuffle.partitions": "100", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+                          "spark.sql.adaptive.coalescePartitions.minPartitionSize": "32k"}):
+        cut = range_parts(df, ["k", "v"])
+        sizes = cut.groupBy("_part").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("_part").collect()
+        assert max(r.n for r in sizes) < 10_000 and sum(r.n for r in sizes) == 500_000
+        assert all(a.hi < b.lo for a, b in zip(sizes, sizes[1:], strict=False))
+        got = quantiles(df, ["k"], "v").first()
     values = np.array([r.v for r in df.select("v").collect()])
     for name, p in QUANTILES.items():
         assert got[name] == pytest.approx(np.quantile(values, p), rel=1e-15)
-    df.unpersist()
+
+
+def test_pieces_of_one_group_grow_in_number_with_it(spark):
+    from pyspark.sql import functions as F
+
+    from edaflux.operators.ordering import range_parts
+
+    with settings(spark, {"spark.sql.shuffle.partitions": "200", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+                          "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k"}):
+        parts = [range_parts(spark.range(n).select(F.lit("a").alias("k"), F.rand(1).alias("v")), ["k", "v"]).select("_part").distinct().count() for n in (40_000, 400_000)]
+    assert 5 * parts[0] <= parts[1] <= 200
+    assert range_parts(spark.range(10), ["id"], rows=10).select("_part").distinct().count() == 1
+    assert range_parts(spark.range(10), ["id"], rows=10 * 65_536).select("_part").distinct().count() == 10

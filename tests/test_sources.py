@@ -7,6 +7,7 @@ import gzip
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from compare import records_read
 
 from edaflux.sources import challenge, commits, ensemble, observations, sinks
 
@@ -236,12 +237,3 @@ def test_only_matching_reference_dates_are_read(spark, tmp_path):
         assert {(r.origin - r.reference_datetime).days for r in got} == {1} and len({r.origin for r in got}) == len(days)
         assert 0 < records_read(spark) - before <= dates * 40
     assert ensemble.previous_run(long, origins(), ["TSOIL"]).count() == 0
-
-
-def records_read(spark) -> int:
-    """Input records of all stages so far."""
-    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-    none = gateway.new_array(gateway.jvm.double, 0)
-    stages = store.stageList(None, False, False, none, gateway.jvm.java.util.ArrayList())
-    return sum(stages.apply(i).inputRecords() for i in range(stages.size()))
