@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A side is broadcast only after it was counted and found to hold at most this many rows.
+# A side is broadcast only after it was measured and found to hold at most this many rows and bytes.
 BROADCAST_MAX_ROWS = 100_000
+BROADCAST_MAX_BYTES = 64 << 20
 
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -60,11 +64,30 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(table: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast if a count proves the table small, else leave it alone.
-
-    The count stops at the bound. Without the hint Spark runs a sort-merge join, and AQE splits hot keys of the
-    larger side. Settle a table first if computing it twice would cost more than storing it.
+def value_bytes(value: Column, kind: T.DataType) -> Column:
+    """The bytes of a value in memory, at most: eight for a fixed width, what is in it for the others."""
+    zero = F.lit(0).cast("long")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), zero) + 16
+    if isinstance(kind, T.StructType):
+        return reduce(lambda a, b: a + b, [value_bytes(value[f.name], f.dataType) for f in kind.fields], zero)
+    if isinstance(kind, T.MapType):
+        return sum((value_bytes(f(value), T.ArrayType(k)) for f, k in ((F.map_keys, kind.keyType), (F.map_values, kind.valueType))), zero)
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.MapType, T.ArrayType)):
+            inside = F.aggregate(value, zero, lambda a, e: a + value_bytes(e, kind.elementType))
+        else:
+            inside = F.size(value).cast("long") * 8
+        return F.coalesce(inside, zero) + 16
+    return F.lit(16 if isinstance(kind, T.DecimalType) else 8).cast("long")
+
+
+def broadcast_if_small(table: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Hint a broadcast if the table's rows and bytes, counted, prove it small, else leave it alone.
+
+    The count stops behind the bound of rows. Without the hint Spark runs a sort-merge join, and AQE splits hot keys of
+    the larger side. Settle a table first if computing it twice would cost more than storing it.
     """
-    fits = table.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(table) if fits else table
+    row = value_bytes(F.struct(*[F.col(f"`{c}`") for c in table.columns]), table.schema) if table.columns else F.lit(0)
+    n, size = table.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(row), F.lit(0))).head()
+    return F.broadcast(table) if n <= max_rows and size <= max_bytes else table

@@ -6,14 +6,16 @@ import math
 
 import numpy as np
 import pytest
+from compare import settings
 from pyspark.sql import functions as F
 
 from catalog.views import Views
 from edaflux.operators import regression as G
-from edaflux.operators.boosted import fit_boosted, predict_boosted
+from edaflux.operators.boosted import fit_boosted, predict_boosted, with_bin
 from edaflux.operators.nonlinear import fit_formula
 from edaflux.operators.predict import apply_model, coefficient_rows, predict_models
 from edaflux.plans.daily import celsius_training, daily_forecast, horizon_forecast
+from edaflux.session import settle
 
 
 @pytest.fixture(scope="module")
@@ -228,7 +230,7 @@ def test_a_sites_trees_do_not_depend_on_the_number_of_sites(spark):
         rows = spark.range(n * 8, numPartitions=8).select(
             (F.col("id") % n).cast("string").alias("site_id"), ((F.col("id") / n).cast("int") * 7 % 5 / 3.0).alias("flux"),
             ((F.col("id") / n).cast("int") * 1.5).alias("TSOIL"), ((F.col("id") / n).cast("int") * 5 % 7 / 10.0).alias("SOILW"))
-        fits = fit_boosted(rows, rounds=5).select("site_id", "sigma", F.to_json("steps").alias("steps")).collect()
+        fits = fit_boosted(rows, rounds=5).select("site_id", "sigma", F.to_json(F.struct("steps")).alias("steps")).collect()
         assert len(fits) == n and all(r.sigma is not None for r in fits)
         return {(r.sigma, r.steps) for r in fits if r.site_id in wanted}
 
@@ -236,14 +238,118 @@ def test_a_sites_trees_do_not_depend_on_the_number_of_sites(spark):
     assert len(few) == 1 and models(1025, ("0", "1")) == models(2100, ("0", "1")) == few
 
 
+def plain_trees(x: list, y: list, rounds: int):
+    """Boosting by nested lists of rows: (predict, fitted). Cuts are values; a row goes left below the cut."""
+    base = sum(y) / len(y)
+    fitted, trees = [base] * len(y), []
+
+    def grow(rows, rest, depth):
+        whole = sum(rest[i] for i in rows)
+        best, found = 1e-6, None
+        options = []
+        for axis in range(2) if depth else ():
+            for cut in sorted({v[axis] for v in x})[1:]:
+                left = [i for i in rows if x[i][axis] < cut]
+                if left and len(left) < len(rows):
+                    g = sum(rest[i] for i in left)
+                    gain = g * g / (len(left) + 1) + (whole - g) ** 2 / (len(rows) - len(left) + 1) - whole * whole / (len(rows) + 1)
+                    options.append((gain, axis, cut))
+                    best = max(best, gain)
+        found = next(((a, c) for gain, a, c in options if gain > 1e-6 and gain >= best * (1 - 1e-9)), None)
+        if found is None:
+            return 0.1 * whole / (len(rows) + 1)
+        axis, cut = found
+        parts = [[i for i in rows if (x[i][axis] < cut) == side] for side in (True, False)]
+        return axis, cut, *(grow(p, rest, depth - 1) for p in parts)
+
+    def leaf(tree, v):
+        while isinstance(tree, tuple):
+            tree = tree[2] if v[tree[0]] < tree[1] else tree[3]
+        return tree
+
+    for _ in range(rounds):
+        tree = grow(list(range(len(y))), [a - f for a, f in zip(y, fitted, strict=True)], 3)
+        trees.append(tree)
+        fitted = [f + leaf(tree, v) for f, v in zip(fitted, x, strict=True)]
+    return lambda v: base + sum(leaf(t, v) for t in trees), fitted
+
+
+def test_trees_are_those_of_plain_boosting(spark):
+    rng = np.random.default_rng(5)
+    sites, rows, members = {"a": 40, "b": 25, "flat": 12}, [], []
+    for s, n in sites.items():
+        for _ in range(n):
+            t, w = float(rng.integers(0, 15)), float(rng.integers(0, 9)) / 20
+            rows.append((s, 1.0 if s == "flat" else float(np.sin(t) + 3 * w + rng.normal(0, 0.1)), t, w))
+        members += [(s, f"g{k}", 273.15 + float(rng.uniform(-3, 18)), float(rng.uniform(-0.1, 0.5))) for k in range(30)]
+    joined = spark.createDataFrame(rows, "site_id string, flux double, TSOIL double, SOILW double")
+    ens = spark.createDataFrame([*members, ("a", "none", None, 0.1), ("b", "none", 280.0, None)], "site_id string, ensemble string, TSOIL double, SOILW double")
+    models = fit_boosted(joined, rounds=12)
+    got = {(r.site_id, r.ensemble): r.value for r in predict_boosted(joined, ens, rounds=12, noise=0, models=models).collect()}
+    assert got.pop(("a", "none")) is None and got.pop(("b", "none")) is None and len(got) == 90
+    sigma = {r.site_id: r.sigma for r in models.collect()}
+    for s in sites:
+        own = [r for r in rows if r[0] == s]
+        predict, fitted = plain_trees([(r[2], r[3]) for r in own], [r[1] for r in own], 12)
+        assert sigma[s] == pytest.approx(np.std([r[1] - f for r, f in zip(own, fitted, strict=True)], ddof=1), abs=1e-12)
+        for site, e, t, w in members:
+            if site == s:
+                assert got[s, e] == pytest.approx(predict((t - 273.15, w)), rel=1e-9)
+
+
+def test_a_dominant_value_leaves_the_others_exact(spark):
+    """A hundred distinct values of which one has 99.9% of the rows."""
+    rows = spark.range(100_000).select(
+        F.lit("s").alias("site_id"), F.when(F.col("id") % 1000 == 0, F.col("id") / 1000 % 100).otherwise(0).cast("double").alias("SOILW"), F.lit(10.0).alias("TSOIL"))
+    fit = fit_boosted(rows.withColumn("flux", 10 * F.col("SOILW")), rounds=200).first()
+    assert fit.cuts == [[], [float(v) for v in range(1, 100)]] and len(fit.steps) == 100
+    assert fit.sigma < 0.2
+
+
+def test_many_values_and_heavy_ones_share_the_bins(spark):
+    """20,000 continuous rows of three sites, one of them with two values that hold half of its rows."""
+    t = F.when((F.col("site_id") == "2") & (F.col("id") % 2 == 0), F.col("id") % 4 / 2.0).otherwise(F.rand(1) * 20)
+    rows = spark.range(20_000).withColumn("site_id", (F.col("id") % 3).cast("string")).select(
+        "site_id", t.alias("TSOIL"), (F.rand(2) * 0.5).alias("SOILW"), (F.rand(3) * 0.1).alias("flux"))
+    rows = settle(rows.withColumn("flux", F.col("flux") + F.sin("TSOIL") + F.col("SOILW")))
+    for r in fit_boosted(rows, rounds=60).collect():
+        assert all(100 < len(c) < 256 and c == sorted(set(c)) for c in r.cuts)
+        assert len(r.steps) == (len(r.cuts[0]) + 1) * (len(r.cuts[1]) + 1) <= 256 * 256 and r.sigma < 0.2
+        if r.site_id == "2":
+            assert {0.0, 1.0} <= {0.0, *r.cuts[0]}
+            assert min(c for c in r.cuts[0] if c > 1.0) < 1.2 and min(c for c in r.cuts[0] if c > 0.0) < 0.3
+
+
+def test_binary_search_of_bins(spark):
+    cuts = [float(v) for v in range(255)]
+    rows = spark.createDataFrame([(v, c) for c in (cuts, cuts[:3], []) for v in (-1.0, 0.0, 0.5, 2.0, 254.0, 300.0, None)], "x double, cuts array<double>")
+    got = with_bin(rows, "b", F.col("x"), F.col("cuts")).collect()
+    assert all(r.b == (None if r.x is None else sum(c <= r.x for c in r.cuts)) for r in got)
+    text = with_bin(rows, "b", F.col("x"), F.col("cuts"))._jdf.queryExecution().executedPlan().toString()
+    assert "filter" not in text.lower()
+
+
+def test_the_ensemble_is_not_shuffled_for_its_trees(spark):
+    """47 sites of the largest possible grids are some 25 MB, which are broadcast; ten times that are not."""
+    def joined(bins):
+        steps = F.array_repeat(F.lit(1.0), bins * bins)
+        cuts = F.array(F.sequence(F.lit(1), F.lit(bins - 1)).cast("array<double>"), F.sequence(F.lit(1), F.lit(bins - 1)).cast("array<double>"))
+        models = spark.range(47).select(F.col("id").cast("string").alias("site_id"), F.lit(1.0).alias("sigma"), cuts.alias("cuts"), steps.alias("steps"))
+        ens = spark.range(1000).select((F.col("id") % 47).cast("string").alias("site_id"), F.lit(280.0).alias("TSOIL"), F.lit(0.2).alias("SOILW"))
+        out = predict_boosted(ens, ens, noise=0, models=models)
+        assert out.count() == 1000
+        return out._jdf.queryExecution().executedPlan().toString()
+
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        assert "Exchange hashpartitioning" not in joined(256) and "SortMergeJoin" in joined(600)
+
+
 def test_boosting_fits_what_it_is_given():
     from edaflux.operators.boosted import boost
 
     rng = np.random.default_rng(1)
-    x = rng.uniform(0, 1, (40, 2))
-    y = np.sin(5 * x[:, 0]) + x[:, 1] ** 2
-    cuts, steps = boost(x, np.ones(40), y, 200)
-    own = steps[tuple(np.searchsorted(c, x[:, k]) for k, c in enumerate(cuts))]
-    assert np.std(own - y) < 0.1 * np.std(y)
-    _, none = boost(x, np.ones(40), y, 0)
-    assert np.allclose(none, y.mean())
+    n = rng.integers(0, 3, (30, 20)).astype(float)
+    y = n * (np.sin(np.arange(30) / 5)[:, None] + np.arange(20) ** 2 / 400)
+    own = boost(n, y, 400)
+    assert np.abs((own * n - y)[n > 0]).max() < 0.5 and np.std((own * n - y)[n > 0]) < 0.1 * np.std(y[n > 0])
+    assert np.allclose(boost(n, y, 0), y.sum() / n.sum())
