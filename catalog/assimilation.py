@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.models import _NOISE, _noise_check
 from catalog.registry import query
 from edaflux.operators.assimilate import assimilate_forecast, kalman_update
-from edaflux.operators.evaluate import observations_in_span, with_intervals
+from edaflux.operators.evaluate import observations_in_span, spanned, with_intervals
 
 
 def _observations(v):
@@ -77,8 +77,9 @@ def _k2_weekly(v):
     SELECT variable, {_NOISE.format(v="(CASE WHEN p > 0 THEN y END)")} FROM z GROUP BY variable""")
 def _k2_seeded(v):
     keys = ["site_id", "variable", "parameter", "datetime"]
-    placed = with_intervals(v.forecast_long, v.forecast_long, "P1D")
-    seen = observations_in_span(v.challenge, v.forecast_long, "P1D").groupBy("site_id", "variable", "interval_id").agg(F.count("observation").alias("seen"))
+    forecast, span = spanned(v.forecast_long)
+    placed = with_intervals(forecast, span, "P1D")
+    seen = observations_in_span(v.challenge, span, "P1D").groupBy("site_id", "variable", "interval_id").agg(F.count("observation").alias("seen"))
     spread = placed.groupBy("site_id", "variable", "interval_id").agg(F.var_samp("prediction").alias("p"))
     of = placed.select(*keys, "interval_id").join(spread, ["site_id", "variable", "interval_id"]).join(seen, ["site_id", "variable", "interval_id"], "left")
     calm = assimilate_forecast(v.forecast_long, v.challenge, "P1D", ic_sd=3.0, perturb=0).select(*keys, F.col("prediction").alias("calm"))

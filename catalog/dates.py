@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query
 from edaflux.functions import dates as D
-from edaflux.operators.aggregate import earliest, latest
+from edaflux.session import settle_observed
 
 
 @query("d1_day", "SELECT event_id, CAST(ts AS DATE) AS day FROM events")
@@ -84,14 +84,14 @@ _INTERVALS = """
 
 @query("d8_daily_intervals", _INTERVALS.format(ts="ts", step=1, length=1))
 def _d8_daily(v):
-    start = D.week_start(earliest(v.obs, "ts"))
-    return v.obs.select("event_id", D.interval_id("ts", start, latest(v.obs, "ts"), "P1D").alias("interval_id"))
+    obs, seen = settle_observed(v.obs.select("event_id", "ts"), first=F.min("ts"), last=F.max("ts"))
+    return obs.select("event_id", D.interval_id("ts", D.week_start(seen["first"]), seen["last"], "P1D").alias("interval_id"))
 
 
 @query("d8_weekly_intervals", _INTERVALS.format(ts="day", step=7, length=14))
 def _d8_weekly(v):
-    start = D.week_start(earliest(v.obs, "day"))
-    return v.obs.select("event_id", D.interval_id("day", start, latest(v.obs, "day"), "P1W").alias("interval_id"))
+    obs, seen = settle_observed(v.obs.select("event_id", "day"), first=F.min("day"), last=F.max("day"))
+    return obs.select("event_id", D.interval_id("day", D.week_start(seen["first"]), seen["last"], "P1W").alias("interval_id"))
 
 
 @query("d9_year_month_range", """

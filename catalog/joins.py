@@ -8,7 +8,7 @@ from catalog.registry import query
 from edaflux.functions.dates import next_evaluation
 from edaflux.operators import joins as J
 from edaflux.operators.aggregate import group_means
-from edaflux.operators.evaluate import forecast_statistics, observations_in_span, with_intervals
+from edaflux.operators.evaluate import forecast_statistics, observations_in_span, spanned, with_intervals
 from edaflux.operators.regression import fit_line
 
 
@@ -96,11 +96,9 @@ def _j6(v):
     FROM fx LEFT JOIN o ON fx.site_id = o.site_id AND fx.variable = o.variable AND fx.k = o.k""")
 def _j7(v):
     keys = ["site_id", "variable", "interval_id"]
-    observed = observations_in_span(v.challenge, v.forecast_long, "P1D").groupBy(*keys).agg(
-        F.avg("observation").alias("observation")
-    )
-    placed = with_intervals(v.forecast_long, v.forecast_long, "P1D")
-    out = J.left_pair(placed, observed, keys)
+    forecast, span = spanned(v.forecast_long)
+    observed = observations_in_span(v.challenge, span, "P1D").groupBy(*keys).agg(F.avg("observation").alias("observation"))
+    out = J.left_pair(with_intervals(forecast, span, "P1D"), observed, keys)
     return out.select("site_id", "variable", "datetime", "parameter", "prediction", "observation")
 
 

@@ -21,9 +21,10 @@ from edaflux.operators.predict import (
     standard_prediction,
 )
 from edaflux.operators.aggregate import ensemble_summary
-from edaflux.plans.daily import celsius_training, daily_forecast, horizon_forecast
+from edaflux.plans.daily import celsius_training, daily_forecast, fit_forecast, horizon_forecast, predict_forecast
 from edaflux.plans.hindcast import fit_flux, with_fitted
 from edaflux.schemas import QUANTILES
+from edaflux.session import settle
 
 # Observed days stand for each training period in turn; a shift of dates brings them into the one asked for.
 _DAYS_TO_TRAINING_MONTH = 61  # January 2024 -> November 2023
@@ -185,6 +186,48 @@ def _m6_seeded(v):
     )
 
 
+def _tree_ctes(train: str, members: str, rounds: int) -> str:
+    """Boosting as chained tables, ``boosted`` (site_id, day, ensemble, value) last. ``train`` has (site_id, t, w, flux),
+    ``members`` (site_id, day, ensemble, t, w). Training rows and members go down each tree together."""
+    out = [f"""bu0 AS MATERIALIZED (SELECT site_id, NULL::DATE AS day, NULL::VARCHAR AS ensemble, t, w, flux AS y, avg(flux) OVER (PARTITION BY site_id) AS f, 0 AS node FROM {train}
+      UNION ALL SELECT m.site_id, day, ensemble, t, w, NULL, base, 0 FROM {members} m JOIN (SELECT site_id, avg(flux) AS base FROM {train} GROUP BY site_id) USING (site_id)
+      WHERE t IS NOT NULL AND w IS NOT NULL)""",
+           f"bc AS MATERIALIZED (SELECT DISTINCT site_id, 0 AS axis, t AS cut FROM {train} UNION SELECT DISTINCT site_id, 1, w FROM {train})"]
+    k = 0
+    for _ in range(rounds):
+        for _ in range(3):
+            out.append(f"""bs{k} AS MATERIALIZED (
+      SELECT site_id, node, arg_min(axis, axis * 1000000 + place) AS axis, arg_min(cut, axis * 1000000 + place) AS cut FROM (
+        SELECT *, max(gain) OVER (PARTITION BY site_id, node) AS best, rank() OVER (PARTITION BY site_id, node, axis ORDER BY cut) AS place FROM (
+          SELECT site_id, node, axis, cut, gl * gl / (nl + 1) + (g - gl) * (g - gl) / (n - nl + 1) - g * g / (n + 1) AS gain FROM (
+            SELECT u.site_id, node, axis, cut, count(*) AS n, sum(y - f) AS g, count(*) FILTER (CASE axis WHEN 0 THEN t ELSE w END < cut) AS nl,
+              coalesce(sum(y - f) FILTER (CASE axis WHEN 0 THEN t ELSE w END < cut), 0) AS gl
+            FROM bu{k} u JOIN bc USING (site_id) WHERE y IS NOT NULL GROUP BY u.site_id, node, axis, cut) WHERE nl > 0 AND nl < n))
+      WHERE gain > 1e-6 AND gain >= best * (1 - 1e-9) GROUP BY site_id, node)""")
+            out.append(f"""bu{k + 1} AS MATERIALIZED (SELECT u.* REPLACE (2 * node + CASE WHEN CASE axis WHEN 0 THEN t WHEN 1 THEN w END >= cut THEN 1 ELSE 0 END AS node)
+      FROM bu{k} u LEFT JOIN bs{k} USING (site_id, node))""")
+            k += 1
+        out.append(f"""bu{k + 1} AS MATERIALIZED (SELECT u.* REPLACE (f + step AS f, 0 AS node)
+      FROM bu{k} u JOIN (SELECT site_id, node, 0.1 * sum(y - f) / (count(*) + 1) AS step FROM bu{k} WHERE y IS NOT NULL GROUP BY ALL) USING (site_id, node))""")
+        k += 1
+    return ",\n    ".join([*out, f"boosted AS (SELECT site_id, day, ensemble, f AS value FROM bu{k} WHERE y IS NULL)"])
+
+
+_TREE_ROUNDS = 3  # of queries whose trees are restated in SQL
+
+
+@query("m7_boosted_values", f"""
+    WITH c AS (SELECT *, count(*) OVER (PARTITION BY site_id) AS n FROM {_COMPLETE}),
+    tr7 AS (SELECT site_id, tc AS t, "SOILW" AS w, flux FROM c WHERE n > 5),
+    me7 AS (SELECT site_id, day, ensemble, "TSOIL" - 273.15::DOUBLE AS t, "SOILW" AS w FROM ens_wide),
+    {_tree_ctes("tr7", "me7", _TREE_ROUNDS)},
+    j AS (SELECT site_id FROM targets_day JOIN drivers_day USING (site_id, datetime) GROUP BY site_id HAVING count(*) > 5)
+    SELECT e.site_id, e.day, e.ensemble, value FROM ens_wide e JOIN j USING (site_id)
+    LEFT JOIN boosted b ON b.site_id = e.site_id AND b.day = e.day AND b.ensemble = e.ensemble""")
+def _m7_values(v):
+    return predict_boosted(celsius_training(_joined(v)), v.ens_wide, _TREE_ROUNDS, noise=0).select("site_id", "day", "ensemble", "value")
+
+
 @query("m7_boosted_trees", f"""
     WITH j AS (SELECT site_id, count(*) AS rows FROM targets_day JOIN drivers_day USING (site_id, datetime) GROUP BY site_id),
     c AS (SELECT site_id, count(*) AS complete FROM {_COMPLETE} GROUP BY site_id)
@@ -195,11 +238,12 @@ def _m6_seeded(v):
     FROM ens_wide e JOIN j USING (site_id) LEFT JOIN c USING (site_id) WHERE rows > 5 GROUP BY e.site_id""")
 def _m7(v):
     """200 rounds at every site; values lie near the training fluxes and the fit is closer than their mean."""
-    joined = celsius_training(_joined(v))
-    values = predict_boosted(joined, v.ens_wide, noise=0)
+    joined = settle(celsius_training(_joined(v)))
+    models = fit_boosted(joined)
+    values = predict_boosted(None, v.ens_wide, noise=0, models=models)
     spread = complete_cases(joined).groupBy("site_id").agg(
         F.min("flux").alias("lo"), F.max("flux").alias("hi"), F.stddev_samp("flux").alias("sd")
-    ).join(fit_boosted(joined).select("site_id", "sigma"), "site_id")
+    ).join(models.select("site_id", "sigma"), "site_id")
     return values.join(spread, "site_id", "left").groupBy("site_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("value").isNull()).alias("nulls"),
         F.bool_and(F.col("value").between(2 * F.col("lo") - F.col("hi"), 2 * F.col("hi") - F.col("lo"))).alias("in_range"),
@@ -418,82 +462,118 @@ _PERIODS = f"""
         FROM vals GROUP BY site_id, model, day)"""
 
 
-# Trees have no SQL: their rows are checked by what is there, and by quantiles that ascend.
-_TREES = """
-    mj AS (SELECT site_id, count(*) AS rows, count(*) FILTER (flux IS NOT NULL AND flux_err IS NOT NULL AND "PRES" IS NOT NULL
-             AND "TSOIL" IS NOT NULL AND "SOILW" IS NOT NULL AND "WEASD" IS NOT NULL AND "SNOD" IS NOT NULL AND "ICETK" IS NOT NULL) AS complete
-           FROM jn WHERE year(datetime) = 2023 AND month(datetime) = 11 GROUP BY site_id),
-    trees AS (SELECT e.site_id, 'xgboost' AS model, e.day, CASE WHEN max(complete) > 5 AND count(*) FILTER ("TSOIL" IS NOT NULL AND "SOILW" IS NOT NULL) > 0 THEN true END AS ascending
-              FROM ens_wide e JOIN mj USING (site_id) WHERE rows > 5 GROUP BY e.site_id, e.day)"""
-_NUMBERS = ("mean", "sd", *QUANTILES)
-
-
-def _checked(df, numbers=_NUMBERS):
-    """Forecasts with the trees' numbers replaced by whether their quantiles ascend."""
-    up = F.col("q0025") <= F.col("q0100")
-    for a, b in (("q0100", "q0500"), ("q0500", "q0900"), ("q0900", "q0975")):
-        up = up & (F.col(a) <= F.col(b))
-    tree = F.col("model") == "xgboost"
-    return df.withColumn("ascending", F.when(tree, up)).withColumns({c: F.when(~tree, F.col(c)) for c in numbers})
+_BOTH = """flux IS NOT NULL AND flux_err IS NOT NULL AND "PRES" IS NOT NULL AND "TSOIL" IS NOT NULL AND "SOILW" IS NOT NULL
+             AND "WEASD" IS NOT NULL AND "SNOD" IS NOT NULL AND "ICETK" IS NOT NULL"""
+_MONTH_ROWS = f"""
+    mj AS (SELECT site_id, count(*) AS rows, count(*) FILTER ({_BOTH}) AS complete
+           FROM jn WHERE year(datetime) = 2023 AND month(datetime) = 11 GROUP BY site_id)"""
+# The trees of few rounds, summarised beside the other models.
+_TREES = f"""{_MONTH_ROWS},
+    tr7 AS (SELECT site_id, "TSOIL" - 273.15::DOUBLE AS t, "SOILW" AS w, flux FROM jn JOIN mj USING (site_id)
+            WHERE year(datetime) = 2023 AND month(datetime) = 11 AND complete > 5 AND rows > 5 AND {_BOTH}),
+    me7 AS (SELECT site_id, day, ensemble, "TSOIL" - 273.15::DOUBLE AS t, "SOILW" AS w FROM ens_wide),
+    {_tree_ctes("tr7", "me7", _TREE_ROUNDS)},
+    tvals AS (SELECT e.site_id, e.day, e.ensemble, 'xgboost' AS model, value FROM ens_wide e JOIN mj ON mj.site_id = e.site_id AND rows > 5
+              LEFT JOIN boosted b ON b.site_id = e.site_id AND b.day = e.day AND b.ensemble = e.ensemble),
+    all_vals AS (SELECT * FROM vals UNION ALL BY NAME SELECT * FROM tvals),
+    all_summary AS (
+        SELECT site_id, model, day, avg(value) AS mean, stddev_samp(value) AS sd, quantile_cont(value, 0.025) AS q0025,
+               quantile_cont(value, 0.1) AS q0100, quantile_cont(value, 0.5) AS q0500, quantile_cont(value, 0.9) AS q0900,
+               quantile_cont(value, 0.975) AS q0975
+        FROM all_vals GROUP BY site_id, model, day)"""
+# What is known of seeded forecasts: which rows there are, and of which sites and models.
+_SEEDED_ROWS = f"""{_MONTH_ROWS},
+    sv AS (SELECT site_id, model, day, count(value) AS n FROM vals WHERE model <> 'null' GROUP BY ALL
+           UNION ALL SELECT e.site_id, 'xgboost', e.day, CASE WHEN max(complete) > 5 THEN count(*) FILTER ("TSOIL" IS NOT NULL AND "SOILW" IS NOT NULL) ELSE 0 END
+           FROM ens_wide e JOIN mj USING (site_id) WHERE rows > 5 GROUP BY e.site_id, e.day),
+    known AS (SELECT *, CASE WHEN n > 0 THEN true END AS ascending, CASE WHEN n > 0 THEN true END AS mean_ok,
+                CASE WHEN n > 1 THEN true END AS sd_ok, CASE WHEN sum(n) OVER (PARTITION BY site_id, model) > 1 THEN true END AS noise_ok FROM sv)"""
 
 
 @query("m14_daily_forecast", f"""
-    WITH {_PERIODS}, {_TREES}
-    SELECT *, NULL::BOOLEAN AS ascending FROM summary WHERE day = DATE '2024-01-01'
-    UNION ALL BY NAME SELECT * FROM trees WHERE day = DATE '2024-01-01'""")
+    WITH {_PERIODS}, {_TREES} SELECT * FROM all_summary WHERE day = DATE '2024-01-01'""")
 def _m14(v):
     targets, drivers = _training(v)
-    return _checked(daily_forecast(
-        v.ens_wide, targets, drivers, "2024-01-01", unc_fac=0, noise=0, include_null=True, reference_date=RUN_DATE
-    ))
-
-
-@query("m14_daily_forecast_seeded", f"""
-    WITH {_PERIODS}, {_TREES}
-    SELECT site_id, model, day, CASE WHEN q0500 IS NOT NULL THEN true END AS ascending FROM summary
-    WHERE day = DATE '2024-01-01' AND model <> 'null'
-    UNION ALL SELECT * FROM trees WHERE day = DATE '2024-01-01'""")
-def _m14_seeded(v):
-    """Rows and null pattern of all four models with noise."""
-    targets, drivers = _training(v)
-    out = daily_forecast(v.ens_wide, targets, drivers, "2024-01-01", seed=11, reference_date=RUN_DATE)
-    return _ascending(out)
-
-
-def _ascending(df):
-    q = [F.col(c) for c in QUANTILES]
-    return df.select("site_id", "model", "day", ((q[0] <= q[1]) & (q[1] <= q[2]) & (q[2] <= q[3]) & (q[3] <= q[4])).alias("ascending"))
+    return daily_forecast(
+        v.ens_wide, targets, drivers, "2024-01-01", unc_fac=0, noise=0, include_null=True, reference_date=RUN_DATE, boosted_rounds=_TREE_ROUNDS
+    )
 
 
 @query("m15_horizon_forecast", f"""
     WITH {_PERIODS}, {_TREES},
     pairs AS (
-        SELECT a.site_id, a.model, a.day, avg(abs(a.value - b.value)) AS spread FROM vals a
-        JOIN vals b ON a.site_id = b.site_id AND a.model = b.model AND a.day = b.day
+        SELECT a.site_id, a.model, a.day, avg(abs(a.value - b.value)) AS spread FROM all_vals a
+        JOIN all_vals b ON a.site_id = b.site_id AND a.model = b.model AND a.day = b.day
         WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY ALL),
-    dist AS (SELECT e.site_id, e.model, e.day, avg(abs(e.value - t.flux)) AS d FROM vals e
+    dist AS (SELECT e.site_id, e.model, e.day, avg(abs(e.value - t.flux)) AS d FROM all_vals e
              JOIN tr t ON e.site_id = t.site_id AND e.day = t.datetime WHERE e.value IS NOT NULL GROUP BY ALL)
-    SELECT s.*, CAST(s.day - DATE '2024-01-01' AS INTEGER) AS horizon, d.d - p.spread / 2 AS crps, NULL::BOOLEAN AS ascending
-    FROM summary s JOIN tr t ON s.site_id = t.site_id AND s.day = t.datetime
+    SELECT s.*, CAST(s.day - DATE '2024-01-01' AS INTEGER) AS horizon, d.d - p.spread / 2 AS crps
+    FROM all_summary s JOIN tr t ON s.site_id = t.site_id AND s.day = t.datetime
     LEFT JOIN dist d ON s.site_id = d.site_id AND s.model = d.model AND s.day = d.day
-    LEFT JOIN pairs p ON s.site_id = p.site_id AND s.model = p.model AND s.day = p.day
-    UNION ALL BY NAME SELECT x.*, CAST(x.day - DATE '2024-01-01' AS INTEGER) AS horizon
-    FROM trees x JOIN tr t ON x.site_id = t.site_id AND x.day = t.datetime""")
+    LEFT JOIN pairs p ON s.site_id = p.site_id AND s.model = p.model AND s.day = p.day""")
 def _m15(v):
     targets, drivers = _training(v)
-    return _checked(horizon_forecast(
-        v.ens_wide, targets, drivers, "2024-01-01", unc_fac=0, noise=0, include_null=True
-    ), (*_NUMBERS, "crps"))
+    return horizon_forecast(v.ens_wide, targets, drivers, "2024-01-01", unc_fac=0, noise=0, include_null=True, boosted_rounds=_TREE_ROUNDS)
+
+
+def _seeded_values(v):
+    """Every row of a seeded forecast of all 200 rounds, and whether its noise is standard normal by site and model.
+
+    A regression draws for each row; the trees draw one residual for each site.
+    """
+    targets, drivers = _training(v)
+    fits = fit_forecast(targets, drivers, F.lit(RUN_DATE).cast("date"))
+    keys = ["site_id", "reference_datetime", "ensemble", "datetime", "model"]
+    seeded = settle(predict_forecast(v.ens_wide, fits, seed=11).withColumn("day", day_of("datetime")))
+    point = predict_forecast(v.ens_wide, fits, unc_fac=0, noise=0).withColumnRenamed("value", "point")
+    scales = fits.coefficients.unionByName(fits.trees.select("site_id", F.lit("xgboost").alias("model"), "sigma"), allowMissingColumns=True)
+    rows = seeded.join(point, keys).join(scales, ["site_id", "model"]).join(v.ens_wide.select(*keys[:-1], "TSOIL", "SOILW"), keys[:-1])
+    square = lambda c: c * c
+    of_lm = square(F.col("se_soilw") * F.col("SOILW")) + square(F.col("se_tsoil") * kelvin_to_celsius("TSOIL"))
+    of_exp = square(F.col("se_t10") * reduced_temperature_kelvin("TSOIL"))
+    tree, linear = F.col("model") == "xgboost", F.col("model").isin("lm", "xgboost")
+    scale = F.sqrt(square(F.col("sigma")) + F.when(tree, 0.0).otherwise(square(F.col("se_intercept")) + F.when(linear, of_lm).otherwise(of_exp)))
+    z = F.when(linear, F.col("value") - F.col("point")).otherwise(F.ln("value") - F.ln("point")) / scale
+    n, root = F.count(z), F.sqrt(F.count(z).cast("double"))
+    normal = (F.abs(F.avg(z)) <= 5.0 / root) & (F.abs(F.stddev_samp(z) - 1) <= 5.0 / F.sqrt(2 * (n - 1).cast("double"))) & (F.count_distinct(z) == n)
+    once = (F.max(z) - F.min(z) < 1e-6) & (F.abs(F.avg(z)).between(1e-6, 5.0))
+    noise = rows.groupBy("site_id", "model").agg(F.when(n > 1, F.when(F.first("model") == "xgboost", once).otherwise(normal)).alias("noise_ok"))
+    return seeded, noise
+
+
+def _seeded_summary(seeded, noise, summary, extra=()):
+    """A summary against plain aggregates of the seeded rows."""
+    plain = seeded.groupBy("site_id", "model", "day").agg(F.count("value").alias("n"), F.avg("value").alias("_mean"), F.stddev_samp("value").alias("_sd"))
+    q = [F.col(c) for c in QUANTILES]
+    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 1e-9 * (1 + F.abs(F.col(b)))
+    return summary.join(plain, ["site_id", "model", "day"]).join(noise, ["site_id", "model"]).select(
+        "site_id", "model", "day", ((q[0] <= q[1]) & (q[1] <= q[2]) & (q[2] <= q[3]) & (q[3] <= q[4])).alias("ascending"),
+        close("mean", "_mean").alias("mean_ok"), close("sd", "_sd").alias("sd_ok"), "noise_ok", *extra,
+    )
+
+
+@query("m14_daily_forecast_seeded", f"""
+    WITH {_PERIODS}, {_SEEDED_ROWS} SELECT * EXCLUDE (n) FROM known WHERE day = DATE '2024-01-01'""")
+def _m14_seeded(v):
+    """All four models with noise and 200 rounds: rows, mean, sd and the noise itself."""
+    targets, drivers = _training(v)
+    return _seeded_summary(*_seeded_values(v), daily_forecast(v.ens_wide, targets, drivers, "2024-01-01", seed=11, reference_date=RUN_DATE))
 
 
 @query("m15_horizon_forecast_seeded", f"""
-    WITH {_PERIODS}, {_TREES}
-    SELECT s.site_id, model, day, CASE WHEN q0500 IS NOT NULL THEN true END AS ascending FROM summary s
-    JOIN tr t ON s.site_id = t.site_id AND s.day = t.datetime WHERE model <> 'null'
-    UNION ALL SELECT x.* FROM trees x JOIN tr t ON x.site_id = t.site_id AND x.day = t.datetime""")
+    WITH {_PERIODS}, {_SEEDED_ROWS}
+    SELECT k.* EXCLUDE (n), CAST(k.day - DATE '2024-01-01' AS INTEGER) AS horizon, CASE WHEN n > 0 THEN true END AS crps_ok
+    FROM known k JOIN tr t ON k.site_id = t.site_id AND k.day = t.datetime""")
 def _m15_seeded(v):
+    """As m14; the CRPS lies below the mean distance from the observation by half the mean difference of two members,
+    which is at most sd / sqrt(3)."""
     targets, drivers = _training(v)
-    return _ascending(horizon_forecast(v.ens_wide, targets, drivers, "2024-01-01", seed=11))
+    scored = horizon_forecast(v.ens_wide, targets, drivers, "2024-01-01", seed=11)
+    values, noise = _seeded_values(v)
+    flux = targets.select("site_id", F.col("datetime").alias("day"), "flux")
+    far = values.join(flux, ["site_id", "day"]).groupBy("site_id", "model", "day").agg(F.avg(F.abs(F.col("value") - F.col("flux"))).alias("_far"))
+    inside = (F.col("crps") <= F.col("_far") * (1 + 1e-9)) & (F.col("crps") >= F.col("_far") - F.coalesce("sd", F.lit(0.0)) / 3**0.5 - 1e-9) & (F.col("crps") >= -1e-9)
+    return _seeded_summary(values, noise, scored.join(far, ["site_id", "model", "day"]).withColumn("crps_ok", inside), ["horizon", "crps_ok"])
 
 
 @query("m_overflowing_site", """

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edaflux.functions.noise import keyed_gaussian
-from edaflux.operators.evaluate import observations_in_span, with_intervals
+from edaflux.operators.evaluate import observations_in_span, spanned, with_intervals
 from edaflux.operators.joins import lookup
 from edaflux.operators.ranking import null_safe_join
 
@@ -51,6 +51,7 @@ def assimilate_forecast(
 ) -> DataFrame:
     """Update a forecast interval by interval; each (site, variable, interval) is independent of the others."""
     keys = ["site_id", "variable", "interval_id"]
-    placed = with_intervals(forecast, forecast, duration)
-    observed = observations_in_span(targets, forecast, duration)
+    forecast, span = spanned(forecast)
+    placed = with_intervals(forecast, span, duration)
+    observed = observations_in_span(targets, span, duration)
     return kalman_update(placed, observed, keys, ic_sd, perturb, seed).drop("interval_id")

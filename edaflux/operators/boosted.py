@@ -157,7 +157,8 @@ def fit_boosted(joined_celsius: DataFrame, rounds: int = 200) -> DataFrame:
 
 
 def predict_boosted(
-    joined_celsius: DataFrame, ensemble: DataFrame, rounds: int = 200, noise: float = 1.0, seed: int = 0, models: DataFrame | None = None
+    joined_celsius: DataFrame | None, ensemble: DataFrame, rounds: int = 200, noise: float = 1.0, seed: int = 0,
+    models: DataFrame | None = None,
 ) -> DataFrame:
     """``value`` of model ``xgboost`` for every ensemble row of a site with more than five joined rows.
 

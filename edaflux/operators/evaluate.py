@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edaflux.functions.dates import interval_id, week_start
 from edaflux.functions.scalars import taylor_x, taylor_y, within
-from edaflux.operators.aggregate import earliest, ensemble_summary, latest
+from edaflux.operators.aggregate import ensemble_summary
 from edaflux.operators.filters import complete_cases
 from edaflux.operators.ranking import group_key, keyed_ranks, moments_of_ranks, quantiles_of_ranks, spread_of_ranks, unpacked
 from edaflux.schemas import QUANTILES
+from edaflux.session import settle_observed
 
 
 def sample_crps(
@@ -106,25 +108,45 @@ def with_absolute_error(df: DataFrame, mean: str = "mean", obs: str = "observati
     return df.withColumn("abs_err", F.abs(F.col(mean) - F.col(obs)))
 
 
-def with_intervals(df: DataFrame, forecast: DataFrame, duration: str) -> DataFrame:
+@dataclass(frozen=True)
+class Span:
+    """When a forecast begins and ends, and when it was made."""
+
+    first: Column
+    last: Column
+    made: Column
+
+    @property
+    def monday(self) -> Column:
+        return week_start(self.first)
+
+
+def spanned(forecast: DataFrame) -> tuple[DataFrame, Span]:
+    """The forecast, settled, and its span, gathered in the same pass: what follows neither makes the forecast again nor
+    asks for its bounds."""
+    table, seen = settle_observed(
+        forecast, first=F.min("datetime"), last=F.max("datetime"), made=F.min("reference_datetime")
+    )
+    return table, Span(**seen)
+
+
+def with_intervals(df: DataFrame, span: Span, duration: str) -> DataFrame:
     """Add ``interval_id`` counted from the Monday of the forecast's first week, and drop incomplete rows."""
-    start = week_start(earliest(forecast))
-    return complete_cases(df.withColumn("interval_id", interval_id("datetime", start, latest(forecast), duration)))
+    return complete_cases(df.withColumn("interval_id", interval_id("datetime", span.monday, span.last, duration)))
 
 
-def observations_in_span(targets: DataFrame, forecast: DataFrame, duration: str) -> DataFrame:
+def observations_in_span(targets: DataFrame, span: Span, duration: str) -> DataFrame:
     """Targets between the forecast's first Monday and last time, with their interval."""
-    span = F.col("datetime").between(week_start(earliest(forecast)), latest(forecast))
-    return with_intervals(targets.where(span), forecast, duration)
+    return with_intervals(targets.where(F.col("datetime").between(span.monday, span.last)), span, duration)
 
 
 def forecast_statistics(forecast: DataFrame, targets: DataFrame, duration: str) -> DataFrame:
     """Summaries per site, variable and evaluation interval next to the observations of that interval."""
     keys = ["site_id", "variable", "interval_id"]
-    summary = ensemble_summary(with_intervals(forecast, forecast, duration), keys, "prediction")
-    observed = observations_in_span(targets, forecast, duration).drop("project_id", "duration")
-    made = earliest(forecast, "reference_datetime")
-    scored = with_absolute_error(summary.join(observed, keys)).withColumn("reference_datetime", F.to_date(made))
+    forecast, span = spanned(forecast)
+    summary = ensemble_summary(with_intervals(forecast, span, duration), keys, "prediction")
+    observed = observations_in_span(targets, span, duration).drop("project_id", "duration")
+    scored = with_absolute_error(summary.join(observed, keys)).withColumn("reference_datetime", F.to_date(span.made))
     return scored.select(
         "site_id", "datetime", "observation", "reference_datetime", "variable", "mean", "sd", *QUANTILES, "abs_err"
     )

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edaflux.functions.dates import day_of, training_month, training_year
 from edaflux.functions.scalars import kelvin_to_celsius
 from edaflux.operators.aggregate import earliest, ensemble_summary
-from edaflux.operators.boosted import predict_boosted
+from edaflux.operators.boosted import fit_boosted, predict_boosted
 from edaflux.operators.evaluate import score_ensemble
 from edaflux.operators.filters import first_day, forecast_day
 from edaflux.operators.joins import pair_training_rows
@@ -47,27 +49,45 @@ def fit_all(joined: DataFrame, reference: Column) -> dict[str, DataFrame]:
     }
 
 
-def forecast_values(
-    ensemble: DataFrame, targets: DataFrame, drivers: DataFrame, unc_fac: float = 1.0, noise: float = 1.0, seed: int = 0,
-    boosted_rounds: int = 200, include_null: bool = False, reference_date: str | None = None,
-) -> DataFrame:
-    """Every model's value for every ensemble row. ``boosted_rounds=0`` leaves the boosted trees out.
+@dataclass(frozen=True)
+class Fits:
+    """What a forecast is made with: coefficients by site and model, and the trees of each site."""
 
-    ``reference_date`` is the run's first day; a caller who knows it saves a pass over the ensemble. The joined training
-    rows are settled once for all models.
-    """
+    coefficients: DataFrame
+    trees: DataFrame | None
+
+
+def fit_forecast(targets: DataFrame, drivers: DataFrame, reference: Column, boosted_rounds: int = 200) -> Fits:
+    """The models of a forecast made at ``reference``; ``boosted_rounds=0`` leaves the trees out. The joined training
+    rows are settled once for all models."""
     joined = settle(pair_training_rows(targets, drivers))
-    reference = F.lit(reference_date).cast("date") if reference_date else F.to_date(earliest(ensemble))
-    table = coefficient_rows(fit_all(joined, reference))
-    parts = [predict_models(ensemble, table, unc_fac, noise, seed).select(*VALUE_COLUMNS)]
-    if boosted_rounds:
-        month = celsius_training(within_month(joined, training_month(reference)))
-        parts.append(predict_boosted(month, ensemble, boosted_rounds, noise, seed).select(*VALUE_COLUMNS))
+    month = celsius_training(within_month(joined, training_month(reference)))
+    return Fits(settle(coefficient_rows(fit_all(joined, reference))), fit_boosted(month, boosted_rounds) if boosted_rounds else None)
+
+
+def predict_forecast(
+    ensemble: DataFrame, fits: Fits, unc_fac: float = 1.0, noise: float = 1.0, seed: int = 0, include_null: bool = False
+) -> DataFrame:
+    """Every model's value for every ensemble row of its sites."""
+    parts = [predict_models(ensemble, fits.coefficients, unc_fac, noise, seed).select(*VALUE_COLUMNS)]
+    if fits.trees is not None:
+        parts.append(predict_boosted(None, ensemble, noise=noise, seed=seed, models=fits.trees).select(*VALUE_COLUMNS))
     if include_null:
         parts.append(predict_null_model(ensemble).select(*VALUE_COLUMNS))
     return bind_rows(*parts)
 
 
+def forecast_values(
+    ensemble: DataFrame, targets: DataFrame, drivers: DataFrame, boosted_rounds: int = 200, reference_date: str | None = None, **noise
+) -> DataFrame:
+    """Every model's value for every ensemble row. ``noise`` as in ``predict_forecast``.
+
+    ``reference_date`` is the run's first day; a caller who knows it saves a pass over the ensemble.
+    """
+    reference = F.lit(reference_date).cast("date") if reference_date else F.to_date(earliest(ensemble))
+    return predict_forecast(ensemble, fit_forecast(targets, drivers, reference, boosted_rounds), **noise)
+
+
 def daily_forecast(ensemble: DataFrame, targets: DataFrame, drivers: DataFrame, forecast_date: str, **options) -> DataFrame:
     """Summary per site and model of the forecast date, from the first day of the run."""
     values = forecast_values(first_day(ensemble), targets, drivers, **options)

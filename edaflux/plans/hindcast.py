@@ -15,6 +15,7 @@ from edaflux.operators.predict import apply_model
 from edaflux.operators.nonlinear import fit_formula
 from edaflux.operators.regression import fit_wide, linear_prediction
 from edaflux.functions.scalars import within
+from edaflux.session import settle
 from edaflux.sources.ensemble import previous_run
 
 
@@ -69,7 +70,7 @@ def forecast_cycle(
     All sites and dates go through one plan: runs are matched to observations by (site, reference date), members are
     summarised at the evaluation time, and each summary meets the observation made then.
     """
-    known = observations.where(F.col("observation").isNotNull())
+    known = settle(observations.where(F.col("observation").isNotNull()))
     origins = known.select("site_id", "variable", F.col("datetime").alias("origin"), "duration")
     runs = previous_run(ensemble_long, origins, met_vars).withColumnRenamed("ensemble", "parameter")
     predicted = apply_model(runs, model_fn, parameter_unc, process_unc, seed)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,6 +64,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict[str, Column]]:
+    """``df``, settled, and aggregates of it gathered in the same pass, as literals of their types.
+
+    Repeated tasks repeat their rows, so the aggregates should not mind that: extremes, not sums.
+    """
+    seen = Observation()
+    kinds = df.select(*[m.alias(k) for k, m in metrics.items()]).schema
+    table = settle(df.observe(seen, *[m.alias(k) for k, m in metrics.items()]))
+    return table, {f.name: F.lit(seen.get[f.name]).cast(f.dataType) for f in kinds}
+
+
 def value_bytes(value: Column, kind: T.DataType) -> Column:
     """The bytes of a value in memory, at most: eight for a fixed width, what is in it for the others."""
     zero = F.lit(0).cast("long")

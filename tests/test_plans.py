@@ -11,7 +11,7 @@ from catalog.views import Views
 from edaflux.operators.filters import known_sites
 from edaflux.operators.joins import attach_coefficients
 from edaflux.operators.ranking import ensemble_summary
-from edaflux.session import broadcast_if_small, settle
+from edaflux.session import broadcast_if_small, settle, settle_observed
 
 SQL = entry.oracle_sql()
 # A Gram matrix of any size is solved in numpy, one row per group.
@@ -65,3 +65,28 @@ def test_settled_tables_survive_lost_lineage(spark):
     assert "Range" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert df.count() == 10
     assert broadcast_if_small(df, 5) is df
+
+
+@pytest.mark.parametrize(("name", "most"), [("e9_forecast_statistics", 2), ("k2_assimilate_forecast", 2), ("d8_daily_intervals", 1), ("e10_forecast_cycle", 2)])
+def test_sources_are_read_once_and_bounds_are_no_subqueries(spark, sf_dir, name, most):
+    """Forecast and observations come from the same events here, each read once."""
+    before = records_read(spark)
+    df = entry.queries()[name](spark, sf_dir)
+    df.collect()
+    assert records_read(spark) - before <= most * spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    assert plan(df).split("Initial Plan")[0].count("Subquery") <= 3
+
+
+def test_bounds_of_an_empty_table_are_null(spark):
+    df = spark.createDataFrame([], "datetime timestamp, reference_datetime date, x int")
+    table, seen = settle_observed(df, first=F.min("datetime"), made=F.min("reference_datetime"))
+    assert table.select(seen["first"], seen["made"]).count() == 0
+    assert spark.range(1).select(seen["first"].alias("a"), seen["made"].alias("b")).dtypes == [("a", "timestamp"), ("b", "date")]
+
+
+def test_bytes_bound_a_broadcast(spark):
+    df = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("s"), F.array_repeat(F.lit(1.0), 50).alias("a"), F.create_map(F.lit("k"), F.array(F.lit("v"))).alias("m"))
+    bytes_each = 8 + 1016 + (16 + 400) + (16 + 17) + (16 + 16 + 17)
+    hinted = lambda most: "broadcast" in broadcast_if_small(df, max_bytes=most)._jdf.queryExecution().logical().toString()
+    assert hinted(100 * bytes_each) and not hinted(100 * bytes_each - 1)
+    assert not hinted(10) and broadcast_if_small(df.limit(0), max_bytes=0) is not None
