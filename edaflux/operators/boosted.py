@@ -93,7 +93,7 @@ def bin_starts(rows: DataFrame) -> DataFrame:
     gathered but its bins.
     """
     axes = F.posexplode(F.array(*[F.col(c) for c in COVARIATES])).alias("_axis", "_x")
-    ranks = settle(value_ranks(rows.select("site_id", axes), ["site_id", "_axis"], "_x"))
+    ranks = value_ranks(rows.select("site_id", axes), ["site_id", "_axis"], "_x")
     heavy = F.col("copies") * HEAVY >= F.col("size")
     groups = ranks.groupBy("site_id", "_axis").agg(
         F.count("*").alias("values"), F.sort_array(F.collect_list(F.when(heavy, F.struct("_x", "copies")))).alias("heavies")
@@ -128,9 +128,8 @@ def fit_boosted(joined_celsius: DataFrame, rounds: int = 200) -> DataFrame:
     for c in COVARIATES:
         complete = complete & (F.abs(F.col(c)) < float("inf"))
     rows = settle(joined_celsius.select("site_id", complete.alias("_whole"), *[F.when(complete, F.col(c)).alias(c) for c in (*COVARIATES, "flux")]))
-    sites = settle(rows.groupBy("site_id").agg(F.count(F.lit(1)).alias("_n"), F.count_if("_whole").alias("_complete")).where(F.col("_n") > MIN_ROWS))
-    enough = sites.where(F.col("_complete") > MIN_ROWS).select("site_id")
-    whole = lookup(rows.where("_whole"), enough, ["site_id"])
+    sites = rows.groupBy("site_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MIN_ROWS).select("site_id")
+    whole = rows.where("_whole").drop("_whole")
     starts = settle(bin_starts(whole))
     binned = lookup(whole, starts, ["site_id"])
     for k, c in enumerate(COVARIATES):
@@ -141,6 +140,8 @@ def fit_boosted(joined_celsius: DataFrame, rounds: int = 200) -> DataFrame:
     )
 
     def train(cell: pd.DataFrame) -> pd.DataFrame:
+        if cell["n"].sum() <= MIN_ROWS:
+            return pd.DataFrame({"site_id": [], "sigma": [], "steps": []})
         at = (cell["_bin0"].to_numpy(), cell["_bin1"].to_numpy())
         n, total, squares = (np.zeros(cell[["_bins0", "_bins1"]].iloc[0]) for _ in range(3))
         n[at], total[at], squares[at] = cell["n"], cell["total"], cell["squares"]

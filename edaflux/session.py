@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from weakref import WeakSet
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -56,12 +57,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into reliable storage, so losing executors costs no recomputation."""
+    """Compute ``df`` once into reliable storage, so losing executors costs no recomputation. A settled table is itself."""
+    if df in _settled:
+        return df
     spark = df.sparkSession
     folder = shared_folder(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    table = df.checkpoint(eager=True)
+    _settled.add(table)
+    return table
+
+
+_settled: WeakSet[DataFrame] = WeakSet()
 
 
 def settle_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict[str, Column]]:
