@@ -35,18 +35,24 @@ def _joined(v):
     return pair_training_rows(v.targets_day, v.drivers_day)
 
 
+# Two covariates; constant ones, and a second one collinear with the first, are aliased.
 _PLANE = """
-    SELECT {g}, n, my - b1 * m1 - b2 * m2 AS intercept, b1, b2,
-           sqrt(s2 * (1.0 / n + (m1 * m1 * s22 - 2 * m1 * m2 * s12 + m2 * m2 * s11) / d)) AS se0,
-           sqrt(s2 * s22 / d) AS se1, sqrt(s2 * s11 / d) AS se2, sqrt(ssr / (n - 1)) AS sigma, ssr
-    FROM (SELECT *, syy - b1 * s1y - b2 * s2y AS ssr,
-                 CASE WHEN n > 3 THEN (syy - b1 * s1y - b2 * s2y) / (n - 3) END AS s2
-          FROM (SELECT *, (s22 * s1y - s12 * s2y) / d AS b1, (s11 * s2y - s12 * s1y) / d AS b2
-                FROM (SELECT *, NULLIF(s11 * s22 - s12 * s12, 0) AS d
-                      FROM (SELECT {g}, count(*) AS n, avg({x1}) AS m1, avg({x2}) AS m2, avg({y}) AS my,
-                                   regr_sxx({y}, {x1}) AS s11, regr_sxx({y}, {x2}) AS s22, regr_syy({y}, {x1}) AS syy,
-                                   regr_sxy({y}, {x1}) AS s1y, regr_sxy({y}, {x2}) AS s2y, regr_sxy({x1}, {x2}) AS s12
-                            FROM {t} GROUP BY {g}))))"""
+    SELECT {g}, n, my - coalesce(b1, 0) * m1 - coalesce(b2, 0) * m2 AS intercept, b1, b2, sqrt(s2 * (1.0 / n + CASE
+             WHEN d IS NOT NULL THEN (m1 * m1 * s22 - 2 * m1 * m2 * s12 + m2 * m2 * s11) / d
+             WHEN b1 IS NOT NULL THEN m1 * m1 / s11 WHEN b2 IS NOT NULL THEN m2 * m2 / s22 ELSE 0 END)) AS se0,
+           sqrt(CASE WHEN d IS NOT NULL THEN s2 * s22 / d WHEN b1 IS NOT NULL THEN s2 / s11 END) AS se1,
+           sqrt(CASE WHEN d IS NOT NULL THEN s2 * s11 / d WHEN b2 IS NOT NULL THEN s2 / s22 END) AS se2,
+           CASE WHEN n > 1 THEN sqrt(ssr / (n - 1)) END AS sigma, ssr
+    FROM (SELECT *, CASE WHEN n > rank THEN ssr / (n - rank) END AS s2
+    FROM (SELECT *, greatest(syy - coalesce(b1, 0) * s1y - coalesce(b2, 0) * s2y, 0) AS ssr, 1 + (b1 IS NOT NULL)::INTEGER + (b2 IS NOT NULL)::INTEGER AS rank
+    FROM (SELECT *, CASE WHEN d IS NOT NULL THEN (s22 * s1y - s12 * s2y) / d WHEN v1 THEN s1y / s11 END AS b1,
+                 CASE WHEN d IS NOT NULL THEN (s11 * s2y - s12 * s1y) / d WHEN NOT v1 AND v2 THEN s2y / s22 END AS b2
+    FROM (SELECT *, CASE WHEN v1 AND v2 AND n > 2 AND s11 * s22 - s12 * s12 > 1e-12 * s11 * s22 THEN s11 * s22 - s12 * s12 END AS d
+    FROM (SELECT *, n > 1 AND s11 > 1e-14 * (s11 + n * m1 * m1) AS v1, n > 1 AND s22 > 1e-14 * (s22 + n * m2 * m2) AS v2
+    FROM (SELECT {g}, count(*) AS n, avg({x1}) AS m1, avg({x2}) AS m2, avg({y}) AS my,
+                 regr_sxx({y}, {x1}) AS s11, regr_sxx({y}, {x2}) AS s22, regr_syy({y}, {x1}) AS syy,
+                 regr_sxy({y}, {x1}) AS s1y, regr_sxy({y}, {x2}) AS s2y, regr_sxy({x2}, {x1}) AS s12
+          FROM {t} GROUP BY {g}))))))"""
 
 _LINE = """
     SELECT {g}, n, my - b * mx AS intercept, b AS slope, sqrt(s2 * (1.0 / n + mx * mx / sxx)) AS se_intercept,
@@ -80,7 +86,7 @@ def _m1(v):
     SELECT l_suppkey, n, intercept, b1 AS slope1, b2 AS slope2, se0 AS se_intercept, se1 AS se_slope1, se2 AS se_slope2, sigma
     FROM ({_PLANE.format(g="l_suppkey", x1="x1", x2="x2", y="y", t="reg_big")})""")
 def _m1_large(v):
-    return G.fit_plane(v.reg_big, ["l_suppkey"], "y", "x1", "x2").drop("ssr", "syy")
+    return G.fit_plane(v.reg_big, ["l_suppkey"], "y", "x1", "x2").drop("ssr", "syy", "rank")
 
 
 @query("m2_exponential", f"""

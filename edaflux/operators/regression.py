@@ -18,8 +18,11 @@ from edaflux.functions.pvalues import f_one_upper, t_two_sided
 from edaflux.functions.scalars import log_flux, reduced_temperature, reduced_temperature_kelvin
 from edaflux.operators.filters import complete_cases, usable_log_rows
 
-# Covariates whose normalised cross-product leaves less than this of their variance are treated as collinear.
+# A covariate whose spread is less than this part of its squares is constant.
 RANK_TOLERANCE = 1e-14
+# A covariate is aliased, and its term null, if those before it leave less than this part of its spread. Sums of products
+# hold half the digits of the data, and the rounding of large groups lies below this bound.
+ALIAS_TOLERANCE = 1e-12
 
 
 def _centred(n: Column, a: str, b: str) -> Column:
@@ -65,7 +68,11 @@ def fit_line(
 
 
 def fit_plane(df: DataFrame, keys: Sequence[str], y: str, x1: str, x2: str, more_than: int = 0) -> DataFrame:
-    """y on two covariates, per group; columns as ``fit_line`` with slope1, slope2 and their errors."""
+    """y on two covariates, per group; columns as ``fit_line`` with slope1, slope2 and their errors.
+
+    A constant covariate, and a second one collinear with the first, are aliased: their terms are null and the others are
+    those of the fit without them. ``rank`` counts the terms that are left.
+    """
     n = F.count(F.lit(1))
     m = df.groupBy(*keys).agg(
         n.alias("n"), F.avg(x1).alias("_m1"), F.avg(x2).alias("_m2"), F.avg(y).alias("_my"),
@@ -73,32 +80,39 @@ def fit_plane(df: DataFrame, keys: Sequence[str], y: str, x1: str, x2: str, more
         _centred(n, x1, y).alias("_s1y"), _centred(n, x2, y).alias("_s2y"), _centred(n, y, y).alias("syy"),
     ).where(F.col("n") > more_than)
     c = F.col
+    floor = F.lit(RANK_TOLERANCE)
+
+    def varies(k: int) -> Column:
+        return c(f"_s{k}{k}") > floor * (c(f"_s{k}{k}") + c("n") * c(f"_m{k}") * c(f"_m{k}"))
+
     det = c("_s11") * c("_s22") - c("_s12") * c("_s12")
-    m = m.withColumn("_det", F.when(det > F.lit(RANK_TOLERANCE) * c("_s11") * c("_s22"), det))
-    m = m.withColumns({
-        "slope1": (c("_s22") * c("_s1y") - c("_s12") * c("_s2y")) / c("_det"),
-        "slope2": (c("_s11") * c("_s2y") - c("_s12") * c("_s1y")) / c("_det"),
-    })
-    residual = c("syy") - c("slope1") * c("_s1y") - c("slope2") * c("_s2y")
-    m = m.withColumn("ssr", F.when(residual.isNotNull(), F.greatest(residual, F.lit(0.0))))
-    s2 = F.when(c("n") > 3, c("ssr") / (c("n") - 3))
-    spread = (
-        c("_m1") * c("_m1") * c("_s22") - F.lit(2.0) * c("_m1") * c("_m2") * c("_s12") + c("_m2") * c("_m2") * c("_s11")
-    ) / c("_det")
+    both = varies(1) & varies(2) & (c("n") > 2) & (det > F.lit(ALIAS_TOLERANCE) * c("_s11") * c("_s22"))
+    one = varies(1) & (c("n") > 1)
+    m = m.withColumns({"_det": F.when(both, det), "_one": one, "_two": F.when(one, both).otherwise(varies(2) & (c("n") > 1))})
+    two = c("_det").isNotNull()
+    slope1 = F.when(two, (c("_s22") * c("_s1y") - c("_s12") * c("_s2y")) / c("_det")).when(c("_one"), c("_s1y") / c("_s11"))
+    slope2 = F.when(two, (c("_s11") * c("_s2y") - c("_s12") * c("_s1y")) / c("_det")).when(c("_two"), c("_s2y") / c("_s22"))
+    m = m.withColumns({"slope1": slope1, "slope2": slope2, "rank": 1 + c("_one").cast("int") + c("_two").cast("int")})
+    part1, part2 = (F.coalesce(c(f"slope{k}"), F.lit(0.0)) for k in (1, 2))
+    m = m.withColumn("ssr", F.greatest(c("syy") - part1 * c("_s1y") - part2 * c("_s2y"), F.lit(0.0)))
+    s2 = F.when(c("n") > c("rank"), c("ssr") / (c("n") - c("rank")))
+    spread = F.when(
+        two, (c("_m1") * c("_m1") * c("_s22") - F.lit(2.0) * c("_m1") * c("_m2") * c("_s12") + c("_m2") * c("_m2") * c("_s11")) / c("_det")
+    ).when(c("_one"), c("_m1") * c("_m1") / c("_s11")).when(c("_two"), c("_m2") * c("_m2") / c("_s22")).otherwise(0.0)
     return m.select(
         *keys, "n",
-        (c("_my") - c("slope1") * c("_m1") - c("slope2") * c("_m2")).alias("intercept"), "slope1", "slope2",
+        (c("_my") - part1 * c("_m1") - part2 * c("_m2")).alias("intercept"), "slope1", "slope2",
         F.sqrt(s2 * (F.lit(1.0) / c("n") + spread)).alias("se_intercept"),
-        F.sqrt(s2 * c("_s22") / c("_det")).alias("se_slope1"),
-        F.sqrt(s2 * c("_s11") / c("_det")).alias("se_slope2"),
+        F.sqrt(F.when(two, s2 * c("_s22") / c("_det")).when(c("_one"), s2 / c("_s11"))).alias("se_slope1"),
+        F.sqrt(F.when(two, s2 * c("_s11") / c("_det")).when(c("_two"), s2 / c("_s22"))).alias("se_slope2"),
         F.when(c("n") > 1, F.sqrt(F.try_divide(c("ssr"), (c("n") - 1).cast("double")))).alias("sigma"),
-        "ssr", "syy",
+        "ssr", "syy", "rank",
     )
 
 
 def fit_soil_linear(joined_celsius: DataFrame) -> DataFrame:
     """``lm``: flux on SOILW and TSOIL (Celsius) by site, over rows complete in every joined column."""
-    fit = fit_plane(complete_cases(joined_celsius), ["site_id"], "flux", "SOILW", "TSOIL")
+    fit = fit_plane(complete_cases(joined_celsius), ["site_id"], "flux", "SOILW", "TSOIL").drop("rank")
     return fit.withColumnsRenamed(
         {"slope1": "b_soilw", "slope2": "b_tsoil", "se_slope1": "se_soilw", "se_slope2": "se_tsoil"}
     )
@@ -165,7 +179,8 @@ def fit_many(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> D
     """y on any number of covariates: tidy rows term, estimate, std_error, plus n, sigma and ssr.
 
     One aggregate per group collects the Gram matrix of centred columns; the small solves then run in batches, many
-    groups at a time. Collinear or short groups give nulls.
+    groups at a time. A covariate that is constant, or collinear with those before it, is aliased: its term is null and
+    the others are those of the fit without it.
     """
     keys, cols = list(keys), [*xs, y]
     n = F.count(F.lit(1))
@@ -200,33 +215,44 @@ def fit_many(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> D
 
 
 def _solve_grams(gram: np.ndarray, means: np.ndarray, n: np.ndarray, pairs: list, k: int) -> tuple[list, list, list, list]:
-    """Coefficients and errors of many groups from their centred Gram matrices, solved as one stack; nulls as None."""
+    """Coefficients and errors of many groups from their centred Gram matrices, swept as one stack; nulls as None.
+
+    Covariates are swept in order. One that those before it leave nothing of is passed over, in its own groups only.
+    """
     s = np.zeros((len(n), k + 1, k + 1))
     for column, (i, j) in enumerate(pairs):
         s[:, i, j] = s[:, j, i] = gram[:, column]
-    sxx, sxy, syy, mx, my = s[:, :k, :k], s[:, :k, k], s[:, k, k], means[:, :k], means[:, k]
-    spread = np.diagonal(sxx, axis1=1, axis2=2)
-    good = (n >= 2) & (spread > RANK_TOLERANCE * (spread + n[:, None] * mx**2)).all(1)
-    scale = np.sqrt(np.where(good[:, None], spread, 1.0))
-    both = scale[:, :, None] * scale[:, None, :]
-    normal = np.where(good[:, None, None], sxx / both, np.eye(k))
-    good &= np.linalg.det(normal) > RANK_TOLERANCE
-    inverse = np.linalg.inv(np.where(good[:, None, None], normal, np.eye(k))) / both
-    b = np.einsum("gij,gj->gi", inverse, sxy)
-    ssr = np.maximum(syy - np.einsum("gi,gi->g", b, sxy), 0.0)
-    est = np.column_stack([my - np.einsum("gi,gi->g", b, mx), b])
-    sigma = np.sqrt(ssr / np.maximum(n - 1, 1))
-    rest = n > k + 1
-    s2 = ssr / np.where(rest, n - k - 1, 1.0)
+    my, mx = means[:, k], means[:, :k]
+    spread = np.diagonal(s, axis1=1, axis2=2).copy()
+    varies = spread[:, :k] > RANK_TOLERANCE * (spread[:, :k] + n[:, None] * mx**2)
+    scale = np.sqrt(np.where(spread > 0, spread, 1.0))
+    s /= scale[:, :, None] * scale[:, None, :]
+    used = np.zeros((len(n), k), bool)
+    for j in range(k):
+        used[:, j] = take = varies[:, j] & (s[:, j, j] > ALIAS_TOLERANCE) & (used.sum(1) + 1 < n)
+        pivot = np.where(take, s[:, j, j], 1.0)
+        column = s[:, :, j].copy()
+        swept = s - column[:, :, None] * column[:, None, :] / pivot[:, None, None]
+        swept[:, :, j] = swept[:, j, :] = column / pivot[:, None]
+        swept[:, j, j] = -1.0 / pivot
+        s[take] = swept[take]
+    s *= np.where(np.eye(k + 1, dtype=bool)[k], scale[:, k, None], 1 / scale)[:, :, None]
+    s *= np.where(np.eye(k + 1, dtype=bool)[k], scale[:, k, None], 1 / scale)[:, None, :]
+    inverse = np.where(used[:, :, None] & used[:, None, :], -s[:, :k, :k], 0.0)
+    b = np.where(used, s[:, :k, k], 0.0)
+    ssr = np.maximum(s[:, k, k], 0.0)
+    left = n - used.sum(1) - 1
+    s2 = np.where(left > 0, ssr / np.maximum(left, 1), np.nan)
     first = 1.0 / np.maximum(n, 1) + np.einsum("gi,gij,gj->g", mx, inverse, mx)
     se = np.sqrt(s2[:, None] * np.column_stack([first, np.diagonal(inverse, axis1=1, axis2=2)]))
-    nothing = [None] * (k + 1)
-    return (
-        [e if ok else nothing for e, ok in zip(est.tolist(), good, strict=True)],
-        [e if ok and r else nothing for e, ok, r in zip(se.tolist(), good, rest, strict=True)],
-        [v if ok else None for v, ok in zip(sigma.tolist(), good, strict=True)],
-        [v if ok else None for v, ok in zip(ssr.tolist(), good, strict=True)],
-    )
+    est = np.column_stack([my - np.einsum("gi,gi->g", b, mx), b])
+    known = np.column_stack([np.ones(len(n), bool), used])
+
+    def listed(values: np.ndarray, given: np.ndarray) -> list:
+        return [[v if ok else None for v, ok in zip(row, g, strict=True)] for row, g in zip(values.tolist(), given.tolist(), strict=True)]
+
+    sigma = np.sqrt(ssr / np.maximum(n - 1, 1))
+    return listed(est, known), listed(se, known & (left > 0)[:, None]), [v if m > 1 else None for v, m in zip(sigma.tolist(), n, strict=True)], ssr.tolist()
 
 
 def fit_wide(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], more_than: int = 0) -> DataFrame:
@@ -237,8 +263,8 @@ def fit_wide(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], more
 
 
 def linear_prediction(xs: Sequence[str]) -> Column:
-    """The fitted surface over the columns of ``fit_wide``."""
+    """The fitted surface over the columns of ``fit_wide``; an aliased term adds nothing."""
     value = F.col("intercept")
     for x in xs:
-        value = value + F.col(f"b_{x}") * F.col(x)
+        value = value + F.coalesce(f"b_{x}", F.lit(0.0)) * F.col(x)
     return value
