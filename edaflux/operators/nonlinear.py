@@ -12,10 +12,11 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from edaflux.functions.slopes import NoSlope, slopes
 from edaflux.session import broadcast_if_small, settle
 
 STEP_HALVINGS = 10
@@ -87,16 +88,24 @@ def _finite(expression: str):
     return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
 
 
+def _slopes(spark: SparkSession, formula: str, names: Sequence[str]) -> dict[str, Column]:
+    """Columns with the slope of each parameter: by the chain rule, or by differences where it has no rule for the formula."""
+    try:
+        return {p: _finite(d) for p, d in slopes(spark, formula, names).items()}
+    except NoSlope:
+        out = {}
+        for p in names:
+            h = f"(greatest(abs({p}), 1D) * {RELATIVE_STEP!r}D)"
+            up, down = (_finite(_substituted(formula, names, {p: f"({p} {sign} {h})"})) for sign in "+-")
+            out[p] = (up - down) / F.expr(f"2D * {h}")
+        return out
+
+
 def _steps(data, params, keys, response, formula, names) -> DataFrame:
     """Each group's Gauss-Newton step from J'J and J'r, its squared error, and how much of that the step explains."""
     joined = data.join(broadcast_if_small(params), keys)
-    joined = joined.withColumns({f"_h_{p}": F.greatest(F.abs(F.col(p)), F.lit(1.0)) * RELATIVE_STEP for p in names})
-    slopes = {}
-    for p in names:
-        up = _finite(_substituted(formula, names, {p: f"({p} + _h_{p})"}))
-        down = _finite(_substituted(formula, names, {p: f"({p} - _h_{p})"}))
-        slopes[f"_j_{p}"] = (up - down) / (F.lit(2.0) * F.col(f"_h_{p}"))
-    rows = joined.withColumns({"_r": F.col(response) - _finite(formula), **slopes})
+    found = {f"_j_{p}": d for p, d in _slopes(data.sparkSession, formula, names).items()}
+    rows = joined.withColumns({"_r": F.col(response) - _finite(formula), **found})
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     # A row without a finite value or slope makes the group's sums null: its fit is undefined.
     whole = F.count(F.lit(1)) == F.count(F.col("_r") + sum((F.col(f"_j_{p}") for p in names), F.lit(0.0)))
@@ -107,21 +116,13 @@ def _steps(data, params, keys, response, formula, names) -> DataFrame:
         F.sum(F.col(response) * F.col(response)).alias("_yy"),
     )
     k, columns = len(names), [*[f"_d_{p}" for p in names], "_gain"]
-    index = [(i, j) for i in range(k) for j in range(i, k)]
 
     def solve(batches):
         for pdf in batches:
             steps = np.full((len(pdf), k + 1), np.nan)
-            for row, (jj, jr) in enumerate(zip(pdf["jj"], pdf["jr"], strict=True)):
-                if jj is None:
-                    continue
-                a = np.empty((k, k))
-                for v, (i, j) in zip(jj, index, strict=True):
-                    a[i, j] = a[j, i] = v
-                scale = np.sqrt(np.diag(a))
-                if np.all(scale > 0) and np.linalg.det(a / np.outer(scale, scale)) > 1e-14:
-                    step = np.linalg.solve(a / np.outer(scale, scale), np.asarray(jr) / scale) / scale
-                    steps[row] = [*step, max(float(step @ np.asarray(jr)), 0.0)]
+            known = pdf["jj"].notna().to_numpy()
+            if known.any():
+                steps[known] = stacked_steps(np.array(pdf["jj"][known].tolist(), float), np.array(pdf["jr"][known].tolist(), float))
             out = pdf[[*keys, "_ssr0", "_yy"]].copy()
             for i, name in enumerate(columns):
                 out[name] = pd.Series(steps[:, i], index=pdf.index).astype("object").where(~np.isnan(steps[:, i]), None)
@@ -134,6 +135,23 @@ def _steps(data, params, keys, response, formula, names) -> DataFrame:
     return settle(params.join(sums.mapInPandas(solve, schema), keys))
 
 
+def stacked_steps(jj: np.ndarray, jr: np.ndarray) -> np.ndarray:
+    """Steps of a stack of normal equations, given as upper triangles, and what each explains of the squared error; not a
+    number where a system is singular."""
+    k = jr.shape[1]
+    a = np.zeros((len(jr), k, k))
+    upper = np.triu_indices(k)
+    a[:, upper[0], upper[1]] = jj
+    a[:, upper[1], upper[0]] = jj
+    scale = np.sqrt(np.diagonal(a, axis1=1, axis2=2))
+    good = (scale > 0).all(1) & np.isfinite(a).all((1, 2)) & np.isfinite(jr).all(1)
+    scale = np.where(good[:, None], scale, 1.0)
+    system = np.where(good[:, None, None], a / (scale[:, :, None] * scale[:, None, :]), np.eye(k))
+    good &= np.linalg.det(system) > 1e-14
+    steps = np.linalg.solve(np.where(good[:, None, None], system, np.eye(k)), (jr / scale)[..., None])[..., 0] / scale
+    return np.where(good[:, None], np.column_stack([steps, np.maximum((steps * jr).sum(1), 0.0)]), np.nan)
+
+
 def _best_lengths(data, stepped, keys, response, formula, names) -> DataFrame:
     """The longest step of 1, 1/2, 1/4, ... that lowers each group's squared error, all tried in one pass."""
     joined = data.join(broadcast_if_small(stepped), keys)

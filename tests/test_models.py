@@ -183,6 +183,52 @@ def test_formula_recovers_an_exponential_and_reports_failures(spark):
     assert got["flat"].status == "singular" and got["flat"].a is None
 
 
+FORMULAS = [
+    "a0 + a1 * exp(-x)", "a0 * exp(a1 * x) - x / a1", "pow(x, a1) / (1 + a0 * x)", "a0 * (CASE WHEN x > 1 THEN a1 * x ELSE sqrt(a0) END)",
+    "if(x > 0.7, a0, a1 * a1)", "greatest(a0, a1 * x) + least(a0 * x, a1)", "tanh(a0 * x) - a1 / x", "-a0 * ln(abs(a1)) + log10(x + a0 * a0)",
+    "sin(a0 * x) * cos(a1) + tan(x * a1 / 9)", "atan(a0 * x) + log1p(a1 * x) - expm1(a0 / 9) + sinh(a1 / 5) - cosh(x * a0 / 5)", "a0 * 2 + 3 * x", "power(a0, a1 * x)",
+]
+
+
+@pytest.mark.parametrize("formula", FORMULAS)
+def test_slopes_of_formulas(spark, formula):
+    from edaflux.functions.slopes import slopes
+
+    df = spark.createDataFrame([(0.3, 1.7, 0.9), (1.9, 0.4, 1.3), (0.8, 2.2, 0.6)], "x double, a0 double, a1 double")
+    found = slopes(spark, formula, ["a0", "a1"])
+    for p in ("a0", "a1"):
+        up, down = (F.expr(formula.replace(p, f"({p} {sign} 1e-6D)")) for sign in "+-")
+        for r in df.select(F.expr(found[p]).cast("double").alias("d"), ((up - down) / 2e-6).alias("want")).collect():
+            assert r.d == pytest.approx(r.want, rel=1e-6, abs=1e-7)
+
+
+def test_formulas_without_a_rule_fall_back_on_differences(spark):
+    from edaflux.functions.slopes import NoSlope, slopes
+
+    with pytest.raises(NoSlope):
+        slopes(spark, "cbrt(a) * x", ["a"])
+    df = spark.createDataFrame([("g", 2.0 * t, t) for t in (1.0, 2.0, 3.0)], "k string, y double, x double")
+    r = fit_formula(df, ["k"], "y", "cbrt(a) * x", ["a"], {"a": 5.0}).first()
+    assert r.status == "converged" and r.a == pytest.approx(8.0, rel=1e-6)
+
+
+def test_stacked_systems_are_solved_like_single_ones():
+    from edaflux.operators.nonlinear import stacked_steps
+
+    rng = np.random.default_rng(3)
+    j = rng.normal(0, 1, (20, 9, 3))
+    j[4, :, 2] = 2 * j[4, :, 0]
+    a, jr = np.einsum("gni,gnj->gij", j, j), rng.normal(0, 1, (20, 3))
+    upper = np.triu_indices(3)
+    steps = stacked_steps(a[:, upper[0], upper[1]], jr)
+    for g in range(20):
+        if g == 4:
+            assert np.isnan(steps[g]).all()
+            continue
+        want = np.linalg.solve(a[g], jr[g])
+        assert np.allclose(steps[g], [*want, max(want @ jr[g], 0)])
+
+
 def test_formula_without_a_number_is_undefined(spark):
     df = spark.createDataFrame([("k", 1.0, -2.0), ("k", 2.0, 3.0), ("k", 2.5, 4.0)], "k string, y double, t double")
     r = fit_formula(df, ["k"], "y", "a * ln(t)", ["a"]).first()
