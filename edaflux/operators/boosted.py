@@ -141,7 +141,7 @@ def fit_boosted(joined_celsius: DataFrame, rounds: int = 200) -> DataFrame:
 
     def train(cell: pd.DataFrame) -> pd.DataFrame:
         if cell["n"].sum() <= MIN_ROWS:
-            return pd.DataFrame({"site_id": [], "sigma": [], "steps": []})
+            return pd.DataFrame({"site_id": cell["site_id"].iloc[:0], "sigma": pd.Series(dtype=float), "steps": pd.Series(dtype=object)})
         at = (cell["_bin0"].to_numpy(), cell["_bin1"].to_numpy())
         n, total, squares = (np.zeros(cell[["_bins0", "_bins1"]].iloc[0]) for _ in range(3))
         n[at], total[at], squares[at] = cell["n"], cell["total"], cell["squares"]
