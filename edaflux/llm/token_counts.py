@@ -8,9 +8,12 @@ changes (it may be negative, when a character joins pieces). States are interned
 first asks for them.
 
 No piece spans the start of a word (a space mark after another character), so a word start maps every state to one
-state. A text is cut into chunks. All chunks of a slice run side by side from their first word start; the state map of
-such a chunk is constant after that point. A prefix scan composes the maps: a constant map gives the entry state of the
-chunk after it, and the short head of each chunk (before its first word start) is then run from its entry state.
+state. A text is cut into chunks, and each has a map from entry to exit states with counts. All chunks of a slice run side
+by side from their first word start, from where their map is constant. What lies before it, or the whole of a chunk without
+a word start, is tabulated for the states that may enter: the exit of a constant map before it, or a guess (the state
+reached over the last characters of the chunk before), and then every exit of the chunk before that is not in the table
+yet, until there is none. Two states soon meet on most texts, so a map has few rows. A parallel prefix scan composes the
+maps, over distances that double, to the state that enters each chunk; the counts are read from the maps at those states.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ _SLOT_BITS = 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 MAX_STATES = 300_000
 NARROW = 24
+WARM = 48  # characters before a chunk from which the state that enters it is guessed
+_ROW = 32  # a row of the maps is chunk << 32 | entry state
 
 
 class Transducer:
@@ -149,6 +154,30 @@ class Transducer:
         counts[order], states[order] = count, now.astype(np.int64)
         return counts, states
 
+    def tabulate(self, codes, start, sync, head, constant, exit_state) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The maps of the chunks ``head`` before their first word starts: rows in order, exit states, counts.
+
+        Every exit of a chunk without a word start has its row in the map of the next chunk.
+        """
+        reads = np.zeros(len(start) + 1, bool)
+        reads[head] = True
+        entry = exit_state[head - 1].copy()
+        blind = ~constant[head - 1]
+        # A chunk without a word start is a whole one, so that much lies between its start and the next one's.
+        warm = np.full(int(blind.sum()), min(WARM, CHUNK), np.int64)
+        entry[blind] = self.run(codes, start[head[blind]] - warm, warm, np.zeros(len(warm), np.int64))[1]
+        rows, exits, counts = (np.zeros(0, np.int64) for _ in range(3))
+        new = head << _ROW | entry
+        while new.size:
+            chunk = new >> _ROW
+            count, state = self.run(codes, start[chunk], (sync - start)[chunk], new & ((1 << _ROW) - 1))
+            rows, exits, counts = np.append(rows, new), np.append(exits, state), np.append(counts, count)
+            order = np.argsort(rows)
+            rows, exits, counts = rows[order], exits[order], counts[order]
+            on = ~constant[chunk] & reads[chunk + 1]
+            new = np.setdiff1d(chunk[on] + 1 << _ROW | state[on], rows)
+        return rows, exits, counts
+
     def count(self, texts: list[str | None]) -> np.ndarray:
         """Tokens of each text; null and empty texts have none."""
         out = np.zeros(len(texts), np.int64)
@@ -175,20 +204,44 @@ class Transducer:
         total, exit_state = np.zeros(len(start), np.int64), np.full(len(start), -1, np.int64)
         has = np.flatnonzero(constant)
         total[has], exit_state[has] = self.run(codes, sync[has], (end - sync)[has], np.zeros(len(has), np.int64))
-        # The scan. Rounds reach the chunks that lie 1, 2, ... after a constant map; most texts need one round.
-        behind = np.arange(len(start)) - np.maximum.accumulate(np.where(constant, np.arange(len(start)), -1))
         head = np.flatnonzero(sync > start)
-        far = np.where(constant[head], behind[head - 1] + 1, behind[head])
-        for distance in range(1, int(far.max(initial=0)) + 1):
-            now = head[far == distance]
-            more, state = self.run(codes, start[now], (sync - start)[now], exit_state[now - 1])
-            total[now] += more
-            open_ended = ~constant[now]
-            exit_state[now[open_ended]] = state[open_ended]
+        if head.size:
+            rows, exits, counts = self.tabulate(codes, start, sync, head, constant, exit_state)
+            compose(rows, exits, constant, exit_state)
+            total[head] += counts[np.searchsorted(rows, head << _ROW | exit_state[head - 1])]
         out[full] = np.add.reduceat(total, first)
         return out
 
 
+def compose(rows: np.ndarray, exits: np.ndarray, constant: np.ndarray, exit_state: np.ndarray) -> None:
+    """Fill in the exit states of the chunks without a word start by a prefix scan over their maps.
+
+    After the step of distance d a map reads the state that enters the chunk 2d - 1 places before its own, or the first of
+    its run if that is nearer, and gives the exit of its own.
+    """
+    open_ended = np.flatnonzero(~constant)
+    if not open_ended.size:
+        return
+    # A text's first chunk begins with a word, so each run has a constant map before it.
+    place = np.arange(len(constant))
+    depth = place - np.maximum.accumulate(np.where(constant, place, -1))  # 1 for the first chunk of a run
+    own = ~constant[rows >> _ROW]
+    rows, exits = rows[own], exits[own]
+    distance = 1
+    while distance < depth.max():
+        chunk = rows >> _ROW
+        to = np.minimum(chunk + distance, len(constant) - 1)
+        feeds = depth[to] == depth[chunk] + distance
+        to = to[feeds]
+        through = exits[np.searchsorted(rows, to << _ROW | exits[feeds])]
+        whole = depth[chunk] <= distance  # these have met the beginning of their run
+        rows, exits = np.append(rows[whole], to << _ROW | rows[feeds] & ((1 << _ROW) - 1)), np.append(exits[whole], through)
+        order = np.argsort(rows)
+        rows, exits, distance = rows[order], exits[order], 2 * distance
+    first = open_ended - depth[open_ended]
+    exit_state[open_ended] = exits[np.searchsorted(rows, open_ended << _ROW | exit_state[first])]
+
+
 @lru_cache(2)
 def transducer(model: bytes) -> Transducer:
     return Transducer(model)

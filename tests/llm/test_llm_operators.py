@@ -54,6 +54,38 @@ def test_chunks_compose_across_any_cut(model, monkeypatch):
     assert machine.count(texts).tolist() == want
 
 
+def test_chunks_without_a_word_start_are_scanned_not_walked(model, monkeypatch):
+    """Maps of long unbroken texts: the scan's exits are those of one walk, and few passes over the text find them."""
+    rng = random.Random(5)
+    unbroken = ["".join(rng.choice("abcdeistnrt") for _ in range(9000)), "a" * 5000, "ha" * 3000 + " end", "日本語中文" * 900, "é" * 2000 + "x" * 3000]
+    texts = [t for u in unbroken for t in (u, "two words " + u, u + " " + u[:700])]
+    with open(model, "rb") as f:
+        machine = token_counts.Transducer(f.read())
+    want = library_counts(model, texts)
+    passes, tabulate = [], machine.run
+    monkeypatch.setattr(machine, "run", lambda *a: passes.append(1) or tabulate(*a))
+    for chunk in (7, 64, 512):
+        monkeypatch.setattr(token_counts, "CHUNK", chunk)
+        passes.clear()
+        assert machine.count(texts).tolist() == want
+        assert len(passes) < {7: 160, 64: 40, 512: 20}[chunk]  # the longest text has 1,286, 141 and 18 chunks
+
+
+def test_maps_compose_to_the_walks_states():
+    rng = np.random.default_rng(6)
+    n, states = 400, 5
+    constant = rng.random(n) < 0.1
+    constant[0] = True
+    table = rng.integers(0, states, (n, states))
+    want = np.where(constant, rng.integers(0, states, n), -1)
+    got = want.copy()
+    rows = np.array([c << 32 | s for c in range(n) for s in range(states)])
+    for c in np.flatnonzero(~constant):
+        want[c] = table[c, want[c - 1]]
+    token_counts.compose(rows, table.ravel(), constant, got)
+    assert (got == want).all()
+
+
 # Chat
 
 
