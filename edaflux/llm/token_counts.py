@@ -35,6 +35,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 MAX_STATES = 300_000
 NARROW = 24
 WARM = 48  # characters before a chunk from which the state that enters it is guessed
+TRIED = 16  # rows of a chunk's map, on average, from which on no states are tried
 _ROW = 32  # a row of the maps is chunk << 32 | entry state
 
 
@@ -157,7 +158,9 @@ class Transducer:
     def tabulate(self, codes, start, sync, head, constant, exit_state) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The maps of the chunks ``head`` before their first word starts: rows in order, exit states, counts.
 
-        Every exit of a chunk without a word start has its row in the map of the next chunk.
+        Every exit of a chunk without a word start has its row in the map of the next chunk. States that don't meet, as on
+        a periodic text, whose few states tell its phases apart, are tried further on as well, over distances that double,
+        where the same characters come before; beyond ``TRIED`` rows a chunk only the exits themselves are.
         """
         reads = np.zeros(len(start) + 1, bool)
         reads[head] = True
@@ -167,8 +170,19 @@ class Transducer:
         warm = np.full(int(blind.sum()), min(WARM, CHUNK), np.int64)
         entry[blind] = self.run(codes, start[head[blind]] - warm, warm, np.zeros(len(warm), np.int64))[1]
         rows, exits, counts = (np.zeros(0, np.int64) for _ in range(3))
-        new = head << _ROW | entry
+        new, ahead = head << _ROW | entry, 1
+        ends = np.append(np.flatnonzero(~reads[1:-1] | constant[:-1]) + 1, len(start))  # chunks no open one leads into
+        before = np.zeros(len(start), np.int64)
+        for k in range(1, 17):
+            before = before * 1_000_003 + codes[np.maximum(start - k, 0)]
         while new.size:
+            if ahead > 4 and rows.size < TRIED * head.size:
+                chunk = new >> _ROW
+                n = np.minimum(ends[np.searchsorted(ends, chunk, side="right")] - chunk, ahead)
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                alike = before[np.repeat(chunk, n)] == before[np.repeat(chunk, n) + step]
+                new = np.setdiff1d((np.repeat(new, n) + (step << _ROW))[alike], rows)
+            ahead *= 2
             chunk = new >> _ROW
             count, state = self.run(codes, start[chunk], (sync - start)[chunk], new & ((1 << _ROW) - 1))
             rows, exits, counts = np.append(rows, new), np.append(exits, state), np.append(counts, count)
