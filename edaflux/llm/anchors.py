@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from edaflux.llm.frames import discard, map_rows, stored
 
 BUCKET = 16_384
+# Keys with more than one in this many of all runs are met by broadcast; there can't be more of them than this.
+HEAVY = 1000
 SLAB_BYTES = 2 << 20
 SLICE_BYTES = 2_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -185,6 +187,17 @@ def _window_rows(units: type, width: int):
     return run
 
 
+def met(rows: DataFrame, counted: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``counted``, which has one row of each key and in ``n`` the number of rows with it.
+
+    Keys with more than ``total / HEAVY`` rows are fewer than ``HEAVY``, so they are broadcast and their rows stay where they
+    are. Of any other key no task gets more rows than that.
+    """
+    heavy = counted.where(F.col("n") > total / HEAVY)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(counted.where(F.col("n") <= total / HEAVY), keys, how)
+    return rows.join(F.broadcast(heavy), keys, how).unionByName(rest)
+
+
 def repeated_spans(
     docs: DataFrame, units: type, width: int, gram: int, copied: Column, refine: Refine, kind: str
 ) -> DataFrame:
@@ -196,16 +209,18 @@ def repeated_spans(
     """
     every = stored(document_runs(docs, units, width, gram, kind))
     # Most anchors occur once. Their runs go before anything wider is shuffled.
-    again = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    runs = stored(every.join(again, "anchor", "left_semi"))
+    again = stored(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    total = again.agg(F.sum("n")).head()[0] or 0
+    runs = stored(met(every, again, ["anchor"], total, "left_semi"))
     discard(every)
+    discard(again)
     place = F.struct("key", "mark", "lo", "hi")
     contents = runs.groupBy("anchor", "content").agg(
         F.count("*").alias("n"), F.min("key").alias("first"), F.min(place).alias("place")
     )
     buckets = contents.groupBy("anchor").agg(F.count("*").alias("contents"), F.max("n").alias("most")).where("contents > 1 OR most > 1")
     useful = stored(contents.join(buckets.drop("most"), "anchor"))
-    marks = runs.join(useful.select("anchor", "content", "n", "first", "contents"), ["anchor", "content"])
+    marks = met(runs, useful.select("anchor", "content", "n", "first", "contents"), ["anchor", "content"], total)
     whole = marks.where(copied).select("key", "mark", F.col("lo").alias("begin"), (F.col("hi") + width).alias("end"))
 
     wanted = useful.where("contents > 1").select(

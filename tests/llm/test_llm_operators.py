@@ -210,18 +210,20 @@ def test_one_row_of_each_group(spark):
 # Repeated bytes and words
 
 
-@pytest.mark.parametrize("bucket", [anchors.BUCKET, 0])
+@pytest.mark.parametrize("bucket,heavy", [(anchors.BUCKET, anchors.HEAVY), (anchors.BUCKET, 20), (0, 1)])
 @pytest.mark.parametrize("width", [400, 40])
-def test_repeated_bytes(spark, monkeypatch, bucket, width):
+def test_repeated_bytes(spark, monkeypatch, bucket, heavy, width):
     monkeypatch.setattr(anchors, "BUCKET", bucket)  # 0: every bucket is split by window
+    monkeypatch.setattr(anchors, "HEAVY", heavy)  # all, some and no keys are broadcast
     docs = awkward_texts()
     assert rows_of(suffix_dedup.repeated_bytes(frame(spark, docs), width)) == kept_bytes(docs, width)
 
 
-@pytest.mark.parametrize("bucket", [anchors.BUCKET, 0])
+@pytest.mark.parametrize("bucket,heavy", [(anchors.BUCKET, anchors.HEAVY), (anchors.BUCKET, 20), (0, 1)])
 @pytest.mark.parametrize("width", [50, 9])
-def test_repeated_words(spark, monkeypatch, bucket, width):
+def test_repeated_words(spark, monkeypatch, bucket, heavy, width):
     monkeypatch.setattr(anchors, "BUCKET", bucket)
+    monkeypatch.setattr(anchors, "HEAVY", heavy)
     docs = awkward_texts()
     assert rows_of(substring.repeated_words(frame(spark, docs), width)) == kept_words(docs, width)
 
