@@ -25,6 +25,8 @@ from edaflux.llm.components import components
 from edaflux.llm.frames import fresh, map_rows, stored
 
 CELL = 256
+# Each shingle of a slice is an object of its own.
+SLICE_BYTES = 1_000_000
 _LANES = np.uint64(0x0101010101010101)
 _ODD = 0x5555555555555555
 
@@ -152,7 +154,7 @@ def _grouped(docs: DataFrame, shingle: int, radius: int, groups: int, key: str,
         return {"key": rows["key"], "mark": rows["mark"], "fp": fingerprints(rows["text"], shingle)}
 
     picked = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
-    marked = stored(map_rows(picked, work, f"key {kind}, mark long, fp long", binary=True))
+    marked = stored(map_rows(picked, work, f"key {kind}, mark long, fp long", binary=True, limit=SLICE_BYTES))
     distinct = stored(marked.groupBy("fp").agg(F.min("key").alias("first")))
     return marked, labels(distinct, fingerprint_links(distinct.select("fp"), radius, groups))
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from llm_cases import awkward_texts, contamination, frame, kept_bytes, kept_words, lower, rows_of, sha, split
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 
 from edaflux.llm import anchors, chat, decontaminate, langid, mixing, simhash, substring, suffix_dedup, token_counts, topk, toxicity
 from edaflux.llm.components import components
+from edaflux.llm.frames import map_rows
 
 
 @pytest.fixture(scope="module")
@@ -508,3 +512,55 @@ def test_mixture_spends_each_budget_on_seeded_epochs(spark):
             if e < max(by):
                 assert len(ids) == len(own)
     assert mixing.mixed(frame(spark, []), levels(), mixing.word_count(F.col("text")), {}).count() == 0
+
+
+def held_at_most(run) -> float:
+    """MB that Python and numpy hold at most while ``run`` goes on, besides what was there."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def one_batch():
+    """A stand-in for documents, on which operators that map batches give their function itself, and a batch for it."""
+
+    class Docs:
+        def mapInArrow(self, function, schema):
+            return function
+
+    texts = [" ".join(str((i * 7919 + k * k) % 9973) for k in range(400)) for i in range(3000)]
+    ids = pa.array(range(len(texts)), pa.int64())
+    return Docs(), pa.RecordBatch.from_arrays([ids, ids, pa.array(texts)], ["key", "mark", "text"])
+
+
+@pytest.mark.parametrize("units,width,gram", [(anchors.Bytes, 400, 32), (anchors.Words, 50, 8)])
+def test_runs_of_a_batch_take_little_memory(spark, units, width, gram):
+    docs, batch = one_batch()
+    work = anchors.document_runs(docs, units, width, gram, "long")
+    assert held_at_most(lambda: [None for _ in work(iter([batch]))]) < 75
+
+
+def test_one_slice_of_a_batch_is_held_at_a_time(spark):
+    docs, batch = one_batch()
+    made = []
+    work = map_rows(docs, lambda rows: made.append(len(rows["text"])) or {"key": rows["key"]}, "key long", binary=True, limit=100_000)
+    assert held_at_most(lambda: [None for _ in work(iter([batch]))]) < 2
+    assert sum(made) == batch.num_rows and len(made) > 10
+
+
+def test_the_largest_bucket_compared_whole_takes_little_memory():
+    rng = np.random.default_rng(1)
+    rows, base = [], rng.integers(97, 123, 760, dtype=np.uint8)
+    for i in range(anchors.BUCKET):
+        line = base.copy()
+        line[rng.integers(0, 760, 3)] = rng.integers(97, 123, 3, dtype=np.uint8)
+        rows.append((1, i, i, 1, line.tobytes()))
+    found = []
+    assert held_at_most(lambda: found.extend(suffix_dedup.refine_bytes(400)(rows))) < 200
+    counts = Counter(hash(r[4][k : k + 400]) for r in rows for k in range(361))
+    for r, ranges in list(zip(rows, found, strict=True))[::500]:
+        hit = {k for a, b in ranges for k in range(a, b + 1)}
+        assert hit == {k for k in range(361) if counts[hash(r[4][k : k + 400])] > 1}
