@@ -1,7 +1,7 @@
 """Non-linear least squares for every site at once (damped Gauss-Newton).
 
-The data stay distributed. Each iteration is two aggregates over the training rows: the normal equations of every
-group at its current parameters, then the squared error at a ladder of step lengths. The parameter table (one row
+The data stay distributed. Each iteration is one aggregate over the training rows: the normal equations and the squared
+error of every group a whole step on. Only groups whose error rose there are tried at a ladder of shorter steps. The parameter table (one row
 per group) is settled between iterations, so neither the driver nor the lineage grows with groups or iterations.
 """
 
@@ -41,35 +41,50 @@ def fit_formula(
     used = [c for c in df.columns if c in keys or c == response or re.search(rf"\b{re.escape(c)}\b", formula)]
     data = settle(df.select(*used).dropna("any"))
 
+    was, step = ([f"{mark}{p}" for p in names] for mark in ("_was_", "_step_"))
     state = settle(data.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), *[F.lit(begin[p]).alias(p) for p in names],
-    ).withColumns({"ssr": F.lit(None).cast("double"), "iterations": F.lit(0), "status": F.lit("running")}))
+    ).withColumns({
+        "ssr": F.lit(None).cast("double"), "iterations": F.lit(0), "status": F.lit("running"),
+        **{c: F.lit(None).cast("double") for c in (*was, *step)},
+    }))
 
+    # A running group stands at a whole step from where it was. ``ssr`` is the error there, null at the start.
     for _ in range(max_iterations):
         active = state.where(F.col("status") == "running")
         if active.isEmpty():
             break
         stepped = _steps(data, active.select(*keys, *names), keys, response, formula, names)
+        failed = active.join(stepped.select(*keys, "_sse"), keys)
+        failed = settle(failed.where("ssr IS NOT NULL AND NOT coalesce(_sse < ssr, false)").drop("_sse"))
+        rest = state.where(F.col("status") != "running")
+        if not failed.isEmpty():
+            failed = _shortened(data, failed, keys, response, formula, names, STEP_HALVINGS)
+            back = failed.where(F.col("status") == "running").select(*keys, *names)
+            again = _steps(data, back, keys, response, formula, names)
+            stepped = stepped.join(failed.select(*keys), keys, "left_anti").unionByName(again)
+            rest = rest.unionByName(failed.where(F.col("status") != "running"))
         exact = F.col("_ssr0") <= F.lit(EXACT_FIT) * F.col("_yy")
         done = exact | (F.col("_gain") <= F.lit(tolerance**2) * (F.col("_ssr0") - F.col("_gain")))
-        best = _best_lengths(data, stepped.where(~done), keys, response, formula, names)
-        table = stepped.select(*keys, "_ssr0", "_yy", "_gain", *[f"_d_{p}" for p in names])
-        moved = active.drop("ssr").join(table, keys).join(best, keys, "left")
         status = (
             F.when(F.col("_ssr0").isNull(), "undefined")
             .when(done, "converged")
             .when(F.col("_gain").isNull(), "singular")
-            .when(F.col("_ssr").isNull(), "no descent")
             .otherwise("running")
         )
         # The last step of a converged group is taken too: it is short, and halves the digits that are still wrong.
-        length = F.when(status == "converged", 1.0).otherwise(F.coalesce("_length", F.lit(0.0)))
-        moved = moved.select(
-            *keys, "n", *[(F.col(p) + length * F.coalesce(f"_d_{p}", F.lit(0.0))).alias(p) for p in names],
-            F.coalesce("_ssr", "_ssr0").alias("ssr"), (F.col("iterations") + 1).alias("iterations"), status.alias("status"),
+        moved = active.select(*keys, "n", "iterations").join(stepped, keys).select(
+            *keys, "n", *[(F.col(p) + F.coalesce(f"_d_{p}", F.lit(0.0))).alias(p) for p in names],
+            F.col("_ssr0").alias("ssr"), (F.col("iterations") + 1).alias("iterations"), status.alias("status"),
+            *[F.col(p).alias(w) for p, w in zip(names, was, strict=True)],
+            *[F.col(f"_d_{p}").alias(d) for p, d in zip(names, step, strict=True)],
         )
-        state = settle(state.where(F.col("status") != "running").unionByName(moved))
+        state = settle(rest.unionByName(moved))
 
+    last = state.where(F.col("status") == "running")
+    if not last.isEmpty():
+        last = _shortened(data, last, keys, response, formula, names, STEP_HALVINGS, first=0)
+        state = state.where(F.col("status") != "running").unionByName(last)
     done = F.col("status") == "converged"
     return state.select(
         *keys, *[F.when(done, F.col(p)).alias(p) for p in names], F.when(done, F.col("ssr")).alias("ssr"), "n", "iterations",
@@ -102,7 +117,8 @@ def _slopes(spark: SparkSession, formula: str, names: Sequence[str]) -> dict[str
 
 
 def _steps(data, params, keys, response, formula, names) -> DataFrame:
-    """Each group's Gauss-Newton step from J'J and J'r, its squared error, and how much of that the step explains."""
+    """Each group's Gauss-Newton step from J'J and J'r, its squared error (``_ssr0``; ``_sse`` where slopes need not be
+    finite), and how much of that the step explains."""
     joined = data.join(broadcast_if_small(params), keys)
     found = {f"_j_{p}": d for p, d in _slopes(data.sparkSession, formula, names).items()}
     rows = joined.withColumns({"_r": F.col(response) - _finite(formula), **found})
@@ -113,6 +129,7 @@ def _steps(data, params, keys, response, formula, names) -> DataFrame:
         F.when(whole, F.array(*[F.sum(F.col(f"_j_{a}") * F.col(f"_j_{b}")) for a, b in pairs])).alias("jj"),
         F.when(whole, F.array(*[F.sum(F.col(f"_j_{p}") * F.col("_r")) for p in names])).alias("jr"),
         F.when(whole, F.sum(F.col("_r") * F.col("_r"))).alias("_ssr0"),
+        F.when(F.count("_r") == F.count(F.lit(1)), F.sum(F.col("_r") * F.col("_r"))).alias("_sse"),
         F.sum(F.col(response) * F.col(response)).alias("_yy"),
     )
     k, columns = len(names), [*[f"_d_{p}" for p in names], "_gain"]
@@ -123,13 +140,13 @@ def _steps(data, params, keys, response, formula, names) -> DataFrame:
             known = pdf["jj"].notna().to_numpy()
             if known.any():
                 steps[known] = stacked_steps(np.array(pdf["jj"][known].tolist(), float), np.array(pdf["jr"][known].tolist(), float))
-            out = pdf[[*keys, "_ssr0", "_yy"]].copy()
+            out = pdf[[*keys, "_ssr0", "_sse", "_yy"]].copy()
             for i, name in enumerate(columns):
                 out[name] = pd.Series(steps[:, i], index=pdf.index).astype("object").where(~np.isnan(steps[:, i]), None)
             yield out
 
     schema = T.StructType([
-        *[sums.schema[c] for c in keys], T.StructField("_ssr0", T.DoubleType()), T.StructField("_yy", T.DoubleType()),
+        *[sums.schema[c] for c in keys], *[T.StructField(c, T.DoubleType()) for c in ("_ssr0", "_sse", "_yy")],
         *[T.StructField(c, T.DoubleType()) for c in columns],
     ])
     return settle(params.join(sums.mapInPandas(solve, schema), keys))
@@ -152,10 +169,23 @@ def stacked_steps(jj: np.ndarray, jr: np.ndarray) -> np.ndarray:
     return np.where(good[:, None], np.column_stack([steps, np.maximum((steps * jr).sum(1), 0.0)]), np.nan)
 
 
-def _best_lengths(data, stepped, keys, response, formula, names) -> DataFrame:
-    """The longest step of 1, 1/2, 1/4, ... that lowers each group's squared error, all tried in one pass."""
+def _shortened(data, failed, keys, response, formula, names, halvings, first=1) -> DataFrame:
+    """Groups of the state at the longest of their shorter steps that lowers the squared error; without one they are where
+    they were, and their status says so. Only rows of these groups are read."""
+    at = failed.select(
+        *keys, F.col("ssr").alias("_ssr0"), *[F.col(f"_was_{p}").alias(p) for p in names],
+        *[F.col(f"_step_{p}").alias(f"_d_{p}") for p in names],
+    )
+    best = _best_lengths(data, at, keys, response, formula, names, [0.5**i for i in range(first, halvings + 1)])
+    found = failed.join(best, keys, "left")
+    place = {p: F.col(f"_was_{p}") + F.coalesce("_length", F.lit(0.0)) * F.col(f"_step_{p}") for p in names}
+    status = F.when(F.col("_length").isNull(), "no descent").otherwise(F.col("status"))
+    return settle(found.withColumns({**place, "status": status}).select(*failed.columns))
+
+
+def _best_lengths(data, stepped, keys, response, formula, names, lengths) -> DataFrame:
+    """The first of ``lengths`` whose step lowers each group's squared error, all tried in one pass."""
     joined = data.join(broadcast_if_small(stepped), keys)
-    lengths = [0.5**i for i in range(STEP_HALVINGS + 1)]
     errors = []
     for length in lengths:
         moved = _substituted(formula, names, {p: f"({p} + {length!r}D * _d_{p})" for p in names})

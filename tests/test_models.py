@@ -454,3 +454,19 @@ def test_boosting_fits_what_it_is_given():
     own = boost(n, y, 400)
     assert np.abs((own * n - y)[n > 0]).max() < 0.5 and np.std((own * n - y)[n > 0]) < 0.1 * np.std(y[n > 0])
     assert np.allclose(boost(n, y, 0), y.sum() / n.sum())
+
+
+def test_only_steps_that_overshoot_are_shortened(spark, monkeypatch):
+    """Sites whose whole steps lower the error are read once an iteration; one that starts far off comes to the same curve."""
+    from edaflux.operators import nonlinear
+
+    tried, usual = [], nonlinear._best_lengths
+    monkeypatch.setattr(nonlinear, "_best_lengths", lambda *a: tried.append(a[1].count()) or usual(*a))
+    rows = [(site, x / 10, 3.0 * math.exp(0.5 * x / 10) + (x % 3 - 1) * 0.01) for site in ("a", "b") for x in range(30)]
+    df = spark.createDataFrame(rows, "site string, x double, y double")
+    near = nonlinear.fit_formula(df, ["site"], "y", "k * exp(r * x)", ["k", "r"], {"k": 2.9, "r": 0.49}).collect()
+    assert not tried and {r["status"] for r in near} == {"converged"}
+    far = nonlinear.fit_formula(df, ["site"], "y", "k * exp(r * x)", ["k", "r"], {"k": 1.0, "r": -1.5}).collect()
+    assert tried and {r["status"] for r in far} == {"converged"}
+    for a, b in zip(sorted(near), sorted(far), strict=True):
+        assert a["k"] == pytest.approx(b["k"], rel=1e-4) and a["r"] == pytest.approx(b["r"], rel=1e-4)
